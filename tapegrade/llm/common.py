@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
+    _ship(sc)
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None:
@@ -39,6 +42,22 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _ship(sc) -> None:
+    """Sends this package to the executors once, so that their workers can import it."""
+    if getattr(sc, "_tapegrade_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(), "tapegrade_llm.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder in (top, os.path.join(top, "llm")):
+            for name in sorted(os.listdir(folder)):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(archive)
+    sc._tapegrade_shipped = True
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
