@@ -15,7 +15,7 @@ different sets are found:
   verified exactly against each other. A hub with more members than ``block`` is cut into blocks by hash, and
   each pair of blocks is verified on its own, so that no hub is one task's work. Links leave as the edges of a
   spanning forest (or all of them, for ``similar_pairs``).
-* Components of the links come from alternating stars (``components``) over checkpointed tables.
+* Components of the links come from alternating stars over checkpointed tables.
 
 Defined results: a null or empty text has an empty set, size 0, and a component of its own. A null id never
 names a component: such a row takes the smallest id linked with it, or null. Rows that repeat an id are
@@ -30,8 +30,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapegrade.operators.graph import connected_components
+
 from .common import LOWER, U64, buffers, mix, partitions, prepare, saved, slices, span_hashes, word_spans
-from .components import connected_components
 
 #: Very frequent shingles that are ordered last: at most so many, each in at least LOCAL documents of a slice.
 FREQUENT, LOCAL = 1 << 16, 4
