@@ -11,7 +11,9 @@ Pair checks re-merge two pieces once and are remembered.
 Characters outside the vocabulary become byte pieces and split the text, as no merge crosses them. The
 space mark only starts pieces (or fills them), so no merge crosses from another character to a
 space mark either; the text is cut there, and the encoding of each cut, mostly one word, is remembered
-in a bounded table. Whole texts are encoded, whatever their length.
+in a bounded table. The new cuts of a batch go through the same walk in lockstep (``Lockstep``): the automaton's
+goto table, the pair checks and the bitfields are arrays, and each step moves all cuts on by one try. Cuts with
+rare characters, or of more than 64, take the walk one by one. Whole texts are encoded, whatever their length.
 
 Defined results: null counts as the empty text, which has no ids and decodes to the empty text. Rows are
 encoded one by one; extra columns are not read.
@@ -24,6 +26,7 @@ import heapq
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -56,6 +59,18 @@ class Memory(dict):
         super().__init__()
         self.encoder = encoder
 
+    def learn(self, cuts: set[str]) -> None:
+        """Takes in the new ones of ``cuts``, in lockstep where that is possible."""
+        e = self.encoder
+        if len(self) + len(cuts) > MEMORY:
+            self.clear()
+        new = [c for c in cuts - self.keys() if len(c) <= LONGEST and e.lockstep.chars.issuperset(c)]
+        shown, plain = e.shown, e.plain
+        for k in range(0, len(new), 50_000):
+            part = new[k : k + 50_000]
+            for cut, ids in zip(part, e.lockstep.encode(part)):
+                self[cut] = ids, ",".join([shown[i] for i in ids]), "".join([plain[i] for i in ids]), len(ids)
+
     def __missing__(self, cut: str) -> tuple[list[int], str, str, int]:
         ids = self.encoder.cut_ids(cut)
         found = ids, ",".join(map(str, ids)), self.encoder.decode(ids, opens=False), len(ids)
@@ -93,6 +108,8 @@ class Encoder:
         self.size = [len(p) if i else 0 for i, (p, _, _) in enumerate(self.pieces)]
         self.known = {p for p in self.ids if len(p) == 1}
         self.plain = [p.replace(MARK, " ") for p, _, _ in self.pieces]
+        self.shown = [str(i) for i in range(len(self.pieces))]
+        self.lockstep = Lockstep(self)
         self.memory = Memory(self)
 
     def merge(self, text: str) -> list[int]:
@@ -168,6 +185,8 @@ class Encoder:
 
     def cut_ids(self, text: str) -> list[int]:
         """Ids of one cut; unknown characters become bytes (or the unknown piece)."""
+        if self.known.issuperset(text):
+            return self.walk(text)
         out: list[int] = []
         start = 0
         for k, c in enumerate(text):
@@ -247,6 +266,118 @@ def utf8(raw: bytes) -> str:
         return "".join(out)
 
 
+class Lockstep:
+    """The walk over many short cuts at once."""
+
+    SLOTS = 21  # log2 of the direct-mapped table of checked pairs
+
+    def __init__(self, e: Encoder, classes: int = 160):
+        self.e = e
+        # characters by how many pieces hold them; the first ``classes`` have a column of the goto table
+        held: dict[str, int] = {}
+        for p in e.names:
+            for c in p:
+                held[c] = held.get(c, 0) + 1
+        common = [c for c in sorted(held, key=lambda c: (-held[c], c)) if c in e.known and ord(c) < 0x10000][:classes]
+        self.chars = frozenset(common)
+        self.column = np.full(0x10000, -1, np.int16)
+        for k, c in enumerate(common):
+            self.column[ord(c)] = k
+        nodes: list[dict[str, int]] = [{}]
+        piece = [0]
+        for p, i in e.names.items():
+            if not self.chars.issuperset(p):
+                continue
+            at = 0
+            for c in p:
+                if c not in nodes[at]:
+                    nodes[at][c] = len(nodes)
+                    nodes.append({})
+                    piece.append(0)
+                at = nodes[at][c]
+            piece[at] = i
+        self.goto = np.zeros((len(nodes), len(common)), np.int32)  # 0: no such node
+        for at, to in enumerate(nodes):
+            for c, n in to.items():
+                self.goto[at, self.column[ord(c)]] = n
+        self.piece = np.array(piece, np.int32)
+        many = len(e.pieces)
+        self.size = np.array(e.size, np.int64)
+        self.shorter = np.zeros(many, np.int32)  # the next shorter piece that a piece starts with; 0: none
+        for i, chain in e.shorter.items():
+            self.shorter[i] = chain[1] if len(chain) > 1 else 0
+        self.pairs = np.full(1 << self.SLOTS, -1, np.int64)  # pair * 2 + whether compatible
+
+    def longest(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The longest piece from each position on, up to the end of its cut."""
+        column = self.column[codes]
+        node = np.zeros(len(codes), np.int32)
+        best = np.zeros(len(codes), np.int32)
+        live = np.arange(len(codes))
+        depth = 0
+        while len(live):
+            node[live] = self.goto[node[live], column[live + depth]]
+            found = self.piece[node[live]]
+            best[live[found > 0]] = found[found > 0]
+            depth += 1
+            live = live[(node[live] > 0) & (live + depth < ends[live])]
+        return best
+
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) * len(self.e.pieces) + b
+        slot = (key * 2654435761 >> 11) & ((1 << self.SLOTS) - 1)
+        held = self.pairs[slot]
+        known = held >> 1 == key
+        if not known.all():
+            new, back = np.unique(key[~known], return_inverse=True)
+            fits = np.array([self.e.pair(*divmod(int(k), len(self.e.pieces))) for k in new], np.int64)[back]
+            self.pairs[slot[~known]] = key[~known] * 2 + fits
+            out = (held & 1).astype(bool)
+            out[~known] = fits.astype(bool)
+            return out
+        return (held & 1).astype(bool)
+
+    def encode(self, cuts: list[str]) -> list[list[int]]:
+        """Ids of cuts of at most 64 of the common characters each."""
+        n = np.array([len(c) for c in cuts], np.int64)
+        codes = np.frombuffer("".join(cuts).encode("utf-16-le"), np.uint16)
+        begin = np.cumsum(n) - n
+        best = self.longest(codes, np.repeat(begin + n, n))
+        many = len(cuts)
+        taken = np.zeros((many, int(n.max())), np.int32)
+        depth, at = np.zeros(many, np.int64), np.zeros(many, np.int64)
+        failed = np.zeros(many, np.uint64)  # bit k: no way on from position k; position 64 is never marked
+        tried = best[begin].copy()
+        live = np.arange(many)
+        one = np.uint64(1)
+        while len(live):
+            i = tried[live]
+            none = i == 0
+            # out of pieces: mark the position, step back, and go on with the next shorter piece there
+            back = live[none]
+            failed[back] |= one << at[back].astype(np.uint64)
+            depth[back] -= 1
+            last = taken[back, depth[back]]
+            at[back] -= self.size[last]
+            tried[back] = self.shorter[last]
+            go, i = live[~none], i[~none]
+            end = at[go] + self.size[i]
+            whole = end == n[go]
+            fits = whole | (failed[go] >> np.minimum(end, 63).astype(np.uint64) & one == 0)
+            inner = fits & (depth[go] > 0)
+            fits[inner] = self.compatible(taken[go[inner], depth[go[inner]] - 1], i[inner])
+            yes = go[fits]
+            taken[yes, depth[yes]] = i[fits]
+            depth[yes] += 1
+            at[yes] = end[fits]
+            more = yes[~whole[fits]]
+            tried[more] = best[begin[more] + at[more]]
+            no = go[~fits]
+            tried[no] = self.shorter[i[~fits]]
+            live = live[at[live] < n[live]]
+        return [row[:d] for row, d in zip(taken.tolist(), depth.tolist())]
+
+
 EMPTY = hashlib.sha256(b"").hexdigest()
 _encoders: dict[str, Encoder] = {}
 
@@ -265,7 +396,10 @@ def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text:
         e = encoder(model)
         for b in batches:
             ids, texts = b.columns
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([e.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            cut = [e.cuts(t or "") for t in texts.to_pylist()]
+            e.memory.learn(set().union(*cut))
+            lists = [[i for c in cuts for i in e.memory[c][0]] for cuts in cut]
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -290,9 +424,9 @@ def round_trips(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str =
     """
     prepare(docs.sparkSession)
 
-    def digests(e: Encoder, text: str | None):
+    def digests(e: Encoder, cuts: list[str]):
         memory = e.memory
-        cuts = [memory[c] for c in e.cuts(text or "")]
+        cuts = [memory[c] for c in cuts]
         if not cuts:
             return 0, EMPTY, EMPTY
         _, said, decoded, n = zip(*cuts)
@@ -303,7 +437,9 @@ def round_trips(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str =
         e = encoder(model)
         for b in batches:
             ids, texts = b.columns
-            rows = [digests(e, t) for t in texts.to_pylist()]
+            cut = [e.cuts(t or "") for t in texts.to_pylist()]
+            e.memory.learn(set().union(*cut))
+            rows = [digests(e, c) for c in cut]
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=SCHEMA.names)
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, SCHEMA)
