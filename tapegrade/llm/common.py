@@ -49,7 +49,7 @@ def _ship(sc) -> None:
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     archive = os.path.join(tempfile.mkdtemp(), "tapegrade_llm.zip")
     with zipfile.ZipFile(archive, "w") as z:
-        for folder in (top, os.path.join(top, "llm")):
+        for folder in (top, os.path.join(top, "llm"), os.path.join(top, "operators")):
             for name in sorted(os.listdir(folder)):
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
