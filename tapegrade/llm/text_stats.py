@@ -73,7 +73,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(stops, hashes), len(stops) - 1)
         out["stop_words"] = np.bincount(doc, stops[at] == hashes, n_docs) / words
     repeats, out["most_frequent_word"] = repeated_share(doc, hashes, n_docs, n_words)
-    out["distinct_words"] = 1 - repeats
+    out["distinct_words"] = np.where(n_words > 0, 1 - repeats, 0)
     with np.errstate(over="ignore"):
         for k, name in ((2, "repeated_pairs"), (3, "repeated_triples")):
             if len(hashes) >= k:
