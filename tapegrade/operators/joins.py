@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, low: int, high: int, how: str = "inner", residual: Column | None = None) -> DataFrame:
     """Rows with equal ``keys`` and ``right_at - left_at`` in [low, high], both integers.
 
-    Time is cut into buckets as wide as the band; a left row looks into the two buckets that its band can touch, so
-    the join is an equi join on (keys, bucket) with a residual, and a hot key is spread over its buckets. Columns of
-    the right side must not clash with the left's, apart from ``keys``.
+    Time is cut into buckets as wide as the band; a right row is put into the buckets that its band can touch, two or
+    three, so the join is an equi join on (keys, bucket) with a residual, and a hot key is spread over its buckets. A
+    left row has one bucket, which is what semi, anti and outer joins need. Columns of the right side must not
+    clash with the left's, apart from ``keys``.
     """
     width = max(1, high - low)
-    first, last = F.floor((F.col(left_at) + low) / width), F.floor((F.col(left_at) + high) / width)
-    probes = left.withColumn("_bucket", F.explode(F.sequence(first, last)))
-    found = right.withColumn("_bucket", F.floor(F.col(right_at) / width))
+    probes = left.withColumn("_bucket", F.floor(F.col(left_at) / width))
+    first, last = F.floor((F.col(right_at) - high) / width), F.floor((F.col(right_at) - low) / width)
+    found = right.withColumn("_bucket", F.explode(F.sequence(first, last)))
     near = (F.col(right_at) - F.col(left_at)).between(low, high)
     on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "_bucket"]]
     both = on[0]

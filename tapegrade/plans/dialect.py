@@ -20,7 +20,7 @@ MACROS = {
     "DAYNUM": ("unix_date(CAST($1 AS DATE))", "date_diff('day', DATE '1970-01-01', CAST($1 AS DATE))"),
     "MONTHNUM": ("(year($1) * 12 + month($1) - 1)", "(year($1) * 12 + month($1) - 1)"),
     "DAYDATE": ("date_add(DATE '1970-01-01', CAST($1 AS INT))", "(DATE '1970-01-01' + CAST($1 AS INT))"),
-    "MONTHDATE": ("make_date(CAST(floor($1 / 12) AS INT), CAST($1 % 12 + 1 AS INT), 1)", "make_date(CAST(floor($1 / 12) AS BIGINT), CAST($1 % 12 + 1 AS BIGINT), 1)"),
+    "MONTHDATE": ("make_date(CAST(floor(($1) / 12) AS INT), CAST(($1) % 12 + 1 AS INT), 1)", "make_date(CAST(floor(($1) / 12) AS BIGINT), CAST(($1) % 12 + 1 AS BIGINT), 1)"),
     "MS": ("unix_millis(CAST($1 AS TIMESTAMP))", "epoch_ms($1)"),
     "DIV": ("($1 div $2)", "($1 // $2)"),
     "PCTL": ("percentile($1, $2)", "quantile_cont($1, $2)"),
@@ -28,7 +28,7 @@ MACROS = {
     "SUMI": ("sum($1)", "CAST(sum($1) AS BIGINT)"),
     "JOINED": ("listagg($1, ',') WITHIN GROUP (ORDER BY $1)", "string_agg($1, ',' ORDER BY $1)"),
     "DOW": ("weekday($1)", "(isodow($1) - 1)"),
-    "HEX": ("lower(hex($1))", "lower(hex($1))"),
+    "CORR": ("(covar_pop($1, $2) / nullif(stddev_pop($1) * stddev_pop($2), 0))",) * 2,
 }
 
 
@@ -61,7 +61,8 @@ def translate(sql: str, oracle: bool, config: Config = DEFAULT) -> str:
         for k, a in enumerate(args, 1):
             body = body.replace(f"${k}", a)
         sql = sql[: m.start()] + body + sql[end:]
-    return sql
+    # decimal literals are doubles in both engines
+    return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1e0", sql)
 
 
 def names(sql: str) -> list[str]:

@@ -107,7 +107,7 @@ PLANS = {
         JOIN {marks} m ON c.coin = m.coin AND m.day - c.day BETWEEN 1 AND 30 AND m.low_u * 100 <= c.px_u * 99 WHERE c.k = 1 GROUP BY c.address, c.coin, c.trip"""),
     "clusters": (clusters, """
         SELECT root AS cluster_id, count(*) AS members, max(node) AS last_member FROM (SELECT node, min(other) AS root FROM (
-          WITH RECURSIVE both AS (SELECT src AS a, dst AS b FROM {link_edges} UNION SELECT dst, src FROM {link_edges}), reach(node, other) AS (SELECT a, a FROM both UNION SELECT r.node, b.b FROM reach r JOIN both b ON r.other = b.a)
+          WITH RECURSIVE near AS (SELECT src AS a, dst AS b FROM {link_edges} UNION SELECT dst, src FROM {link_edges}), reach(node, other) AS (SELECT a, a FROM near UNION SELECT r.node, b.b FROM reach r JOIN near b ON r.other = b.a)
           SELECT node, other FROM reach) x GROUP BY node) y GROUP BY root"""),
 }
 
@@ -119,7 +119,7 @@ QUERIES = {
         SELECT cluster, round(1 - sum(abs_net * span) / nullif(sum(gross * span), 0), 6) AS hedge_ratio, CASE WHEN 1 - sum(abs_net * span) / nullif(sum(gross * span), 0) > $hedge_ratio THEN 'VETO' ELSE 'PASS' END AS severity FROM (
           SELECT cluster, coin, day, abs(long_q - short_q) AS abs_net, long_q + short_q AS gross, lead(day) OVER (PARTITION BY cluster, coin ORDER BY day) - day AS span FROM {cluster_steps}) s WHERE span IS NOT NULL GROUP BY cluster""",
     "d_h2": """
-        SELECT a.address, a.coin AS coin_a, b.coin AS coin_b, count(*) AS days, round(corr(a.pnl_u / 1e6, b.pnl_u / 1e6), 4) AS rho FROM {coin_days} a JOIN {coin_days} b ON a.address = b.address AND a.day = b.day AND a.coin < b.coin
+        SELECT a.address, a.coin AS coin_a, b.coin AS coin_b, count(*) AS days, round(CORR(a.pnl_u / 1e6, b.pnl_u / 1e6), 4) AS rho FROM {coin_days} a JOIN {coin_days} b ON a.address = b.address AND a.day = b.day AND a.coin < b.coin
         GROUP BY a.address, a.coin, b.coin HAVING count(*) >= 3 AND var_pop(a.pnl_u / 1e6) > 0 AND var_pop(b.pnl_u / 1e6) > 0""",
     "d_h3_wash": """
         SELECT address, round(same_u / total_u, 6) AS same_cluster_share, CASE WHEN same_u > $wash_share * total_u THEN 'VETO' ELSE 'PASS' END AS severity FROM (
@@ -133,14 +133,14 @@ QUERIES = {
         SELECT address, max(n) AS most, CASE WHEN max(n) >= $twin_events THEN 'FLAG' ELSE 'PASS' END AS severity FROM (
           SELECT a.address, b.address AS twin, count(*) AS n FROM {actions} a JOIN {actions} b ON a.coin = b.coin AND DIV(a.ms, 60000) = DIV(b.ms, 60000) AND a.address <> b.address AND a.side <> b.side GROUP BY a.address, b.address) t GROUP BY address""",
     "d_h6": """
-        SELECT s.address, round(corr(s.szi, m.r), 4) AS rho, count(*) AS days FROM {states} s JOIN {market} m ON s.day = m.day GROUP BY s.address HAVING count(*) >= 3 AND var_pop(s.szi) > 0 AND var_pop(m.r) > 0""",
+        SELECT s.address, round(CORR(s.szi, m.r), 4) AS rho, count(*) AS days FROM {states} s JOIN {market} m ON s.day = m.day GROUP BY s.address HAVING count(*) >= 3 AND var_pop(s.szi) > 0 AND var_pop(m.r) > 0""",
     "d_m7_rotation": """
         SELECT e.src, e.dst, e.last_day, f.first_day, f.first_day - e.last_day AS lag FROM (
           SELECT l.src, l.dst, max(x.day) AS last_day FROM {link_edges} l JOIN {fills} x ON l.src = x.address GROUP BY l.src, l.dst) e JOIN (SELECT address, min(day) AS first_day FROM {fills} GROUP BY address) f ON e.dst = f.address
         WHERE f.first_day - e.last_day BETWEEN 0 AND $sybil_days""",
     "anti_corr_pairs": """
-        SELECT a.address AS src, b.address AS dst, count(*) AS n, round(corr(a.dq, b.dq), 4) AS rho FROM {net_days} a JOIN {net_days} b ON a.coin = b.coin AND a.day = b.day AND a.address < b.address
-        GROUP BY a.address, b.address HAVING count(*) >= 3 AND var_pop(a.dq) > 0 AND var_pop(b.dq) > 0 AND round(corr(a.dq, b.dq), 6) <= -0.8""",
+        SELECT a.address AS src, b.address AS dst, count(*) AS n, round(CORR(a.dq, b.dq), 4) AS rho FROM {net_days} a JOIN {net_days} b ON a.coin = b.coin AND a.day = b.day AND a.address < b.address
+        GROUP BY a.address, b.address HAVING count(*) >= 3 AND var_pop(a.dq) > 0 AND var_pop(b.dq) > 0 AND round(CORR(a.dq, b.dq), 6) <= -0.8""",
 }
 
 VIEWS = {

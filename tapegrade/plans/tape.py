@@ -14,10 +14,10 @@ QUERIES = {
         SELECT coin, day, min_by(px_u, o) / 1e6 AS o, max(px_u) / 1e6 AS h, min(px_u) / 1e6 AS l, max_by(px_u, o) / 1e6 AS c, SUMI(sz) AS v FROM (
           SELECT coin, day, px_u, sz, row_number() OVER (PARTITION BY coin, day ORDER BY ok, ln, sk, pk) AS o FROM {tape}) t GROUP BY coin, day""",
     "coin_dex": """
-        SELECT CASE WHEN strpos(coin, ':') > 0 THEN split_part(coin, ':', 1) ELSE '' END AS dex, CASE WHEN strpos(coin, ':') > 0 THEN split_part(coin, ':', 2) ELSE coin END AS symbol, count(*) AS n
+        SELECT CASE WHEN instr(coin, ':') > 0 THEN split_part(coin, ':', 1) ELSE '' END AS dex, CASE WHEN instr(coin, ':') > 0 THEN split_part(coin, ':', 2) ELSE coin END AS symbol, count(*) AS n
         FROM (SELECT CASE WHEN sk % 5 = 0 THEN 'xyz:' || coin ELSE coin END AS coin FROM {tape}) t
-        GROUP BY CASE WHEN strpos(coin, ':') > 0 THEN split_part(coin, ':', 1) ELSE '' END, CASE WHEN strpos(coin, ':') > 0 THEN split_part(coin, ':', 2) ELSE coin END""",
-    "dex_share": "SELECT dex, oi_u / 1e6 AS oi, round(oi_u / SUMI(oi_u) OVER (), 6) AS share FROM (SELECT CASE WHEN sk % 5 = 0 THEN 'xyz' ELSE 'main' END AS dex, SUMI(notional_u) AS oi_u FROM {tape} GROUP BY CASE WHEN sk % 5 = 0 THEN 'xyz' ELSE 'main' END) t",
+        GROUP BY CASE WHEN instr(coin, ':') > 0 THEN split_part(coin, ':', 1) ELSE '' END, CASE WHEN instr(coin, ':') > 0 THEN split_part(coin, ':', 2) ELSE coin END""",
+    "dex_share": "SELECT dex, oi_u / 1e6 AS oi, round(oi_u / CAST(sum(oi_u) OVER () AS BIGINT), 6) AS share FROM (SELECT CASE WHEN sk % 5 = 0 THEN 'xyz' ELSE 'main' END AS dex, SUMI(notional_u) AS oi_u FROM {tape} GROUP BY CASE WHEN sk % 5 = 0 THEN 'xyz' ELSE 'main' END) t",
     "history_truncated": "SELECT address, count(*) AS n_fills, count(*) >= 40 AS history_truncated FROM {fills} GROUP BY address",
     "funding_scan": "SELECT address, month, count(*) AS payments, SUMI(usdc_u) / 1e6 AS usdc FROM {flows} WHERE kind = 'internalTransfer' GROUP BY address, month",
     "ledger_flows": "SELECT address, kind, count(*) AS n, SUMI(flow_u) / 1e6 AS net_flow, SUMI(usdc_u) / 1e6 AS gross FROM {flows} GROUP BY address, kind",
@@ -56,9 +56,9 @@ QUERIES = {
         FULL OUTER JOIN (SELECT address, SUMI(pnl_u) AS pnl_u FROM {fills} f CROSS JOIN {last_day} d WHERE f.day <= d.last - 200 AND address % 11 <> 0 GROUP BY address) b ON a.address = b.address""",
     "changed_addresses": """
         SELECT b.address, b.pnl_u / 1e6 AS pnl FROM (SELECT address, SUMI(pnl_u) AS pnl_u FROM {fills} GROUP BY address) b
-        LEFT ANTI JOIN (SELECT address, SUMI(pnl_u) AS pnl_u FROM {fills} f CROSS JOIN {last_day} d WHERE f.day <= d.last - 30 GROUP BY address) a ON a.address = b.address AND a.pnl_u = b.pnl_u""",
-    "semi_candidates": "SELECT f.address, count(*) AS n FROM {fills} f LEFT SEMI JOIN (SELECT address FROM {board} WHERE pnl_all > 0) c ON f.address = c.address GROUP BY f.address",
-    "anti_ignore": "SELECT f.address, count(*) AS n FROM {fills} f LEFT ANTI JOIN (SELECT address FROM {registry} WHERE role IN ('vault', 'agent')) i ON f.address = i.address GROUP BY f.address",
+        ANTI JOIN (SELECT address, SUMI(pnl_u) AS pnl_u FROM {fills} f CROSS JOIN {last_day} d WHERE f.day <= d.last - 30 GROUP BY address) a ON a.address = b.address AND a.pnl_u = b.pnl_u""",
+    "semi_candidates": "SELECT f.address, count(*) AS n FROM {fills} f SEMI JOIN (SELECT address FROM {board} WHERE pnl_all > 0) c ON f.address = c.address GROUP BY f.address",
+    "anti_ignore": "SELECT f.address, count(*) AS n FROM {fills} f ANTI JOIN (SELECT address FROM {registry} WHERE role IN ('vault', 'agent')) i ON f.address = i.address GROUP BY f.address",
     "resolve_master": """
         SELECT coalesce(m.master, f.address) AS owner, count(*) AS n, SUMI(f.notional_u) / 1e6 AS notional FROM {fills} f LEFT JOIN (
           SELECT r.address, c.master FROM {registry} r JOIN (SELECT cluster, min(address) AS master FROM {registry} WHERE role <> 'agent' GROUP BY cluster) c ON r.cluster = c.cluster WHERE r.role = 'agent') m ON f.address = m.address
@@ -69,7 +69,7 @@ QUERIES = {
         FULL OUTER JOIN (SELECT address, month, count(*) AS n FROM {flows} WHERE kind = 'withdraw' AND id % 13 = 0 GROUP BY address, month) l ON f.address = l.address AND f.month = l.month""",
     "session_entropy": """
         SELECT address, count(*) AS hours, round(-sum(p * ln(p)), 6) AS entropy FROM (
-          SELECT address, h, count(*) / SUMI(count(*)) OVER (PARTITION BY address) AS p FROM (SELECT address, hour(ts) AS h FROM {actions}) a GROUP BY address, h) q GROUP BY address""",
+          SELECT address, h, count(*) / CAST(sum(count(*)) OVER (PARTITION BY address) AS BIGINT) AS p FROM (SELECT address, hour(ts) AS h FROM {actions}) a GROUP BY address, h) q GROUP BY address""",
     "watch_top10": "SELECT address, net_all / 1e6 AS net FROM {board} ORDER BY net_all DESC, address LIMIT 10",
     "window_wins": "SELECT address, CASE WHEN pnl_1 > 0 THEN 1 ELSE 0 END + CASE WHEN pnl_7 > 0 THEN 1 ELSE 0 END + CASE WHEN pnl_30 > 0 THEN 1 ELSE 0 END + CASE WHEN pnl_all > 0 THEN 1 ELSE 0 END AS wins FROM {board}",
 }

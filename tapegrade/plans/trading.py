@@ -6,8 +6,8 @@ QUERIES = {
         SELECT address, coin, count(*) AS n_fills, SUMI(CASE WHEN prev <> coalesce(before_pos, 0) THEN 1 ELSE 0 END) AS breaks
         FROM (SELECT *, lag(pos) OVER (PARTITION BY address, coin ORDER BY day, ok, ln, sk, pk) AS before_pos FROM {positions}) p GROUP BY address, coin""",
     "round_trips": """
-        SELECT address, coin, trip, side, open_day, close_day, close_day - open_day AS hold, max_size, adds, reduces, round(in_u / 1e6 / in_q, 6) AS vwap_in,
-          round(out_u / 1e6 / out_q, 6) AS vwap_out, pnl_u / 1e6 AS pnl, fee_u / 1e6 AS fees FROM {trips} WHERE closed""",
+        SELECT address, coin, trip, side, open_day, close_day, close_day - open_day AS hold, max_size, adds, reduces, DIV(in_u, in_q) / 1e6 AS vwap_in,
+          DIV(out_u, out_q) / 1e6 AS vwap_out, pnl_u / 1e6 AS pnl, fee_u / 1e6 AS fees FROM {trips} WHERE closed""",
     "hold_stats": """
         SELECT address, n_trips, round(median_hold, 6) AS median_hold, round(q3_hold - q1_hold, 6) AS iqr_hold, round(day_share, 6) AS share_within_day, round(overnight, 6) AS share_overnight
         FROM {trip_stats}""",
@@ -31,7 +31,7 @@ QUERIES = {
           GROUP BY address) g""",
     "size_cv": "SELECT address, round(size_cv, 6) AS size_cv FROM {trip_stats}",
     "avg_cost": """
-        SELECT address, coin, trip, day, ok, ln, sk, pk, leg, round(mult * part / nullif(abs(after_q), 0), 4) AS avg_cost FROM (
+        SELECT address, coin, trip, day, ok, ln, sk, pk, leg, round(mult * part / nullif(abs(after_q), 0) + 1e-7, 3) AS avg_cost FROM (
           SELECT *, sum(CASE WHEN opens THEN px_u / 1e6 * abs(q) / mult ELSE 0 END) OVER (PARTITION BY address, coin, trip ORDER BY day, ok, ln, sk, pk, leg ROWS UNBOUNDED PRECEDING) AS part FROM (
             SELECT *, exp(sum(CASE WHEN opens OR after_q = 0 THEN 0 ELSE ln(abs(after_q) / abs(before_q)) END) OVER (PARTITION BY address, coin, trip ORDER BY day, ok, ln, sk, pk, leg ROWS UNBOUNDED PRECEDING)) AS mult
             FROM {trip_legs}) m) s WHERE after_q <> 0""",
@@ -84,7 +84,7 @@ QUERIES = {
         SELECT f.address, round(f.maker, 6) AS maker_share, round(f.per_day, 6) AS trades_per_day, CASE WHEN f.maker > $maker_max OR f.per_day > $trades_per_day OR s.avg_hold * 86400 < $avg_hold_s THEN 'VETO' ELSE 'PASS' END AS severity
         FROM (SELECT address, avg(CASE WHEN crossed THEN 0.0 ELSE 1.0 END) AS maker, count(*) / count(DISTINCT day) AS per_day FROM {fills} GROUP BY address) f JOIN {trip_stats} s ON f.address = s.address""",
     "d_b6": "SELECT address, round(twap, 6) AS twap_share, CASE WHEN twap > $twap_share THEN 'FLAG' ELSE 'PASS' END AS severity FROM (SELECT address, SUMI(CASE WHEN ln = 7 OR ln = 6 OR ln = 5 THEN notional_u ELSE 0 END) / SUMI(notional_u) AS twap FROM {fills} GROUP BY address) t",
-    "twap_stats": "SELECT CASE WHEN ln >= 5 THEN 'twap' ELSE 'plain' END AS kind, flag AS status, count(*) AS n, round(count(*) / SUMI(count(*)) OVER (PARTITION BY CASE WHEN ln >= 5 THEN 'twap' ELSE 'plain' END), 6) AS share FROM {fills} GROUP BY CASE WHEN ln >= 5 THEN 'twap' ELSE 'plain' END, flag",
+    "twap_stats": "SELECT CASE WHEN ln >= 5 THEN 'twap' ELSE 'plain' END AS kind, flag AS status, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY CASE WHEN ln >= 5 THEN 'twap' ELSE 'plain' END) AS BIGINT), 6) AS share FROM {fills} GROUP BY CASE WHEN ln >= 5 THEN 'twap' ELSE 'plain' END, flag",
     "fill_profile": """
         SELECT f.address, round(f.buys, 6) AS buy_share, round(c.best / f.volume_u, 6) AS top_coin_volume_share, c.coin AS top_coin, round(f.net_u / f.volume_u, 6) AS net_to_volume, round(f.volume_u / 1e6 / f.n, 6) AS avg_ticket, round(g.gap, 6) AS median_gap
         FROM (SELECT address, count(*) AS n, avg(CASE WHEN dq > 0 THEN 1.0 ELSE 0.0 END) AS buys, SUMI(notional_u) AS volume_u, SUMI(pnl_u - fee_u) AS net_u FROM {fills} GROUP BY address) f
