@@ -1,8 +1,8 @@
 """Toxicity: a word-presence classifier with a counterfactual penalty on identity terms.
 
-A text's features are the distinct lower-cased words (runs of letters) it holds, by 64-bit hash. Training takes a
-bounded sample of labelled rows (``bound``, 12,000 by default), keeps the words that are in enough
-of them and tell the classes apart best, and minimises logistic loss + ridge + ``penalty`` times the mean
+A text's features are the distinct lower-cased words (runs of letters) it holds, and their distinct substrings of
+``GRAM`` bytes, by 64-bit hash. Training takes a bounded sample of labelled rows (``bound``, 12,000 by default), counts features
+by class on the executors, keeps those that are in enough rows and tell the classes apart best, and minimises logistic loss + ridge + ``penalty`` times the mean
 squared change of the margin when an identity term of a labelled sentence is swapped for another
 one of its list. A term that is merely frequent in toxic rows thus cannot carry weight of its own:
 all terms of a list are drawn to the same weight, and since terms are also swapped for a neutral word, to that word's. Documents are scored whole on the executors, as vectorised sums of weights of
@@ -34,6 +34,8 @@ IDENTITY_TERMS = (
     ("frauen", "männer"), ("femmes", "hommes"), ("mujeres", "hombres"),
 )
 NEUTRAL = "people"
+#: Bytes of the substrings that are features beside whole words.
+GRAM = 4
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -46,11 +48,19 @@ def word_keys(words) -> np.ndarray:
     return span_hashes(LOWER[data], starts, ends)
 
 
-def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, word hash) of the distinct words of each document, sorted."""
+def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document number, hash) of all words and their substrings, with repeats."""
     low = LOWER[data]
     starts, ends, doc = word_spans(low, offsets, _LETTER[low])
-    keys = span_hashes(low, starts, ends)
+    size = ends - starts
+    grams = np.maximum(size - GRAM + 1, 0)
+    at = np.repeat(starts, grams) + np.arange(int(grams.sum())) - np.repeat(np.cumsum(grams) - grams, grams)
+    return np.concatenate([doc, np.repeat(doc, grams)]), np.concatenate([span_hashes(low, starts, ends), span_hashes(low, at, at + GRAM, seed=11)])
+
+
+def distinct_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document number, hash) of the distinct words and substrings of each document, sorted."""
+    doc, keys = terms_of(data, offsets)
     order = np.lexsort((keys, doc))
     doc, keys = doc[order], keys[order]
     if len(doc):
@@ -68,10 +78,8 @@ class Model:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
         margin = np.full(n, self.intercept)
-        low = LOWER[data]
-        starts, ends, doc = word_spans(low, offsets, _LETTER[low])
-        if len(starts) and len(self.keys):
-            found = span_hashes(low, starts, ends)
+        doc, found = terms_of(data, offsets)
+        if len(found) and len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
             hit = self.keys[at] == found
             pairs = np.unique(doc[hit] * len(self.keys) + at[hit])
@@ -79,24 +87,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], terms=IDENTITY_TERMS, penalty: float = 10.0, ridge: float = 2.0, most: int = 3000, least: int = 8, steps: int = 30) -> Model:
-    """Fits on (distinct word hashes, label) rows."""
+def identity_groups(terms=IDENTITY_TERMS) -> list[np.ndarray]:
+    return [word_keys([*g, NEUTRAL]) for g in terms]
+
+
+def fit(rows: list[tuple[np.ndarray, int]], chosen: np.ndarray, terms=IDENTITY_TERMS, penalty: float = 10.0, ridge: float = 0.1, steps: int = 30) -> Model:
+    """Fits on (distinct hashes, label) rows with the chosen hashes and the identity terms as features."""
     y = np.array([label for _, label in rows], float)
     if not len(y) or y.min() == y.max():
         mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
         return Model(np.zeros(0, U64), np.zeros(0), float(np.log(mean / (1 - mean))))
     doc = np.repeat(np.arange(len(rows)), [len(k) for k, _ in rows])
     every = np.concatenate([k for k, _ in rows]) if len(doc) else np.zeros(0, U64)
-    keys, at = np.unique(every, return_inverse=True)
-    seen, bad = np.bincount(at, minlength=len(keys)), np.bincount(at, y[doc], len(keys))
-    # how far a word's toxic share lies from the others', in standard errors
-    p, q = (bad + 0.5) / (seen + 1), (y.sum() - bad + 0.5) / (len(y) - seen + 1)
-    z = np.abs(p - q) / np.sqrt(y.mean() * (1 - y.mean()) * (1 / (seen + 1) + 1 / (len(y) - seen + 1)))
-    groups = [word_keys([*g, NEUTRAL]) for g in terms]
-    identity = np.concatenate(groups)
-    chosen = np.flatnonzero((seen >= least) & ((z > 4) | np.isin(keys, identity)))
-    chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")][:most])
-    keys = np.sort(np.unique(np.concatenate([keys[chosen], identity])))
+    groups = identity_groups(terms)
+    keys = np.unique(np.concatenate([chosen.astype(U64), *groups]))
     x = np.zeros((len(rows), len(keys)), np.float32)
     column = np.minimum(np.searchsorted(keys, every), len(keys) - 1)
     hit = keys[column] == every
@@ -113,6 +117,9 @@ def fit(rows: list[tuple[np.ndarray, int]], terms=IDENTITY_TERMS, penalty: float
                     d[a], d[b] = 1, -1
                     swaps.append(d * np.sqrt(n / len(rows)))
     d = np.array(swaps) if swaps else np.zeros((0, len(keys)))
+    # rows of the rarer class weigh more, by the square root of the classes' ratio
+    rare = float(y.mean() < 0.5)
+    share = np.where(y == rare, np.sqrt(max(np.mean(y != rare), 1e-9) / np.mean(y == rare)), 1.0) / len(y)
     # Newton's method with halved steps; the intercept is the last, unpenalised column
     x = np.column_stack([x, np.ones(len(rows), np.float32)])
     fixed = np.zeros((len(keys) + 1, len(keys) + 1))
@@ -120,15 +127,15 @@ def fit(rows: list[tuple[np.ndarray, int]], terms=IDENTITY_TERMS, penalty: float
 
     def loss(w):
         m = x @ w
-        return float(np.mean(np.logaddexp(0, m) - y * m) + w @ fixed @ w / 2)
+        return float(share @ (np.logaddexp(0, m) - y * m) + w @ fixed @ w / 2)
 
     w = np.zeros(len(keys) + 1)
     w[-1] = np.log(y.mean() / (1 - y.mean()))
     now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) / len(y) + fixed @ w
-        bend = (x * (p * (1 - p))[:, None]).T @ x / len(y) + fixed + 1e-9 * np.eye(len(w))
+        slope = x.T @ (share * (p - y)) + fixed @ w
+        bend = (x * (share * p * (1 - p))[:, None]).T @ x + fixed + 1e-9 * np.eye(len(w))
         move = np.linalg.solve(bend, slope)
         size = 1.0
         while size > 1e-4 and loss(w - size * move) > now:
@@ -141,21 +148,43 @@ def fit(rows: list[tuple[np.ndarray, int]], terms=IDENTITY_TERMS, penalty: float
     return Model(keys, w, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 12_000, **shape) -> Model:
+def train(docs: DataFrame, labels: DataFrame, bound: int = 12_000, most: int = 2000, least: int = 4, apart: float = 4.0, terms=IDENTITY_TERMS, **shape) -> Model:
+    """Two passes over the sample: counts by class choose at most ``most`` features, then rows of those are fitted on the driver."""
     prepare(docs.sparkSession)
+    sample = training_sample(docs, labels, "toxic", bound)
 
-    def run(batches):
+    def count(batches):
+        for b in batches:
+            for part in slices(b, "text"):
+                doc, keys = distinct_terms(*buffers(part.column("text")))
+                y = part.column("y").to_numpy()[doc]
+                found, at = np.unique(keys, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.bincount(at, minlength=len(found)).astype(np.int64)), pa.array(np.bincount(at, y, len(found)).astype(np.int64))], names=["key", "seen", "bad"])
+
+    size = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("bad")).first()
+    n, bad = float(size["n"]), float(size["bad"])
+    if not 0 < bad < n:
+        return fit([(np.zeros(0, U64), int(bad > 0))] * int(n), np.zeros(0, U64), terms)
+    counts = sample.mapInArrow(count, "key long, seen long, bad long").groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).filter(F.col("seen") >= least)
+    # how far a feature's toxic share lies from the other rows', in standard errors
+    inside, outside = F.col("seen") + 1, n - F.col("seen") + 1
+    gap = F.abs((F.col("bad") + 0.5) / inside - (bad - F.col("bad") + 0.5) / outside) / F.sqrt(bad / n * (1 - bad / n) * (1 / inside + 1 / outside))
+    chosen = np.sort(counts.withColumn("z", gap).filter(F.col("z") > apart).orderBy(F.desc("z"), "key").limit(most).select("key").toArrow().column("key").to_numpy().view(U64))
+    wanted = np.unique(np.concatenate([chosen, *identity_groups(terms)]))
+
+    def rows(batches):
         for b in batches:
             for part in slices(b, "text"):
-                doc, keys = distinct_words(*buffers(part.column("text")))
+                doc, keys = distinct_terms(*buffers(part.column("text")))
+                hit = wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
+                doc, keys = doc[hit], keys[hit]
                 ends = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), lists], names=["doc_id", "y", "keys"])
 
-    sample = training_sample(docs, labels, "toxic", bound)
-    rows = sample.mapInArrow(run, "doc_id long, y int, keys array<long>").toArrow().sort_by("doc_id")
-    lists = [np.asarray(k.values).view(U64) for k in rows.column("keys")]
-    return fit(list(zip(lists, rows.column("y").to_pylist())), **shape)
+    found = sample.mapInArrow(rows, "doc_id long, y int, keys array<long>").toArrow().sort_by("doc_id")
+    lists = [np.asarray(k.values).view(U64) for k in found.column("keys")]
+    return fit(list(zip(lists, found.column("y").to_pylist())), chosen, terms, **shape)
 
 
 def score_documents(docs: DataFrame, model: Model, cut: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
