@@ -171,9 +171,9 @@ class Join:
         self.percent, self.width, self.block = percent, width, block
         self.base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         self.sets = saved(self._sets())
-        filled = self.sets.filter("n > 0")
         # copies meet in partial sums first: one row a class and task
-        self.classes = filled.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).filter("rep IS NOT NULL")
+        found = self.sets.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("gid").alias("gid"))
+        self.classes = saved(found.filter("rep IS NOT NULL"))
 
     def _sets(self) -> DataFrame:
         width, percent = self.width, self.percent
@@ -199,25 +199,29 @@ class Join:
             first = place < np.repeat(length, n)
             prefix = s[order][first]
             ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+            with np.errstate(over="ignore"):
+                # the same shingles in the shared order are the same prefix, whichever way they are summed
+                run_sums = np.concatenate([[U64(0)], np.cumsum(mix(prefix ^ U64(0x77777)), dtype=U64)])
+                gid = mix(run_sums[ends[1:]] - run_sums[ends[:-1]] + n.astype(U64))
             return pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n), pa.array([r.tobytes() for r in sig], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix.view(np.int64)))], names=["doc_id", "n", "sig", "prefix"]
+                [part.column("doc_id"), pa.array(n), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(gid.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix.view(np.int64)))],
+                names=["doc_id", "n", "sig", "gid", "prefix"],
             )
 
-        return self.base.mapInArrow(run, "doc_id long, n long, sig binary, prefix array<long>")
+        return self.base.mapInArrow(run, "doc_id long, n long, sig binary, gid long, prefix array<long>")
 
     def members(self) -> DataFrame:
         """(hub, rep): classes to be verified against each other, under each hub."""
         percent, buckets = self.percent, 2 * partitions(self.spark)
-        # shingles of a set in the shared order make its prefix, so equal lists are equal prefixes
-        grouped = saved(self.classes.withColumn("gid", F.xxhash64("prefix", "n")).select("gid", "n", "rep", "prefix"))
-        groups = grouped.groupBy("gid", "n").agg(F.min("rep").alias("grep"), F.count("*").alias("members"), F.first("prefix").alias("prefix"))
-        groups = saved(groups)
+        groups = saved(self.classes.groupBy("gid", "n").agg(F.min("rep").alias("grep"), F.count("*").alias("members")))
+        # the prefixes move once, those of the groups' first documents alone
+        entered = self.sets.join(groups.select("gid", "n", F.col("grep").alias("doc_id")), ["doc_id", "gid", "n"], "left_semi")
 
         def post(batches):
             for b in batches:
                 lists = b.column("prefix")
                 n = np.asarray(b.column("n"))
-                rep = np.asarray(b.column("grep"))
+                rep = np.asarray(b.column("doc_id"))
                 values = np.asarray(lists.flatten()).view(U64)
                 length = np.asarray(pa.compute.list_value_length(lists))
                 owner = np.repeat(np.arange(len(length)), length)
@@ -249,10 +253,10 @@ class Join:
             pairs = np.unique(np.column_stack([np.concatenate(hubs), np.concatenate(reps)]), axis=0) if hubs else np.zeros((0, 2), np.int64)
             return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["hub", "grep"])
 
-        found = groups.select("grep", "n", "prefix").mapInArrow(post, "bucket int, key binary, rep binary, n binary, pos binary").groupBy("bucket").applyInArrow(meet, "hub long, grep long")
+        found = entered.select("doc_id", "n", "prefix").mapInArrow(post, "bucket int, key binary, rep binary, n binary, pos binary").groupBy("bucket").applyInArrow(meet, "hub long, grep long")
         # a group's own members share their prefix, so they are candidates of each other
         found = found.unionByName(groups.filter("members > 1").select(F.col("grep").alias("hub"), "grep")).distinct()
-        of = grouped.select("gid", "n", "rep").join(groups.select("gid", "n", "grep"), ["gid", "n"]).select("grep", "rep")
+        of = self.classes.select("gid", "n", "rep").join(groups.select("gid", "n", "grep"), ["gid", "n"]).select("grep", "rep")
         return found.join(of, "grep").select("hub", "rep").distinct()
 
     def links(self, every: bool = False) -> DataFrame:
