@@ -28,11 +28,7 @@ def types(text: np.ndarray) -> np.ndarray:
     change = np.flatnonzero(text[1:] != text[:-1])
     falls = text[change] > text[change + 1]
     # a run of one byte shares the type of its last position
-    at = np.searchsorted(change, np.arange(n))
-    out = np.ones(n, bool)
-    inside = at < len(change)
-    out[inside] = falls[at[inside]]
-    return out
+    return np.repeat(np.append(falls, True), np.diff(np.concatenate([[-1], change, [n - 1]])))
 
 
 def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE, U64, buffers, byte_codes, mix, partitions, prepare, saved, span_hashes
+from .common import SLICE, U64, buffers, byte_codes, partitions, prepare, span_hashes
 from .suffix_array import prefix_classes
 
 WIDTH, GRAM = 50, 24
@@ -46,22 +46,27 @@ BLOCK = 1 << 20
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of the ``gram`` bytes from each position on, by doubling."""
+    """A hash of the ``gram`` bytes from each position on: a polynomial by doubling, then one mixing step."""
     with np.errstate(over="ignore"):
-        power = {1: byte_codes()[data]}
-        size, factor = 1, U64(0x9E3779B97F4A7C15)
+        base = 0x9E3779B97F4A7C15
+        power, size = {1: byte_codes()[data]}, 1
         while size * 2 <= gram:
             h = power[size]
-            power[size * 2] = mix(h[:-size] * factor + h[size:]) if len(h) > size else h[:0]
+            twice = h[:-size] * U64(pow(base, size, 1 << 64))
+            twice += h[size:]
+            power[size * 2] = twice
             size *= 2
         out, have = power[size], size
         while have < gram:
             step = 1 << ((gram - have).bit_length() - 1)
             tail = power[step][have:]
-            n = min(len(out), len(tail))
-            out = out[:n] * factor + tail[:n]
+            out = out[: len(tail)] * U64(pow(base, step, 1 << 64))
+            out += tail[: len(out)]
             have += step
-    return mix(out)
+        out = out ^ (out >> U64(31))
+        out *= U64(0xD6E8FEB86659FD93)
+        out ^= out >> U64(32)
+    return out
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -99,15 +104,19 @@ class Runs:
             b = min(end, a + SLICE + width - 1)
             if b - a < width:
                 continue
-            minima = window_minima(gram_hashes(self.data[a:b], gram), width - gram + 1)
-            starts = np.arange(a, a + len(minima))
-            doc = np.searchsorted(self.offsets, starts, side="right") - 1
-            fits = starts + width <= self.offsets[doc + 1]
-            starts, doc, key = starts[fits], doc[fits], minima[fits]
-            if not len(starts):
-                continue
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (starts[1:] != starts[:-1] + 1) | (doc[1:] != doc[:-1])]))
-            out.append((doc[new], starts[new], np.diff(np.append(new, len(starts))), key[new]))
+            key = window_minima(gram_hashes(self.data[a:b], gram), width - gram + 1)
+            # strings end inside their document, so the last width - 1 positions of each start none
+            inside = np.zeros(len(key) + 2, np.int32)
+            low = np.clip(self.offsets[first:last] - a, 0, len(key))
+            high = np.clip(self.offsets[first + 1 : last + 1] - width + 1 - a, 0, len(key))
+            np.add.at(inside, low[high > low], 1)
+            np.add.at(inside, high[high > low], -1)
+            fits = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+            change = np.concatenate([[True], key[1:] != key[:-1], [True]])
+            new = np.flatnonzero(fits[:-1] & (change[:-1] | ~np.concatenate([[False], fits[:-2]])))
+            last_of = np.flatnonzero(fits[:-1] & (change[1:] | ~fits[1:]))
+            start = new + a
+            out.append((np.searchsorted(self.offsets, start, side="right") - 1, start, last_of - new + 1, key[new]))
         return out
 
 
@@ -216,11 +225,11 @@ class Chunk(Runs):
         run = np.repeat(np.arange(len(self.count)), self.count)
         step = np.arange(total) - np.repeat(np.cumsum(self.count) - self.count, self.count)
         goes = flags[begin[self.region][run] + step] | later[run] if total else np.zeros(0, bool)
-        at = self.start[run][goes] + step[goes]
-        depth = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(depth, at, 1)
-        np.add.at(depth, at + self.width, -1)
-        return np.cumsum(depth[:-1]) > 0
+        mark = np.zeros(len(self.data) + self.width, np.int32)
+        mark[self.start[run][goes] + step[goes] + self.width] = 1
+        begun = np.cumsum(mark)
+        # a byte goes if a removed string starts at one of the ``width`` positions up to it
+        return begun[self.width :] > begun[: len(self.data)]
 
 
 def shared_keys(rows: pa.Table) -> list[bytes]:
@@ -314,8 +323,8 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
         return pa.table([rows.column("chunk"), pa.array([key[0].as_py()] * rows.num_rows, pa.int32()), pa.array(shared_keys(rows), pa.binary())], names=["chunk", "bucket", "mask"])
 
     answers = "chunk int, bucket int, mask binary"
-    # a bit a key; kept, as two passes need it
-    masks = saved(dealt.groupBy("chunk").applyInArrow(keys, "bucket int, chunk int, keys binary, many binary").groupBy("bucket").applyInArrow(answer_keys, answers)).withColumn("kind", F.lit(0))
+    # all passes are one query, so that the documents' exchange, and the keys', are made once and reused
+    masks = dealt.groupBy("chunk").applyInArrow(keys, "bucket int, chunk int, keys binary, many binary").groupBy("bucket").applyInArrow(answer_keys, answers).withColumn("kind", F.lit(0))
 
     def by_bucket(rows, kind):
         return {b: m for b, m, k in zip(rows.column("bucket").to_pylist(), rows.column("mask").to_pylist(), rows.column("kind").to_pylist()) if k == kind}
@@ -334,10 +343,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     def answer_regions(key, rows):
         return pa.table([rows.column("chunk"), pa.array([key[0].as_py()] * rows.num_rows, pa.int32()), pa.array(earlier_strings(rows, width), pa.binary())], names=["chunk", "bucket", "mask"])
 
-    # the smallest table that the last pass needs; kept, so that losing an executor there repeats no sorting
-    found = saved(
-        dealt.groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInArrow(regions, "bucket int, chunk int, keys binary, ids binary, counts binary, bytes binary").groupBy("bucket").applyInArrow(answer_regions, answers)
-    ).withColumn("kind", F.lit(1))
+    found = dealt.groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInArrow(regions, "bucket int, chunk int, keys binary, ids binary, counts binary, bytes binary").groupBy("bucket").applyInArrow(answer_regions, answers).withColumn("kind", F.lit(1))
 
     def cut(key, table, rows):
         if not table.num_rows:
