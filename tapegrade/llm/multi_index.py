@@ -177,11 +177,10 @@ class MultiIndex:
         bucket = F.pmod(F.xxhash64("cell", "e", "p"), F.lit(buckets)).cast("int")
 
         def rerank(_, found, wants):
-            out = []
+            entry, asked_by, close = [], [], []
             if found.num_rows and wants.num_rows:
                 place = [np.column_stack([t.column(c).to_numpy() for c in ("cell", "e", "p")]) for t in (found, wants)]
                 xs = [matrix(t.column("v").combine_chunks(), dims) for t in (found, wants)]
-                keys = [t.column("key").to_numpy() for t in (found, wants)]
                 groups, at = np.unique(np.concatenate(place), axis=0, return_inverse=True)
                 a, b = at.ravel()[: len(xs[0])], at.ravel()[len(xs[0]) :]
                 oa, ob = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
@@ -190,16 +189,29 @@ class MultiIndex:
                     mine, asks = oa[ea[g] : ea[g + 1]], ob[eb[g] : eb[g + 1]]
                     if not len(mine) or not len(asks):
                         continue
-                    e, q = xs[0][mine], xs[1][asks]
-                    near = unit(q) @ unit(e).T
+                    near = unit(xs[1][asks]) @ unit(xs[0][mine]).T
                     top = min(k + 1, len(mine))
                     # everything that may tie with the last one stays
                     bar = -np.partition(-near, top - 1, axis=1)[:, top - 1 : top] - 1e-12
-                    for i, j in zip(*np.nonzero(near >= bar)):
-                        score = (q[i] * e[j]).sum() / (np.sqrt((q[i] ** 2).sum()) * np.sqrt((e[j] ** 2).sum()))
-                        out.append((int(keys[1][asks[i]]), int(mine[j]), float(score)))
-            rows = pa.array([r[1] for r in out], pa.int64())
-            return pa.table([pa.array([r[0] for r in out], pa.int64()), found.column("key").take(rows), found.column("ids").take(rows), pa.array([r[2] for r in out], pa.float64())], names=["search", "entry", "ids", "score"])
+                    i, j = np.nonzero(near >= bar)
+                    entry.append(mine[j])
+                    asked_by.append(asks[i])
+                    close.append(near[i, j])
+            if not entry:
+                return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.float64())], names=["search", "entry", "ids", "score"])
+            entry, asked_by, close = (np.concatenate(x) for x in (entry, asked_by, close))
+            search = wants.column("key").to_numpy()[asked_by]
+            # of all cells here, only what may be among a search's nearest goes on
+            order = np.lexsort((-close, search))
+            entry, asked_by, close, search = (x[order] for x in (entry, asked_by, close, search))
+            first = np.flatnonzero(np.concatenate([[True], search[1:] != search[:-1]]))
+            last = np.minimum(first + k, np.append(first[1:], len(search)) - 1)
+            keep = close >= np.repeat(close[last] - 1e-12, np.diff(np.append(first, len(search))))
+            entry, asked_by, search = entry[keep], asked_by[keep], search[keep]
+            e, q = xs[0][entry], xs[1][asked_by]
+            score = (q * e).sum(1) / (np.sqrt((q**2).sum(1)) * np.sqrt((e**2).sum(1)))
+            rows = pa.array(entry)
+            return pa.table([pa.array(search), found.column("key").take(rows), found.column("ids").take(rows), pa.array(score)], names=["search", "entry", "ids", "score"])
 
         scored = left.withColumn("bucket", bucket).groupBy("bucket").cogroup(right.withColumn("bucket", bucket).groupBy("bucket")).applyInArrow(rerank, "search long, entry long, ids array<long>, score double")
         best = scored.withColumn("r", F.row_number().over(W.partitionBy("search").orderBy(F.desc("score"), "entry"))).filter(F.col("r") <= k + 1)
