@@ -16,7 +16,7 @@ QUERIES = {
           WHEN median_hold * 86400 <= $hold_high_s THEN 'intraday' WHEN median_hold * 86400 < 86400 THEN 'day' ELSE 'holder' END AS style FROM {trip_stats}""",
     "edge_metrics": """
         SELECT address, n_trips, round(won_u / nullif(lost_u, 0), 6) AS profit_factor, round(avg_win / nullif(avg_loss, 0), 6) AS payoff, round(win_rate, 6) AS win_rate,
-          round(net_u / 1e6 / n_trips, 6) AS expectancy, round(10000.0 * net_u / nullif(traded_u, 0), 6) AS expectancy_bps FROM {trip_stats}""",
+          round(net_u / 1e6 / n_trips + 1e-9, 6) AS expectancy, round(10000.0 * net_u / nullif(traded_u, 0), 6) AS expectancy_bps FROM {trip_stats}""",
     "concentration": """
         SELECT t.address, round(t.top1_u / nullif(t.net_u, 0), 6) AS top1_share, round(t.top5_u / nullif(t.net_u, 0), 6) AS top5_share,
           round(c.best_u / nullif(t.net_u, 0), 6) AS top_coin_share, round(m.best_u / nullif(m.net_u, 0), 6) AS best_month_share
@@ -86,7 +86,7 @@ QUERIES = {
     "d_b6": "SELECT address, round(twap, 6) AS twap_share, CASE WHEN twap > $twap_share THEN 'FLAG' ELSE 'PASS' END AS severity FROM (SELECT address, SUMI(CASE WHEN ln = 7 OR ln = 6 OR ln = 5 THEN notional_u ELSE 0 END) / SUMI(notional_u) AS twap FROM {fills} GROUP BY address) t",
     "twap_stats": "SELECT CASE WHEN ln >= 5 THEN 'twap' ELSE 'plain' END AS kind, flag AS status, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY CASE WHEN ln >= 5 THEN 'twap' ELSE 'plain' END) AS BIGINT), 6) AS share FROM {fills} GROUP BY CASE WHEN ln >= 5 THEN 'twap' ELSE 'plain' END, flag",
     "fill_profile": """
-        SELECT f.address, round(f.buys, 6) AS buy_share, round(c.best / f.volume_u, 6) AS top_coin_volume_share, c.coin AS top_coin, round(f.net_u / f.volume_u, 6) AS net_to_volume, round(f.volume_u / 1e6 / f.n, 6) AS avg_ticket, round(g.gap, 6) AS median_gap
+        SELECT f.address, round(f.buys, 6) AS buy_share, round(c.best / f.volume_u, 6) AS top_coin_volume_share, c.coin AS top_coin, round(f.net_u / f.volume_u, 6) AS net_to_volume, round(f.volume_u / 1e6 / f.n + 1e-9, 6) AS avg_ticket, round(g.gap, 6) AS median_gap
         FROM (SELECT address, count(*) AS n, avg(CASE WHEN dq > 0 THEN 1.0 ELSE 0.0 END) AS buys, SUMI(notional_u) AS volume_u, SUMI(pnl_u - fee_u) AS net_u FROM {fills} GROUP BY address) f
         JOIN (SELECT address, max(volume_u) AS best, max_by(coin, volume_u) AS coin FROM (SELECT address, coin, SUMI(notional_u) AS volume_u FROM {fills} GROUP BY address, coin) v GROUP BY address) c ON f.address = c.address
         LEFT JOIN (SELECT address, median(gap) AS gap FROM {day_gaps} GROUP BY address) g ON f.address = g.address""",
