@@ -10,7 +10,7 @@ different sets are found:
   share a shingle among their first ``n - ceil(percent * n / 100) + 1`` (the prefix).
 * Classes with the same prefix and size form a group, and only groups are entered under the shingles of
   their prefix. Under each shingle, groups that no other group there fits by size and by the
-  position of the shingle are dropped; the others are bound to the smallest id there, their hub.
+  position of the shingle are dropped; the others are bound to the smallest group there, their hub.
 * Each (hub, group) is expanded to (hub, member), and the texts of the members of a hub are brought together and
   verified exactly against each other. A hub with more members than ``block`` is cut into blocks by hash, and
   each pair of blocks is verified on its own, so that no hub is one task's work. Links leave as the edges of a
@@ -103,13 +103,24 @@ def linked(common, n, m, percent: int):
     return 100 * common >= percent * (n + m - common)
 
 
-def run_members(rep: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
+def planes(x: np.ndarray) -> bytes:
+    """The numbers' lowest bytes, then their next ones, and so on: high bytes are mostly zero and compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def unplaned(raw: bytes, width: int, kind) -> np.ndarray:
+    wide = np.zeros((len(raw) // width, np.dtype(kind).itemsize), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return wide.view(kind).ravel()
+
+
+def run_members(n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
     """Which groups under one shingle some other group there fits by size and position."""
-    if len(rep) > 1024:
+    if len(n) > 1024:
         order = np.argsort(n, kind="stable")
         s = n[order]
         near = 100 * s[:-1] >= percent * s[1:]
-        out = np.zeros(len(rep), bool)
+        out = np.zeros(len(n), bool)
         out[order] = np.concatenate([near, [False]]) | np.concatenate([[False], near])
         return out
     most = 1 + np.minimum((n - pos - 1)[:, None], (n - pos - 1)[None, :])
@@ -213,15 +224,15 @@ class Join:
     def members(self) -> DataFrame:
         """(hub, rep): classes to be verified against each other, under each hub."""
         percent, buckets = self.percent, 2 * partitions(self.spark)
-        groups = saved(self.classes.groupBy("gid", "n").agg(F.min("rep").alias("grep"), F.count("*").alias("members")))
-        # the prefixes move once, those of the groups' first documents alone
-        entered = self.sets.join(groups.select("gid", "n", F.col("grep").alias("doc_id")), ["doc_id", "gid", "n"], "left_semi")
+        several = self.classes.groupBy("gid").agg(F.count("*").alias("members")).filter("members > 1")
 
         def post(batches):
             for b in batches:
+                # a group's documents in one batch enter it once
+                b = b.take(pa.array(np.unique(np.asarray(b.column("gid")), return_index=True)[1]))
                 lists = b.column("prefix")
                 n = np.asarray(b.column("n"))
-                rep = np.asarray(b.column("doc_id"))
+                gid = np.asarray(b.column("gid"))
                 values = np.asarray(lists.flatten()).view(U64)
                 length = np.asarray(pa.compute.list_value_length(lists))
                 owner = np.repeat(np.arange(len(length)), length)
@@ -233,31 +244,31 @@ class Join:
                 out = []
                 for k in np.flatnonzero(edge[1:] > edge[:-1]):
                     at = order[edge[k] : edge[k + 1]]
-                    out.append((int(k), key[at].tobytes(), rep[owner[at]].tobytes(), n[owner[at]].astype(np.int32).tobytes(), pos[at].astype(np.int32).tobytes()))
+                    out.append((int(k), planes(key[at])[: 5 * len(at)], planes(gid[owner[at]]), planes(n[owner[at]].astype(np.int32)), planes(pos[at].astype(np.int32))))
                 cols = list(zip(*out)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.int32()), *[pa.array(list(c), pa.binary()) for c in cols[1:]]], names=["bucket", "key", "rep", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.int32()), *[pa.array(list(c), pa.binary()) for c in cols[1:]]], names=["bucket", "key", "gid", "n", "pos"])
 
         def meet(_, rows):
-            whole = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in rows.column(c).to_pylist()])
-            key, rep, n, pos = whole("key", U64), whole("rep", np.int64), whole("n", np.int32).astype(np.int64), whole("pos", np.int32).astype(np.int64)
-            order = np.lexsort((rep, key))
-            key, rep, n, pos = key[order], rep[order], n[order], pos[order]
+            whole = lambda c, width, t: np.concatenate([unplaned(x, width, t) for x in rows.column(c).to_pylist()])
+            key, gid, n, pos = whole("key", 5, U64), whole("gid", 8, np.int64), whole("n", 4, np.int32).astype(np.int64), whole("pos", 4, np.int32).astype(np.int64)
+            order = np.lexsort((gid, key))
+            once = order[np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(gid[order]) != 0)])]
+            key, gid, n, pos = key[once], gid[once], n[once], pos[once]
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             hubs, reps = [], []
             for a, b in zip(edge[:-1][np.diff(edge) > 1], edge[1:][np.diff(edge) > 1]):
-                keep = run_members(rep[a:b], n[a:b], pos[a:b], percent)
+                keep = run_members(n[a:b], pos[a:b], percent)
                 if keep.any():
-                    own = rep[a:b][keep]
+                    own = gid[a:b][keep]
                     hubs.append(np.full(len(own), own[0]))
                     reps.append(own)
             pairs = np.unique(np.column_stack([np.concatenate(hubs), np.concatenate(reps)]), axis=0) if hubs else np.zeros((0, 2), np.int64)
-            return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["hub", "grep"])
+            return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["hub", "gid"])
 
-        found = entered.select("doc_id", "n", "prefix").mapInArrow(post, "bucket int, key binary, rep binary, n binary, pos binary").groupBy("bucket").applyInArrow(meet, "hub long, grep long")
+        found = self.sets.filter("n > 0").select("gid", "n", "prefix").mapInArrow(post, "bucket int, key binary, gid binary, n binary, pos binary").groupBy("bucket").applyInArrow(meet, "hub long, gid long")
         # a group's own members share their prefix, so they are candidates of each other
-        found = found.unionByName(groups.filter("members > 1").select(F.col("grep").alias("hub"), "grep")).distinct()
-        of = self.classes.select("gid", "n", "rep").join(groups.select("gid", "n", "grep"), ["gid", "n"]).select("grep", "rep")
-        return found.join(of, "grep").select("hub", "rep").distinct()
+        found = found.unionByName(several.select(F.col("gid").alias("hub"), "gid")).distinct()
+        return found.join(self.classes.select("gid", "rep"), "gid").select("hub", "rep").distinct()
 
     def links(self, every: bool = False) -> DataFrame:
         """(a, b): links between classes, by the smallest ids; a spanning forest of each block, or ``every`` one."""
