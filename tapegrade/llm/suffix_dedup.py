@@ -298,7 +298,7 @@ def flags_of(part, data, start, size, count, begin, owner, flags, width) -> None
     flags[slot[order[least < own]]] = True
 
 
-def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), width: int = WIDTH, gram: int = GRAM, chunk_bytes: int = 32 << 20, decode: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), width: int = WIDTH, gram: int = GRAM, chunk_bytes: int = 32 << 20, least_bytes: int = 1 << 20, decode: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, spans (removed [start, end) byte ranges), kept, and the columns of ``keep``.
 
     ``kept`` is binary; with ``decode`` it is text, without what is left of characters that were cut.
@@ -306,8 +306,9 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     spark = prepare(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 2 * partitions(spark)
-    chunks = max(buckets, -(-total // chunk_bytes))
+    # a chunk has one row a bucket, so their numbers follow the data as well as the partitions
+    chunks = max(1, min(2 * partitions(spark), -(-total // least_bytes)), -(-total // chunk_bytes))
+    buckets = min(2 * partitions(spark), chunks)
     dealt = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
 
     def chunk_of(key, table: pa.Table) -> Chunk:
