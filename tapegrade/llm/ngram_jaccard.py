@@ -10,7 +10,8 @@ different sets are found:
   share a shingle among their first ``n - ceil(percent * n / 100) + 1`` (the prefix).
 * Classes with the same prefix and size form a group, and only groups are entered under the shingles of
   their prefix. Under each shingle, groups that no other group there fits by size and by the
-  position of the shingle are dropped; the others are bound to the smallest group there, their hub.
+  position of the shingle are dropped; the others are bound to the smallest group there, their hub. Then the
+  prefixes of a hub's groups are compared as a whole, and groups that fit no other one by them are dropped too.
 * Each (hub, group) is expanded to (hub, member), and the texts of the members of a hub are brought together and
   verified exactly against each other. A hub with more members than ``block`` is cut into blocks by hash, and
   each pair of blocks is verified on its own, so that no hub is one task's work. Links leave as the edges of a
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,10 +130,8 @@ def run_members(n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
     return fits.any(1)
 
 
-def links_within(doc: np.ndarray, s: np.ndarray, block: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of the sets (doc, s); with two blocks, only pairs across them."""
-    n_docs = len(block)
-    size = np.bincount(doc, minlength=n_docs)
+def common_counts(doc: np.ndarray, s: np.ndarray, n_docs: int) -> np.ndarray:
+    """Sizes of the intersections of all pairs of the sets (doc, s)."""
     order = np.argsort(s, kind="stable")
     value = s[order]
     new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.zeros(0, bool)
@@ -149,14 +148,48 @@ def links_within(doc: np.ndarray, s: np.ndarray, block: np.ndarray, percent: int
             m = np.zeros((n_docs, step), np.float32)
             m[rows[a:b], cols[a:b] % step] = 1
             common += m @ m.T
-    common = common.astype(np.int64)
-    fits = linked(common, size[:, None], size[None, :], percent) & (common > 0)
+    return common.astype(np.int64)
+
+
+def links_within(doc: np.ndarray, s: np.ndarray, block: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of the sets (doc, s); with two blocks, only pairs across them."""
+    size = np.bincount(doc, minlength=len(block))
+    common = common_counts(doc, s, len(block))
+    return _pairs(linked(common, size[:, None], size[None, :], percent) & (common > 0), block)
+
+
+def _pairs(fits: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if block.any() and not block.all():
         fits &= block[:, None] != block[None, :]
     a, b = np.nonzero(np.triu(fits, 1))
     return a, b
 
 
+def possible_within(doc: np.ndarray, s: np.ndarray, n: np.ndarray, block: np.ndarray, percent: int) -> np.ndarray:
+    """Which groups some other group fits, by their whole prefixes (doc, s).
+
+    Of two prefixes, take the one whose last shingle comes first in the order: nothing of it can be among the
+    other's later shingles. So sets share at most what the prefixes share and the rest of one of them.
+    """
+    common = common_counts(doc, s, len(n))
+    rest = n - prefix_length(n, percent)
+    most = common + np.maximum(rest[:, None], rest[None, :])
+    a, b = _pairs(linked(most, n[:, None], n[None, :], percent) & (common > 0), block)
+    return np.unique(np.concatenate([a, b]))
+
+
+def hub_groups(rows: pa.Table, member: str):
+    """Rows of each (hub, lo, hi) with two members at least."""
+    hub, lo, hi, own = (rows.column(c).to_numpy() for c in ("hub", "lo", "hi", member))
+    order = np.lexsort((own, hi, lo, hub))
+    rows = rows.take(pa.array(order))
+    hub, lo, hi = hub[order], lo[order], hi[order]
+    edge = np.flatnonzero(np.concatenate([[True], (hub[1:] != hub[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), [True]]))
+    for a, b in zip(edge[:-1], edge[1:]):
+        if b - a > 1:
+            yield rows.slice(a, b - a)
+
+
 def forest(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
     """(id, smallest id) for the members of each component of some links."""
     up = {int(x): int(x) for x in ids}
@@ -234,7 +267,7 @@ class Join:
                 n = np.asarray(b.column("n"))
                 gid = np.asarray(b.column("gid"))
                 values = np.asarray(lists.flatten()).view(U64)
-                length = np.asarray(pa.compute.list_value_length(lists))
+                length = np.asarray(pc.list_value_length(lists))
                 owner = np.repeat(np.arange(len(length)), length)
                 pos = np.arange(len(values)) - np.repeat(np.cumsum(length) - length, length)
                 key = mix(values)
@@ -267,35 +300,45 @@ class Join:
 
         found = self.sets.filter("n > 0").select("gid", "n", "prefix").mapInArrow(post, "bucket int, key binary, gid binary, n binary, pos binary").groupBy("bucket").applyInArrow(meet, "hub long, gid long")
         # a group's own members share their prefix, so they are candidates of each other
-        found = found.unionByName(several.select(F.col("gid").alias("hub"), "gid")).distinct()
+        prefixes = self.sets.filter("n > 0").select("gid", "n", "prefix").dropDuplicates(["gid"])
+
+        def narrow(_, rows):
+            out = []
+            for part in hub_groups(rows, "gid"):
+                lists = part.column("prefix").combine_chunks()
+                doc = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy())
+                own = part.column("own").to_numpy() != part.column("lo").to_numpy()
+                kept = possible_within(doc, lists.flatten().to_numpy().view(U64), part.column("n").to_numpy(), own, percent)
+                out.append(part.select(["hub", "gid"]).take(pa.array(kept)))
+            return pa.concat_tables(out) if out else rows.select(["hub", "gid"]).slice(0, 0)
+
+        # the sort-merge join at every size: the prefixes move once, however few groups there are
+        narrowed = self._dealt(found.distinct(), "gid").join(prefixes.hint("merge"), "gid").groupBy("bucket").applyInArrow(narrow, "hub long, gid long")
+        found = narrowed.unionByName(several.select(F.col("gid").alias("hub"), "gid")).distinct()
         return found.join(self.classes.select("gid", "rep"), "gid").select("hub", "rep").distinct()
 
+    def _dealt(self, members: DataFrame, member: str) -> DataFrame:
+        """Members by hub, and by pair of blocks where a hub has more than ``block``; a hub's only member is dropped."""
+        count = members.groupBy("hub").agg(F.count("*").alias("k")).filter("k > 1").withColumn("blocks", F.ceil(F.col("k") / self.block).cast("int"))
+        placed = members.join(count, "hub").withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
+        pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        out = pairs.select("hub", member, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        return out.withColumn("bucket", F.pmod(F.xxhash64("hub", "lo", "hi"), F.lit(4 * partitions(self.spark))).cast("int"))
+
     def links(self, every: bool = False) -> DataFrame:
         """(a, b): links between classes, by the smallest ids; a spanning forest of each block, or ``every`` one."""
-        percent, width, size = self.percent, self.width, self.block
+        percent, width = self.percent, self.width
         members = saved(self.members())
-        count = members.groupBy("hub").agg(F.count("*").alias("k")).filter("k > 1")
-        blocks = F.ceil(F.col("k") / size).cast("int")
-        placed = members.join(count, "hub").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", "rep", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-        buckets = 4 * partitions(self.spark)
-        dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("hub", "lo", "hi"), F.lit(buckets)).cast("int"))
-        # one text a class: a row whose id and set are the class's own
-        texts = self.base.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
+        dealt = self._dealt(members, "rep")
+        # the texts of classes that may have links; the same join at every size
+        texts = self.base.join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id")
 
         def verify(_, rows):
-            hub, lo, hi, own, rep = (rows.column(c).to_numpy() for c in ("hub", "lo", "hi", "own", "rep"))
-            order = np.lexsort((rep, hi, lo, hub))
-            rows = rows.take(pa.array(order))
-            hub, lo, hi, own, rep = (x[order] for x in (hub, lo, hi, own, rep))
-            edge = np.flatnonzero(np.concatenate([[True], (hub[1:] != hub[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), [True]]))
             out = []
-            for a, b in zip(edge[:-1], edge[1:]):
-                if b - a < 2:
-                    continue
-                doc, s = shingles(*buffers(rows.column("text").slice(a, b - a)), width)
-                x, y = links_within(doc, s, own[a:b] != lo[a:b], percent)
-                ids = rep[a:b]
+            for part in hub_groups(rows, "rep"):
+                doc, s = shingles(*buffers(part.column("text")), width)
+                x, y = links_within(doc, s, part.column("own").to_numpy() != part.column("lo").to_numpy(), percent)
+                ids = part.column("rep").to_numpy()
                 out += list(zip(ids[x].tolist(), ids[y].tolist())) if every else forest(x, y, ids)
             return pa.table([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
