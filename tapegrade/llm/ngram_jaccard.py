@@ -280,8 +280,8 @@ class Join:
         dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", "rep", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
         buckets = 4 * partitions(self.spark)
         dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("hub", "lo", "hi"), F.lit(buckets)).cast("int"))
-        # one text a class: a row whose id and set are the class's own
-        texts = self.base.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
+        # the texts of classes that may have links; their number follows the input, so it is the same join at every size
+        texts = self.base.join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id")
 
         def verify(_, rows):
             hub, lo, hi, own, rep = (rows.column(c).to_numpy() for c in ("hub", "lo", "hi", "own", "rep"))
