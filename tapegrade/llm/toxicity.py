@@ -121,7 +121,7 @@ def fit(rows: list[tuple[np.ndarray, int]], chosen: np.ndarray, terms=IDENTITY_T
     rare = float(y.mean() < 0.5)
     share = np.where(y == rare, np.sqrt(max(np.mean(y != rare), 1e-9) / np.mean(y == rare)), 1.0) / len(y)
     # Newton's method with halved steps; the intercept is the last, unpenalised column
-    x = np.column_stack([x, np.ones(len(rows), np.float32)])
+    x = np.column_stack([x, np.ones(len(rows))]).astype(np.float64)  # about 50 MB at most: bound rows of most features
     fixed = np.zeros((len(keys) + 1, len(keys) + 1))
     fixed[:-1, :-1] = ridge / len(y) * np.eye(len(keys)) + 2 * penalty / max(1, len(d)) * (d.T @ d)
 
@@ -148,7 +148,7 @@ def fit(rows: list[tuple[np.ndarray, int]], chosen: np.ndarray, terms=IDENTITY_T
     return Model(keys, w, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 12_000, most: int = 2000, least: int = 4, apart: float = 4.0, terms=IDENTITY_TERMS, **shape) -> Model:
+def train(docs: DataFrame, labels: DataFrame, bound: int = 12_000, most: int = 500, least: int = 4, apart: float = 4.0, terms=IDENTITY_TERMS, **shape) -> Model:
     """Two passes over the sample: counts by class choose at most ``most`` features, then rows of those are fitted on the driver."""
     prepare(docs.sparkSession)
     sample = training_sample(docs, labels, "toxic", bound)
