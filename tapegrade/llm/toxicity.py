@@ -4,7 +4,8 @@ A text's features are the distinct lower-cased words (runs of letters) it holds,
 ``GRAM`` bytes, by 64-bit hash. Training takes a bounded sample of labelled rows (``bound``, 12,000 by default), counts features
 by class on the executors, keeps those that are in enough rows and tell the classes apart best, and minimises logistic loss + ridge + ``penalty`` times the mean
 squared change of the margin when an identity term of a labelled sentence is swapped for another
-one of its list. A term that is merely frequent in toxic rows thus cannot carry weight of its own:
+one of its list. A swap changes all features of both terms, words and substrings, or the words alone where the rest of the
+sentence holds the substrings; both changes are penalised. A term that is merely frequent in toxic rows thus cannot carry weight of its own:
 all terms of a list are drawn to the same weight, and since terms are also swapped for a neutral word, to that word's. Documents are scored whole on the executors, as vectorised sums of weights of
 their distinct words.
 
@@ -91,6 +92,12 @@ def identity_groups(terms=IDENTITY_TERMS) -> list[np.ndarray]:
     return [word_keys([*g, NEUTRAL]) for g in terms]
 
 
+def identity_features(terms=IDENTITY_TERMS) -> list[list[np.ndarray]]:
+    """All features, word and substrings, of each term of each list and of the neutral word."""
+    raw = [[np.frombuffer(w.encode(), np.uint8) for w in (*g, NEUTRAL)] for g in terms]
+    return [[distinct_terms(data, np.array([0, len(data)]))[1] for data in g] for g in raw]
+
+
 def fit(rows: list[tuple[np.ndarray, int]], chosen: np.ndarray, terms=IDENTITY_TERMS, penalty: float = 10.0, ridge: float = 0.1, steps: int = 30) -> Model:
     """Fits on (distinct hashes, label) rows with the chosen hashes and the identity terms as features."""
     y = np.array([label for _, label in rows], float)
@@ -107,23 +114,26 @@ def fit(rows: list[tuple[np.ndarray, int]], chosen: np.ndarray, terms=IDENTITY_T
     x[doc[hit], column[hit]] = 1
     # the change of the features when a term of a labelled row is swapped for each other one of its list
     swaps, place = [], {int(k): j for j, k in enumerate(keys)}
-    for g in groups:
-        cols = [place[int(k)] for k in g]
-        for a in cols[:-1]:
-            n = x[:, a].sum()
-            for b in cols if n else ():
-                if a != b:
-                    d = np.zeros(len(keys))
-                    d[a], d[b] = 1, -1
+    for g, features in zip(groups, identity_features(terms)):
+        words = [place[int(k)] for k in g]
+        cols = [[place[int(k)] for k in f if int(k) in place] for f in features]
+        for a in range(len(words) - 1):
+            n = x[:, words[a]].sum()
+            for b in range(len(words)) if n else ():
+                if words[a] != words[b]:
+                    d = np.zeros((2, len(keys)))
+                    d[0, words[a]], d[0, words[b]] = 1, -1
+                    d[1, cols[a]] += 1
+                    d[1, cols[b]] -= 1
                     swaps.append(d * np.sqrt(n / len(rows)))
-    d = np.array(swaps) if swaps else np.zeros((0, len(keys)))
+    d = np.concatenate(swaps) if swaps else np.zeros((0, len(keys)))
     # rows of the rarer class weigh more, by the square root of the classes' ratio
     rare = float(y.mean() < 0.5)
     share = np.where(y == rare, np.sqrt(max(np.mean(y != rare), 1e-9) / np.mean(y == rare)), 1.0) / len(y)
     # Newton's method with halved steps; the intercept is the last, unpenalised column
     x = np.column_stack([x, np.ones(len(rows))]).astype(np.float64)  # about 50 MB at most: bound rows of most features
     fixed = np.zeros((len(keys) + 1, len(keys) + 1))
-    fixed[:-1, :-1] = ridge / len(y) * np.eye(len(keys)) + 2 * penalty / max(1, len(d)) * (d.T @ d)
+    fixed[:-1, :-1] = ridge / len(y) * np.eye(len(keys)) + 2 * penalty / max(1, len(swaps)) * (d.T @ d)
 
     def loss(w):
         m = x @ w

@@ -234,6 +234,23 @@ def test_identity_terms_carry_no_weight_of_their_own(spark):
     assert gap(toxicity.train(docs, labels)) < 0.1 * gap(toxicity.train(docs, labels, penalty=0.0))
 
 
+def test_swapped_identity_terms_leave_the_score_of_a_sentence(spark):
+    docs, labels, _ = labelled(spark)
+    raw = lambda t: np.frombuffer(t.encode(), np.uint8)
+
+    def margin(m, term):
+        data = raw(f"they said that {term} came to town")
+        p = float(m.score(data, np.array([0, len(data)]))[0])
+        return np.log(p / (1 - p))
+
+    fair, free = toxicity.train(docs, labels), toxicity.train(docs, labels, penalty=0.0)
+    grams = toxicity.distinct_terms(raw("muslims"), np.array([0, 7]))[1]
+    assert np.isin(grams, free.keys).sum() > 1  # substrings of the term are features
+    for other in ("people", "christians", "jews"):
+        gap = [abs(margin(m, "muslims") - margin(m, other)) for m in (fair, free)]
+        assert gap[0] < 0.1 * gap[1], other
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels, rows = labelled(spark)
     got = quality_model.score_documents(docs, quality_model.train(docs, labels)).collect()
