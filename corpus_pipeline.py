@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies; rows without an id have no group and stay."""
-    found = ngram_jaccard.jaccard_components(docs)
+    """The document of the smallest id of each group of near copies (five-word shingles, similarity of 0.8 or more); rows without an id have no group and stay."""
+    found = ngram_jaccard.jaccard_components(docs, percent=80, width=5)
     keep = found.filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)

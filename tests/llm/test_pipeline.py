@@ -9,7 +9,7 @@ import corpus_pipeline
 from tapegrade.llm import mixing, toxicity
 from tapegrade.llm.queries import tokenizer_path
 
-from .test_text_ops import components, none_last
+from .test_text_ops import WORD, components, none_last
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,6 +48,36 @@ def test_one_document_of_each_group_stays(stages):
     assert ids(stages[2]) == sorted((i is None, i) for i, _, c in named if i is None or i == c)
 
 
+def kept_at_five_words(rows):
+    """Ids of the smallest member of each component over five-word shingles and a similarity of 0.8, by brute force."""
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(t.lower())
+        sets.append({tuple(w)} if len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    return sorted(min(i for (i, _), h in zip(rows, group) if h == g) for g in set(group))
+
+
+def test_near_copies_link_at_five_words_and_four_fifths(spark, sf):
+    rows = []
+    for base, (words, edits, added) in enumerate([(190, 4, 0), (190, 5, 0), (100, 0, 20), (100, 0, 24), (100, 0, 28), (3, 1, 0), (60, 1, 0), (60, 2, 0)]):
+        w = [f"b{base}x{k}" for k in range(words)]
+        copy = list(w)
+        for e in range(edits):
+            copy[(e + 1) * words // (edits + 1)] = f"edit{base}x{e}"
+        rows += [(10 * base + 1, " ".join(w)), (10 * base + 2, " ".join(copy + [f"more{base}x{k}" for k in range(added)]))]
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, sf).collect())
+    assert got == kept_at_five_words(rows)
+    # four edits of 190 words, and a fifth added: at four words and 85 % both copies would stay
+    assert 2 not in got and 22 not in got
+
+
 def test_repeated_bytes_are_cut(stages):
     width, first = 50, {}
     rank = lambda i: float("inf") if i is None else i
