@@ -1,7 +1,9 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences (at line ends and at ``. ! ? ;`` before white space), each is normalised (lower
-case, runs of anything but a-z and 0-9 to one blank) and looked up among known licence sentences.
+A text is normalised (lower case, runs of anything but a-z and 0-9 to one blank) and cut into sentences at blank lines
+and at ``. ! ? ;`` before white space. Known licence sentences are looked for from the start of a line or sentence to the
+end of one: a single line end is white space, so that hard-wrapped notices and headings on their own line are both found. Of known
+sentences that start at one place the longest counts. A known sentence that a cut divides needs all its parts, and an address may stand in a paragraph of its own.
 The identifiers found, in order, make the document's sequence. Rules are tried in their order; a rule
 matches where its identifiers follow each other in the sequence, and what it matched is used up, so
 that a full notice is not reported again as the short one it contains.
@@ -77,7 +79,10 @@ RULES = (
     ("MPL-2.0", ("mpl-short",)),
 )
 
-CUT = "[.!?;]+(?:\\s|$)|\\n"
+STOP = "[.!?;]+(?:\\s|$)"
+CUT = STOP + "|\\n"
+#: Stands for a cut in a normalised text.
+MARK = "\x01"
 
 
 def normalise(sentence: str) -> str:
@@ -88,15 +93,17 @@ def normalise(sentence: str) -> str:
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences=None, rules=RULES) -> DataFrame:
     """doc_id, n_known, sentence_ids (array), licenses (array, in rule order) and license (the first, or null)."""
     keys: dict[str, str] = {}
-    for name, s in (sentences or SENTENCES).items():
-        for part in re.split(CUT, s.lower()):
-            if normalise(part):
-                keys.setdefault(normalise(part), name)
-    table = F.create_map(*[F.lit(x) for pair in keys.items() for x in pair])
+    for name, sentence in (sentences or SENTENCES).items():
+        parts = [normalise(part) for part in re.split(CUT, sentence.lower())]
+        if any(parts):
+            keys.setdefault(MARK.join(p for p in parts if p), name)
+    table = F.create_map(*[F.lit(x) for k, name in keys.items() for x in (k.replace(MARK, " "), name)])
+    spaced = [k.replace(" http ", f"[ \n{MARK}]http ").replace(" ", "[ \n]").replace("[[ \n]\n", "[ \n") for k in sorted(keys, key=len, reverse=True)]
+    wanted = f"[\n{MARK}]({'|'.join(spaced)})(?=[\n{MARK}])"
     tried = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(" " + " ".join(ids) + " ").alias("ids")) for name, ids in rules])
 
-    def known(found):
-        return F.filter(F.transform(found, lambda s: F.try_element_at(table, F.btrim(F.regexp_replace(s, "[^a-z0-9]+", " ")))), lambda x: x.isNotNull())
+    def known(plain):
+        return F.filter(F.transform(F.regexp_extract_all(plain, F.lit(wanted), F.lit(1)), lambda x: F.try_element_at(table, F.translate(x, f"\n{MARK}", "  "))), lambda x: x.isNotNull())
 
     def matched(ids):
         start = F.struct(F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" ")).alias("rest"), F.array().cast("array<string>").alias("names"))
@@ -107,8 +114,11 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", se
 
         return F.when(F.size(ids) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.aggregate(tried, start, step, lambda acc: acc["names"])))
 
-    cut = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), CUT, -1)
-    ids = let(cut, known)
+    plain = F.translate(F.lower(F.coalesce(F.col(text), F.lit(""))), MARK, "\x02")
+    for pattern, to in ((STOP, MARK), (f"[^a-z0-9\n{MARK}]+", " "), (" ?\n ?", "\n"), ("\n{2,}", MARK)):
+        plain = F.regexp_replace(plain, pattern, to)
+    plain = F.regexp_replace(F.concat(F.lit(MARK), plain, F.lit(MARK)), f"[ \n{MARK}]*{MARK}[ \n{MARK}]*", MARK)
+    ids = let(plain, known)
     out = docs.select(F.col(doc_id).alias("doc_id"), let(ids, lambda i: F.struct(i.alias("ids"), matched(i).alias("names"))).alias("r"))
     return out.select("doc_id", F.size("r.ids").cast("bigint").alias("n_known"), F.col("r.ids").alias("sentence_ids"), F.col("r.names").alias("licenses"), F.get("r.names", F.lit(0)).alias("license"))
 

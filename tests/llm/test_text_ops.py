@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,5 +222,21 @@ def test_license_sequences(spark):
     }
 
 
+def test_wrapped_notices_are_recognised(spark):
+    known, wrapped = license_scan.SENTENCES, lambda t, mark="": textwrap.fill(t, 70, initial_indent=mark, subsequent_indent=mark)
+    mit = "MIT License\n\nCopyright (c) 2020 A. Body\n\n" + wrapped(known["mit-grant"]) + "\n\n" + wrapped(known["mit-notice"] + ".")
+    apache = wrapped(known["apache-long"] + "; " + known["apache-comply"] + ". You may obtain a copy of the License at", "# ") + "\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n" + wrapped(known["apache-asis"] + ".", "# ")
+    bsd = wrapped(known["bsd-redistribute"]) + "\n\n" + wrapped("1. " + known["bsd-source"] + ".") + "\r\n" + wrapped("2. " + known["bsd-binary"] + ".")
+    gpl = wrapped(known["gpl-free"] + ".", " * ") + "\n *\n" + wrapped(known["gpl-hope"] + "; without even the implied warranty of FITNESS.", " * ")
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed"
+    rows = [(1, mit), (2, apache), (3, bsd), (4, gpl), (5, mpl), (6, "Version\n2.0\nis out. 2.0"), (7, "MIT License\n" + wrapped(known["mit-grant"])), (8, "Released under\n\nthe MIT License"), (9, "This Source Code Form is subject to the terms of the Mozilla Public License, v.")]
+    got = {r["doc_id"]: (tuple(r["sentence_ids"]), tuple(r["licenses"])) for r in license_scan.license_scan(table(spark, rows)).collect()}
+    assert got == {
+        1: (("mit-name", "mit-grant", "mit-notice"), ("MIT",)), 2: (("apache-long", "apache-comply", "apache-obtain", "apache-asis"), ("Apache-2.0",)),
+        3: (("bsd-redistribute", "bsd-source", "bsd-binary"), ("BSD-3-Clause",)), 4: (("gpl-free", "gpl-hope"), ("GPL-3.0-or-later",)), 5: (("mpl-short",), ("MPL-2.0",)),
+        6: ((), ()), 7: (("mit-name", "mit-grant"), ("MIT",)), 8: ((), ()), 9: ((), ()),
+    }
+
+
 def test_license_scan_of_an_empty_table(spark):
     assert license_scan.license_scan(table(spark, [])).count() == 0
