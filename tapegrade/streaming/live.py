@@ -34,14 +34,22 @@ def recorded(stream: DataFrame) -> DataFrame:
 
 
 def daily(stream: DataFrame) -> DataFrame:
-    """Actions by coin and day; a day is emitted once the watermark has passed it."""
+    """Actions by coin and day; in append mode a day is emitted once the watermark has passed it, in update mode at each change."""
     return stream.withWatermark("ts", LATENESS).groupBy(F.window("ts", "1 day"), "coin").agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "coin", "n")
 
 
-def flocks(stream: DataFrame, least: int = 2) -> DataFrame:
-    """Coins and sides that several addresses act on within a quarter of an hour."""
-    w = stream.withWatermark("ts", LATENESS).groupBy(F.window("ts", "15 minutes", "5 minutes"), "coin", "side").agg(F.approx_count_distinct("address").alias("addresses"))
-    return w.filter(F.col("addresses") >= least).select(F.col("window.start").alias("start"), "coin", "side", "addresses")
+def followers(stream: DataFrame) -> DataFrame:
+    """Actions of other addresses on one coin and side within a quarter of an hour after each action: an interval self-join."""
+    lead = stream.withWatermark("ts", LATENESS).select(F.col("ts").alias("start"), "coin", "side", "address")
+    then = stream.withWatermark("ts", LATENESS).select("ts", F.col("coin").alias("coin_b"), F.col("side").alias("side_b"), F.col("address").alias("other"))
+    near = F.expr("coin = coin_b AND side = side_b AND address <> other AND ts >= start AND ts <= start + INTERVAL 15 MINUTES")
+    return lead.join(then, near).select("start", "coin", "side", "address", "other")
+
+
+def flocks(met: DataFrame, least: int = 2) -> DataFrame:
+    """Coins and sides that several addresses act on within a quarter of an hour from an action on, counted from drained ``followers``."""
+    seen = met.select("start", "coin", "side", F.explode(F.array("address", "other")).alias("address")).distinct()
+    return seen.groupBy("start", "coin", "side").agg(F.count("*").alias("addresses")).filter(F.col("addresses") >= least)
 
 
 def position_events(stream: DataFrame) -> DataFrame:
@@ -78,6 +86,24 @@ def drained(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def drained_windows(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state of every window there is now, open ones too: each batch's changed rows are written under its number."""
+    spark = stream.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        saved(spark.range(0))  # sets the folder
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/out/batch=-1")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    values = [c for c in stream.columns if c not in keys]
+    changes = spark.read.parquet(f"{folder}/out")
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*[f"v.{c}" if c in values else c for c in stream.columns])
+
+
 def _query(build: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: drained(build(actions(spark, sf_dir)))
 
@@ -89,8 +115,8 @@ def stream_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "stream_recorded": _query(recorded),
-    "stream_daily": _query(daily),
-    "stream_flocks": _query(flocks),
+    "stream_daily": lambda spark, sf_dir: drained_windows(daily(actions(spark, sf_dir)), ["day", "coin"]),
+    "stream_flocks": lambda spark, sf_dir: flocks(drained(followers(actions(spark, sf_dir)))),
     "stream_positions": _query(position_events),
     "stream_triggers": stream_triggers,
 }

@@ -141,6 +141,26 @@ def test_flow_adjusted_path(spark):
     assert round(t["risk"].first()["max_dd"], 6) == round(16 / 165, 6)
 
 
+def test_drained_streams_equal_the_batch(spark, sf):
+    import bisect
+
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("address"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("coin"), (F.regexp_extract("props", "([0-9]+)", 1).cast("int") % 2).alias("side"))
+    days = rows.groupBy(F.date_trunc("day", "ts").alias("day"), "coin").agg(F.count("*").alias("n"))
+    order = lambda found: sorted(map(tuple, found), key=str)
+    assert order(catalog.queries()["stream_daily"](spark, sf).select("day", "coin", "n").collect()) == order(days.collect())
+    by, want = {}, set()
+    for r in rows.withColumn("us", F.unix_micros("ts")).collect():
+        by.setdefault((r["coin"], r["side"]), []).append((r["us"], r["address"]))
+    for (coin, side), acts in by.items():
+        acts.sort()
+        for at, address in acts:
+            near = acts[bisect.bisect_left(acts, (at,)) : bisect.bisect_left(acts, (at + 900_000_001,))]
+            if len({a for _, a in near}) > 1:
+                want.add((at, coin, side, len({a for _, a in near})))
+    got = catalog.queries()["stream_flocks"](spark, sf).select(F.unix_micros("start"), "coin", "side", "addresses").collect()
+    assert order(got) == order(want) and want
+
+
 def test_macros():
     assert translate("SELECT DIV(a + 1, f(b, 2)) WHERE x > $max_dd", False) == "SELECT (a + 1 div f(b, 2)) WHERE x > 0.3e0"
     assert translate("SUMI(DIV(a, b))", True) == "CAST(sum((a // b)) AS BIGINT)"
