@@ -9,6 +9,7 @@ import zipfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch between the JVM and Python; bounds a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
@@ -62,6 +63,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_for(spark: SparkSession, size: int, each: int = 8 << 20) -> int:
+    """Into how many buckets ``size`` bytes are dealt, so that a worker holds about ``each`` at once: their number follows the data."""
+    return max(partitions(spark), -(-int(size) // each))
+
+
+def sized(df: DataFrame, rows: int, width: int) -> DataFrame:
+    """``df``, of so many counted rows of ``width`` bytes, for the small side of a join: broadcast up to 8 MB, else sorted and merged."""
+    return F.broadcast(df) if rows * width <= 8 << 20 else df.hint("merge")
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut."""
     prepare(df.sparkSession)

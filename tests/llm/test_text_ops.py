@@ -5,6 +5,8 @@ import random
 import re
 import textwrap
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +164,77 @@ def test_jaccard_components_match_brute_force(spark, block):
     assert none_last([tuple(r) for r in got]) == none_last(components(rows))
 
 
+def borderline_corpus(seed=11, bases=3, copies=60):
+    """Copies whose similarities lie close about the threshold, so that bounds alone decide little."""
+    rng = random.Random(seed)
+    rows, n = [], 0
+    for b in range(bases):
+        words = [f"w{b}x{k}" for k in range(120 + 40 * b)]
+        for _ in range(copies):
+            w = list(words)
+            for _ in range(rng.randint(1, 5)):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(10**6)}"
+            rows.append((n, " ".join(w)))
+            n += 1
+    return rows
+
+
+@pytest.mark.parametrize("shape", [{}, {"block": 7}, {"block": 16, "part": 3}])
+def test_jaccard_near_the_threshold(spark, shape):
+    rows = borderline_corpus()
+    got = ngram_jaccard.Join(table(spark, rows), **shape).components().collect()
+    assert none_last([tuple(r) for r in got]) == none_last(components(rows))
+
+
+def test_pairs_that_verification_refuses_are_searched_again(spark, monkeypatch):
+    # bits that bound nothing: every pair of one hub and of like sizes is a candidate
+    monkeypatch.setattr(ngram_jaccard, "parity_bits", lambda doc, s, n: pa.array([bytes(8)] * len(n), pa.binary()))
+    rows = borderline_corpus(5, 2, 14)
+    got = ngram_jaccard.Join(table(spark, rows), block=5).components().collect()
+    assert none_last([tuple(r) for r in got]) == none_last(components(rows))
+
+
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for n, m, common in ((5, 6, 4), (100, 90, 85), (33, 31, 30), (700, 640, 630)):
+        pool = rng.integers(0, 1 << 63, n + m, dtype=np.uint64) * np.uint64(2)
+        sets = [np.sort(pool[:n]), np.sort(pool[n - common : n - common + m])]
+        doc = np.repeat([0, 1], [n, m])
+        bits = ngram_jaccard.parity_bits(doc, np.concatenate(sets), np.array([n, m])).to_pylist()
+        for s, raw in zip(sets, bits):
+            power = len(raw).bit_length() + 2
+            want = np.bincount((s >> np.uint64(64 - power)).astype(int), minlength=1 << power) % 2
+            assert (np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little") == want).all()
+        x, y = (np.frombuffer(r, np.uint64)[None, :] for r in bits)
+        while x.shape[1] > y.shape[1]:
+            x = ngram_jaccard.folded(x)
+        apart = int(np.bitwise_count(x ^ y).sum())
+        true = n + m - 2 * common
+        assert apart <= true and (true - apart) % 2 == 0
+
+
+def test_entries_fit_as_by_all_pairs():
+    rng = np.random.default_rng(2)
+    n = rng.integers(1, 60, 400)
+    pos = (rng.random(400) * ngram_jaccard.prefix_length(n, 85)).astype(int)
+    key = np.sort(rng.integers(0, 90, 400))
+    most = np.minimum((n - pos)[:, None], (n - pos)[None, :])
+    fits = ngram_jaccard.linked(most, n[:, None], n[None, :], 85) & (key[:, None] == key[None, :])
+    np.fill_diagonal(fits, False)
+    assert (ngram_jaccard.fitting(n, pos, key, 85) == fits.any(1)).all()
+
+
+def test_jaccard_judges_rows_by_their_texts(spark):
+    """Ids that repeat or are null, null and very long texts, and extra columns with the operator's own names."""
+    words = [f"x{k}" for k in range(60)]
+    near = lambda k: " ".join(words[:-k] + ["y"])
+    long = [f"long{k}" for k in range(250_000)]
+    rows = [(2, near(1)), (2, "of its own a b c d"), (7, near(2)), (None, near(3)), (9, near(4)), (None, "z y x w v"), (5, None), (6, ""), (30, " ".join(long)), (31, " ".join(long[:-9]))]
+    df = table(spark, rows).selectExpr("*", "doc_id AS n", "text AS sig", "'x' AS hub", "1 AS node", "2 AS bits", "3 AS comp")
+    got = sorted(((r[0], r[2]) for r in ngram_jaccard.jaccard_components(df).collect()), key=str)
+    assert got == sorted([(2, 2), (2, 2), (7, 2), (None, 2), (9, 2), (None, None), (5, 5), (6, 6), (30, 30), (31, 30)], key=str)
+
+
 def test_jaccard_rows_without_id_take_the_linked_one(spark):
     text = "a b c d e f g h"
     got = ngram_jaccard.jaccard_components(table(spark, [(None, text), (3, text), (9, text), (None, "z y x w v")])).collect()
