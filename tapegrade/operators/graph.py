@@ -21,12 +21,21 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a partition of an edge table; fewer rows than this are one partition, which needs no shuffle.
+ROWS = 100_000
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of so many counted rows in as many partitions as they need."""
+    return df.coalesce(max(1, -(-rows // ROWS)))
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node`` and ``root`` (the smallest node reachable) for every node of ``edges`` (columns a, b: long).
 
     Each round joins a node's neighbours with their minimum. The edge table shrinks towards one star a
     component; it is written to the checkpoint folder after each round, and the loop ends when it no
-    longer changes. Only a count and a checksum of the edges reach the driver.
+    longer changes. Its partitions follow its rows, so that small tables cost no shuffles. Only a count and a checksum of the edges reach the driver.
     """
     now = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
@@ -43,9 +52,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     before = mark(now)
+    now = packed(now, before[0])
     for _ in range(most_rounds):
         now = saved(star(star(now, True), False))
         after = mark(now)
+        now = packed(now, after[0])
         if after == before:
             break
         before = after
