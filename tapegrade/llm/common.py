@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapegrade.operators.graph import packed
+
 #: Rows and bytes of one Arrow batch between the JVM and Python; bounds a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bytes that vectorised code works on at once.
@@ -79,6 +81,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` saved, in as many partitions as its rows need, and their number; for tables that may be small."""
+    df = saved(df)
+    rows = df.count()
+    return packed(df, rows), rows
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string or binary column and its offsets (one more than rows); null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

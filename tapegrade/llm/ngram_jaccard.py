@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tapegrade.operators.graph import connected_components
 
-from .common import LOWER, U64, buffers, buckets_for, mix, partitions, prepare, saved, sized, slices, span_hashes, word_spans
+from .common import LOWER, U64, buffers, buckets_for, kept, mix, partitions, prepare, saved, sized, slices, span_hashes, word_spans
 
 #: Very frequent shingles that are ordered last: at most so many, each in at least LOCAL documents of a slice.
 FREQUENT, LOCAL = 1 << 16, 4
@@ -54,7 +54,7 @@ BLOCK, BLOCK_BYTES = 1024, 8 << 20
 #: Members of a large hub that stand in all of its blocks.
 PIVOTS = 8
 #: Spanning forests of a first search, and how many times as many the next one takes.
-FORESTS, MORE = 4, 8
+FORESTS, MORE = 8, 32
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -448,10 +448,9 @@ class Join:
         many = pairs.groupBy("a").agg(F.ceil(F.count("*") / 64).cast("int").alias("pieces"))
         placed = pairs.join(many, "a").withColumn("piece", F.pmod(F.xxhash64("b"), "pieces").cast("int"))
         routes = placed.select("a", "piece", F.col("b").alias("node")).unionByName(placed.select("a", "piece", F.col("a").alias("node")).distinct())
-        routes = saved(routes.join(self.classes.select("node", "doc_id", "th", "size"), "node").select("a", "piece", "node", F.col("doc_id").alias("id"), F.col("th").alias("h"), "size"))
-        held = routes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-        buckets = buckets_for(self.spark, held[1])
-        met = self.base.join(sized(routes, held[0], 48), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h")))
+        routes, count = kept(routes.join(self.classes.select("node", "doc_id", "th", "size"), "node").select("a", "piece", "node", F.col("doc_id").alias("id"), F.col("th").alias("h"), "size"))
+        buckets = buckets_for(self.spark, routes.agg(F.sum("size")).first()[0] or 0)
+        met = self.base.join(sized(routes, count, 48), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h")))
         met = met.select(F.pmod(F.xxhash64("a", "piece"), F.lit(buckets)).cast("int").alias("bucket"), "a", "piece", "node", "text")
 
         def verify(_, rows):
@@ -478,16 +477,15 @@ class Join:
 
     def _search(self, cells: DataFrame, times: int | None) -> tuple[DataFrame, DataFrame]:
         """Pairs found by hub, and the distinct ones verified."""
-        found = saved(self._cells(cells, times))
-        return found, saved(self._verified(found.select("a", "b").distinct()))
+        found = kept(self._cells(cells, times))[0]
+        return found, kept(self._verified(found.select("a", "b").distinct()))[0]
 
     def links(self, every: bool = False) -> DataFrame:
         """(a, b): links between classes, by their numbers; enough to span each component, or ``every`` one."""
         members = saved(self.members())
         bytes_ = F.sum(F.octet_length("bits"))
         parts = F.greatest(F.ceil(F.count("*") / self.block), F.ceil(bytes_ / BLOCK_BYTES)).cast("int")
-        large = saved(members.groupBy("hub").agg(parts.alias("parts")).filter("parts > 1"))
-        several = large.count()
+        large, several = kept(members.groupBy("hub").agg(parts.alias("parts")).filter("parts > 1"))
         placed = members.join(sized(large, several, 16), "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
         plain = [F.lit(0).alias("side"), "node", "n", "bits"]
@@ -507,26 +505,25 @@ class Join:
         while True:
             # a hub of one block is done if nothing was refused, or nothing left out
             refused = found.filter("more").join(checked.filter("NOT links"), ["a", "b"]).select("hub")
-            again = saved(again.unionByName(refused).distinct())
-            count = again.count()
+            again, count = kept(again.unionByName(refused).distinct())
             if not count:
                 return tested.filter("links").select("a", "b")
             times *= MORE
             found, checked = self._search(self._rest(members, sized(again, count, 8), tested), times)
-            tested, again = saved(tested.unionByName(checked)), again.limit(0)
+            tested, again = kept(tested.unionByName(checked))[0], again.limit(0)
 
     def _rest(self, members: DataFrame, hubs: DataFrame, tested: DataFrame) -> DataFrame:
         """Cells of the hubs to be searched again: members outside a hub's largest component against all others."""
         roots = connected_components(tested.filter("links").select("a", "b"))
         refused = tested.filter("NOT links")
         no = refused.unionByName(refused.select(F.col("b").alias("a"), F.col("a").alias("b"), "links")).groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("no"))
-        rows = saved(members.join(hubs, "hub").join(roots, "node", "left").select("hub", "node", "n", "bits", F.coalesce("root", "node").alias("comp")))
+        rows = kept(members.join(hubs, "hub").join(roots, "node", "left").select("hub", "node", "n", "bits", F.coalesce("root", "node").alias("comp")))[0]
         sizes = rows.groupBy("hub", "comp").agg(F.count("*").alias("k"), F.sum(F.octet_length("bits")).alias("size"))
         parts = lambda k, size: F.greatest(F.lit(1), F.ceil(k / self.block), F.ceil(size / BLOCK_BYTES)).cast("int")
         largest = F.max(F.struct("k", "comp", "size"))
         whole = sizes.groupBy("hub").agg(largest.alias("top"), F.sum("k").alias("k"), F.sum("size").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
-        whole = saved(whole.select("hub", F.col("top.comp").alias("giant"), parts(F.col("k"), F.col("size")).alias("all"), parts(F.col("k") - F.col("top.k"), F.col("size") - F.col("top.size")).alias("few")))
-        rows = rows.join(sized(whole, whole.count(), 32), "hub")
+        whole, count = kept(whole.select("hub", F.col("top.comp").alias("giant"), parts(F.col("k"), F.col("size")).alias("all"), parts(F.col("k") - F.col("top.k"), F.col("size") - F.col("top.size")).alias("few")))
+        rows = rows.join(sized(whole, count, 32), "hub")
         own = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
         each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
         left = rows.filter("comp <> giant").join(no, "node", "left").select("hub", own("few").alias("i"), each("all").alias("j"), F.lit(0).alias("side"), "node", "n", "bits", "comp", "no")
