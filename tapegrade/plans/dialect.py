@@ -22,9 +22,9 @@ MACROS = {
     "DAYDATE": ("date_add(DATE '1970-01-01', CAST($1 AS INT))", "(DATE '1970-01-01' + CAST($1 AS INT))"),
     "MONTHDATE": ("make_date(CAST(floor(($1) / 12) AS INT), CAST(($1) % 12 + 1 AS INT), 1)", "make_date(CAST(floor(($1) / 12) AS BIGINT), CAST(($1) % 12 + 1 AS BIGINT), 1)"),
     "MS": ("unix_millis(CAST($1 AS TIMESTAMP))", "epoch_ms($1)"),
-    "DIV": ("($1 div $2)", "($1 // $2)"),
+    "DIV": ("(($1) div ($2))", "(($1) // ($2))"),
     "PCTL": ("percentile($1, $2)", "quantile_cont($1, $2)"),
-    "SEQ": ("explode(sequence($1, $2))", "unnest(range($1, $2 + 1))"),
+    "SEQ": ("explode(sequence($1, $2))", "unnest(range($1, ($2) + 1))"),
     "SUMI": ("sum($1)", "CAST(sum($1) AS BIGINT)"),
     "JOINED": ("listagg($1, ',') WITHIN GROUP (ORDER BY $1)", "string_agg($1, ',' ORDER BY $1)"),
     "DOW": ("weekday($1)", "(isodow($1) - 1)"),

@@ -5,8 +5,8 @@ QUERIES = {
     "twr": "SELECT address, round(twr, 6) AS twr FROM {day_stats}",
     "drawdown": "SELECT address, day, round(idx, 6) AS twr_index, round(dd, 6) AS drawdown FROM {drawdowns}",
     "rolling90": """
-        SELECT address, day, round(exp(s) - 1, 6) AS twr90 FROM (
-          SELECT address, day, sum(ln(1 + coalesce(r, 0))) OVER (PARTITION BY address ORDER BY day RANGE BETWEEN 89 PRECEDING AND CURRENT ROW) AS s FROM {returns}) t""",
+        SELECT address, day, round(CASE WHEN least_r <= -1 THEN -1 ELSE exp(s) - 1 END, 6) AS twr90 FROM (
+          SELECT address, day, sum(ln(greatest(1 + coalesce(r, 0), 1e-300))) OVER w AS s, min(coalesce(r, 0)) OVER w AS least_r FROM {returns} WINDOW w AS (PARTITION BY address ORDER BY day RANGE BETWEEN 89 PRECEDING AND CURRENT ROW)) t""",
     "risk_metrics": """
         SELECT d.address, round(sqrt(365.0) * mean_r / nullif(sd_r, 0), 6) AS sharpe, round(sqrt(365.0) * mean_r / nullif(down_r, 0), 6) AS sortino,
           round(twr / nullif(max_dd, 0), 4) AS calmar, round(max_dd, 6) AS max_dd, round(ulcer, 6) AS ulcer FROM {day_stats} d JOIN {risk} r ON d.address = r.address""",

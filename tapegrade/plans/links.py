@@ -131,7 +131,9 @@ QUERIES = {
             SELECT r.funder, f.address, min(f.day) AS first_day FROM {fills} f JOIN {registry} r ON f.address = r.address GROUP BY r.funder, f.address) w) b GROUP BY funder""",
     "d_h5": """
         SELECT address, max(n) AS most, CASE WHEN max(n) >= $twin_events THEN 'FLAG' ELSE 'PASS' END AS severity FROM (
-          SELECT a.address, b.address AS twin, count(*) AS n FROM {actions} a JOIN {actions} b ON a.coin = b.coin AND DIV(a.ms, 60000) = DIV(b.ms, 60000) AND a.address <> b.address AND a.side <> b.side GROUP BY a.address, b.address) t GROUP BY address""",
+          SELECT a.address, b.address AS twin, count(*) AS n FROM {actions} a
+            JOIN (SELECT address, coin, side, ms, notional_u, SEQ(DIV(ms, $twin_seconds * 1000) - 1, DIV(ms, $twin_seconds * 1000) + 1) AS slot FROM {actions}) b ON a.coin = b.coin AND DIV(a.ms, $twin_seconds * 1000) = b.slot AND abs(b.ms - a.ms) <= $twin_seconds * 1000 AND a.address <> b.address AND a.side <> b.side
+            AND b.notional_u BETWEEN (1 - $twin_notional) * a.notional_u AND (1 + $twin_notional) * a.notional_u GROUP BY a.address, b.address) t GROUP BY address""",
     "d_h6": """
         SELECT s.address, round(CORR(s.szi, m.r), 4) AS rho, count(*) AS days FROM {states} s JOIN {market} m ON s.day = m.day GROUP BY s.address HAVING count(*) >= 3 AND var_pop(s.szi) > 0 AND var_pop(m.r) > 0""",
     "d_m7_rotation": """
@@ -147,10 +149,11 @@ VIEWS = {
     "account_states": "SELECT address, day, SUMI(exposure_u) AS exposure_u, SUMI(upnl_u) AS upnl_u FROM {states} GROUP BY address, day",
     "coin_days": "SELECT address, coin, day, SUMI(pnl_u) AS pnl_u FROM {fills} GROUP BY address, coin, day",
     "net_days": "SELECT address, coin, day, SUMI(dq) AS dq FROM {fills} GROUP BY address, coin, day",
-    # hard links join subaccounts to the first address of their funder's slot, transfers join neighbours
+    # hard links join subaccounts to the first address of their funder's slot, and every internal transfer goes to that address
     "link_edges": """
         SELECT m.master AS src, r.address AS dst, 'hard' AS edge_type, 1 AS weight FROM {registry} r JOIN (SELECT cluster, min(address) AS master FROM {registry} GROUP BY cluster) m ON r.cluster = m.cluster WHERE r.address <> m.master AND r.role = 'subAccount'
-        UNION ALL SELECT f.address, f.address + 1, 'transfer', CAST(count(*) AS INT) FROM {flows} f JOIN {registry} r ON f.address + 1 = r.address WHERE f.kind = 'internalTransfer' AND f.id % 50 = 0 GROUP BY f.address, f.address + 1""",
+        UNION ALL SELECT f.address, m.master, 'transfer', CAST(count(*) AS INT) FROM {flows} f JOIN {registry} r ON f.address = r.address JOIN (SELECT cluster, min(address) AS master FROM {registry} GROUP BY cluster) m ON r.cluster = m.cluster
+          WHERE f.kind = 'internalTransfer' AND f.address <> m.master GROUP BY f.address, m.master""",
     # long and short quantity of a cluster's members in a coin after each day with a change
     "cluster_steps": """
         SELECT cluster, coin, day, sum(long_d) OVER w AS long_q, sum(short_d) OVER w AS short_q FROM (

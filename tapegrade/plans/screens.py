@@ -1,5 +1,8 @@
 """Screens, vetting rules, gates, grades, score and stages."""
 
+#: The gates, in their order.
+GATES = ("g1", "g1b", "g2", "g3", "g4", "g5", "g6", "g7", "g8", "g9", "g10", "g11", "g12")
+
 QUERIES = {
     "screen_s1": """
         SELECT address, CASE WHEN vlm_all = 0 THEN 'no_volume' WHEN role = 'vault' THEN 'vault' WHEN value_u < 0 THEN 'negative' WHEN active_days < 10 THEN 'few_days' ELSE 'keep' END AS verdict FROM {board}""",
@@ -22,8 +25,9 @@ QUERIES = {
           JOIN {registry} g ON b.address = g.address JOIN (SELECT cluster, count(*) AS members FROM {registry} GROUP BY cluster) m ON g.cluster = m.cluster) v""",
     "m_score": """
         SELECT b.address, CASE WHEN b.pnl_30 > 0 AND b.pnl_all > 0 THEN 25 ELSE 0 END + CASE WHEN b.vlm_30 >= 100000000000 THEN 15 ELSE 0 END + 15 * greatest(0, least(1, round(1 - r.ulcer, 6))) + CASE WHEN r.max_dd <= 0.5 THEN 15 ELSE 0 END
-          + 10 + CASE WHEN s.median_hold * 24 >= 1 THEN 10 ELSE 0 END + CASE WHEN coalesce(c.top_coin, 0) <= 0.8 THEN 10 ELSE 0 END AS score
-        FROM {board} b JOIN {risk} r ON b.address = r.address LEFT JOIN {trip_stats} s ON b.address = s.address LEFT JOIN {coin_share} c ON b.address = c.address""",
+          + CASE WHEN x.mean_lev BETWEEN 2 AND $leverage_max THEN 10 ELSE 0 END + CASE WHEN s.median_hold * 24 >= 1 THEN 10 ELSE 0 END + CASE WHEN coalesce(c.top_coin, 0) <= 0.8 THEN 10 ELSE 0 END AS score
+        FROM {board} b JOIN {risk} r ON b.address = r.address LEFT JOIN {trip_stats} s ON b.address = s.address LEFT JOIN {coin_share} c ON b.address = c.address
+          LEFT JOIN (SELECT address, sum(lev * span) / nullif(sum(span), 0) AS mean_lev FROM {leverage} WHERE span IS NOT NULL GROUP BY address) x ON b.address = x.address""",
     "screen_named": """
         SELECT screen, address FROM (
           SELECT p.screen, m.address, bool_and(CASE WHEN p.op = 'ge' THEN m.v >= p.bound ELSE m.v <= p.bound END) AS ok, count(*) AS met FROM {metric_rows} m JOIN {screen_rules} p ON m.metric = p.metric GROUP BY p.screen, m.address) s WHERE ok""",
@@ -57,16 +61,16 @@ QUERIES = {
     "severity_policy": """
         SELECT address, SUMI(CASE WHEN severity = 'VETO' THEN 1 ELSE 0 END) AS vetoes, count(DISTINCT CASE WHEN severity = 'FLAG' THEN substr(code, 1, 3) END) AS families,
           CASE WHEN bool_or(severity = 'VETO') THEN 'vet_fail' WHEN count(DISTINCT CASE WHEN severity = 'FLAG' THEN substr(code, 1, 3) END) >= $qa_families THEN 'needs_qa' ELSE 'clean' END AS verdict FROM {results} GROUP BY address""",
-    "gates": "SELECT address, g1, g1b, g2, g3, g4, g5, g6, g7, g9, g11, g12, g1 AND g1b AND g2 AND g3 AND g4 AND g5 AND g6 AND g7 AND g9 AND g11 AND g12 AS passed FROM {gate_rows}",
-    "funnel": "SELECT reason, count(*) AS n FROM (SELECT address, CASE WHEN NOT g12 THEN 'G12' WHEN NOT g1 THEN 'G1' WHEN NOT g1b THEN 'G1b' WHEN NOT g2 THEN 'G2' WHEN NOT g3 THEN 'G3' WHEN NOT g4 THEN 'G4' WHEN NOT g5 THEN 'G5' WHEN NOT g6 THEN 'G6' WHEN NOT g7 THEN 'G7' WHEN NOT g9 THEN 'G9' WHEN NOT g11 THEN 'G11' ELSE 'passed' END AS reason FROM {gate_rows}) r GROUP BY reason",
+    "gates": f"SELECT address, {', '.join(GATES)}, {' AND '.join(GATES)} AS passed FROM {{gate_rows}}",
+    "funnel": f"SELECT reason, count(*) AS n FROM (SELECT address, CASE {' '.join(f"WHEN NOT {g} THEN '{g.replace('g', 'G')}'" for g in ('g12', *GATES[:-1]))} ELSE 'passed' END AS reason FROM {{gate_rows}}) r GROUP BY reason",
     "sensitivity": """
         SELECT f.factor, SUMI(CASE WHEN r.max_dd <= $max_dd * f.factor THEN 1 ELSE 0 END) AS drawdown_ok, SUMI(CASE WHEN r.ulcer <= 0.05 * f.factor THEN 1 ELSE 0 END) AS ulcer_ok
         FROM {risk} r CROSS JOIN (SELECT 0.9 AS factor UNION ALL SELECT 1.0 UNION ALL SELECT 1.1) f GROUP BY f.factor""",
     "composite_score": "SELECT address, category, round(score, 6) AS score FROM {scored}",
     "ranking": "SELECT address, category, round(score, 6) AS score, tenure, row_number() OVER (PARTITION BY category ORDER BY round(score, 6) DESC, tenure DESC, address) AS place FROM {scored}",
-    "stages": """
-        SELECT g.address, CASE WHEN NOT g.g5 THEN 'vet_fail' WHEN g.genuine_late THEN 'reformed' WHEN p.verdict = 'vet_fail' THEN 'vet_fail' WHEN p.verdict = 'needs_qa' THEN 'needs_qa' WHEN g.g1 AND g.g7 AND g.g12 THEN 'qualified' ELSE 'deep_ok' END AS stage
-        FROM {gate_rows} g JOIN (SELECT address, CASE WHEN bool_or(severity = 'VETO') THEN 'vet_fail' WHEN count(DISTINCT CASE WHEN severity = 'FLAG' THEN substr(code, 1, 3) END) >= $qa_families THEN 'needs_qa' ELSE 'clean' END AS verdict FROM {results} GROUP BY address) p ON g.address = p.address""",
+    "stages": f"""
+        SELECT g.address, CASE WHEN {' AND '.join('g.' + x for x in GATES)} AND p.verdict = 'clean' THEN 'qualified' WHEN NOT g.g5 THEN 'vet_fail' WHEN g.genuine_late THEN 'reformed' WHEN p.verdict = 'vet_fail' THEN 'vet_fail' WHEN p.verdict = 'needs_qa' THEN 'needs_qa' ELSE 'deep_ok' END AS stage
+        FROM {{gate_rows}} g JOIN (SELECT address, CASE WHEN bool_or(severity = 'VETO') THEN 'vet_fail' WHEN count(DISTINCT CASE WHEN severity = 'FLAG' THEN substr(code, 1, 3) END) >= $qa_families THEN 'needs_qa' ELSE 'clean' END AS verdict FROM {{results}} GROUP BY address) p ON g.address = p.address""",
     "qa_sample": "SELECT address, verdict FROM (SELECT address, max(severity) AS verdict FROM {results} WHERE severity = 'VETO' GROUP BY address) v ORDER BY (address * 7919 + 13) % 10007, address LIMIT 20",
 }
 
@@ -88,13 +92,30 @@ VIEWS = {
         SELECT address, 'D-R2', CASE WHEN loss_hold / nullif(win_hold, 0) > $disposition THEN 'FLAG' ELSE 'PASS' END FROM {trip_stats} UNION ALL
         SELECT address, 'D-R3', CASE WHEN avg_win / nullif(avg_loss, 0) < $payoff_min THEN 'FLAG' ELSE 'PASS' END FROM {trip_stats} UNION ALL
         SELECT address, 'D-B3', CASE WHEN role = 'vault' THEN 'VETO' ELSE 'PASS' END FROM {registry}""",
+    "margin_use": "SELECT s.address, PCTL(s.margin_u / e.equity_u, 0.95) AS p95 FROM (SELECT address, day, SUMI(margin_u) AS margin_u FROM {states} GROUP BY address, day) s JOIN {equity} e ON s.address = e.address AND s.day = e.day GROUP BY s.address",
+    # the last 180 days and the last six calendar months of each address
+    "lately": f"""
+        SELECT b.address, coalesce(h.net_u, 0) AS net_u, coalesce(h.grew, false) AS grew, coalesce(m.active, 0) AS active, m.best_u, m.sum_u, g.longest, b.last - b.last_fill AS quiet
+        FROM {{board}} b LEFT JOIN (SELECT r.address, SUMI(r.net_u) AS net_u, CASE WHEN min(1 + coalesce(r.r, 0)) <= 0 THEN false ELSE sum(ln(greatest(1 + coalesce(r.r, 0), 1e-300))) > 0 END AS grew FROM {{returns}} r CROSS JOIN {{last_day}} d WHERE r.day > d.last - 180 GROUP BY r.address) h ON b.address = h.address
+        LEFT JOIN (SELECT address, count(*) AS active, max(net_u) AS best_u, SUMI(net_u) AS sum_u FROM {{months}} m CROSS JOIN {{last_day}} d WHERE m.month > d.last_month - 6 AND m.month <= d.last_month GROUP BY address) m ON b.address = m.address
+        LEFT JOIN (SELECT g.address, max(g.gap) AS longest FROM {{day_gaps}} g CROSS JOIN {{last_day}} d WHERE g.day > d.last - 180 GROUP BY g.address) g ON b.address = g.address""",
+    "best_trades": """
+        SELECT address, SUMI(net_u) AS net_u, SUMI(CASE WHEN k <= 5 AND net_u > 0 THEN net_u ELSE 0 END) AS top5_u FROM (
+          SELECT address, net_u, row_number() OVER (PARTITION BY address ORDER BY net_u DESC, coin, trip) AS k FROM {closed_trips}) r GROUP BY address""",
+    "vetoed": "SELECT address, bool_or(severity = 'VETO') AS vetoed FROM {results} GROUP BY address",
     "gate_rows": """
-        SELECT b.address, b.last - b.first_day >= $min_history AS g1, coalesce(c.genuine / nullif(c.active, 0) >= $coverage_min AND c.first_genuine <= $late_start_months, false) AS g1b, coalesce(c.first_genuine > $late_start_months, false) AS genuine_late,
-          w.coverage >= $weeks_min AS g2, coalesce(s.day_share >= $day_close_share, false) AS g3, f.maker < $maker_max AND b.n_fills / b.active_days < $trades_per_day AS g4, d.twr > 0 AND d.net_u > 0 AS g5,
-          c.positive >= $months_positive AS g6, r.max_dd <= $max_dd AS g7, l.recent <= $liq_recent AND l.lifetime <= $liq_lifetime AS g9, coalesce(d.mean_r / nullif(d.sd_r / sqrt(d.n), 0) >= $tstat_min, false) AS g11, d.median_u >= $equity_floor * 1e6 AS g12
+        SELECT b.address, b.last - b.first_day >= $min_history AND y.active >= $months_required AS g1,
+          coalesce(c.genuine / nullif(c.active, 0) >= $coverage_min AND c.first_genuine <= $late_start_months, false) AND NOT v.vetoed AS g1b, coalesce(c.first_genuine > $late_start_months, false) AS genuine_late,
+          w.coverage >= $weeks_min AND y.quiet <= $longest_gap AND coalesce(y.longest <= $longest_gap, false) AS g2, coalesce(s.day_share >= $day_close_share AND s.median_hold * 86400 BETWEEN $hold_low_s AND $hold_high_s, false) AS g3,
+          coalesce(s.avg_hold * 86400 >= $avg_hold_s, false) AND f.maker < $maker_max AND b.n_fills / b.active_days < $trades_per_day AS g4, d.twr > 0 AND d.net_u > 0 AND y.grew AND y.net_u > 0 AS g5,
+          c.positive >= $months_positive AND coalesce(y.sum_u > 0 AND y.best_u <= $month_share * y.sum_u, false) AND coalesce(t.net_u > 0 AND t.top5_u < $top5_share * t.net_u, false) AS g6, r.max_dd <= $max_dd AS g7,
+          coalesce(x.mean_lev <= $leverage_max, true) AND coalesce(u.p95 <= $margin_p95, true) AS g8, l.recent <= $liq_recent AND l.lifetime <= $liq_lifetime AS g9, NOT v.vetoed AS g10,
+          coalesce(d.mean_r / nullif(d.sd_r / sqrt(d.n), 0) >= $tstat_min, false) AND coalesce(q.dsr >= $dsr_min, false) AS g11, d.median_u >= $equity_floor * 1e6 AS g12
         FROM {board} b JOIN {day_stats} d ON b.address = d.address JOIN {risk} r ON b.address = r.address JOIN {coverage} c ON b.address = c.address JOIN {liquidations} l ON b.address = l.address
+        JOIN {lately} y ON b.address = y.address JOIN {vetoed} v ON b.address = v.address LEFT JOIN {best_trades} t ON b.address = t.address LEFT JOIN {margin_use} u ON b.address = u.address LEFT JOIN {dsr_rows} q ON b.address = q.address
+        LEFT JOIN (SELECT address, sum(lev * span) / nullif(sum(span), 0) AS mean_lev FROM {leverage} WHERE span IS NOT NULL GROUP BY address) x ON b.address = x.address
         LEFT JOIN {trip_stats} s ON b.address = s.address JOIN (SELECT address, avg(CASE WHEN crossed THEN 0.0 ELSE 1.0 END) AS maker FROM {fills} GROUP BY address) f ON b.address = f.address
-        JOIN (SELECT address, avg(CASE WHEN days >= $week_days THEN 1.0 ELSE 0.0 END) AS coverage FROM {weeks} GROUP BY address) w ON b.address = w.address""",
+        JOIN (SELECT k.address, SUMI(CASE WHEN k.days >= $week_days THEN 1 ELSE 0 END) / max(n.weeks) AS coverage FROM {weeks} k JOIN (SELECT address, max(week) - min(week) + 1 AS weeks FROM {weeks} GROUP BY address) n ON k.address = n.address GROUP BY k.address) w ON b.address = w.address""",
     "scored": """
         SELECT address, category, tenure, 20 * p_tenure + 20 * p_edge + 20 * p_consistency + 15 * p_discipline + 10 * p_efficiency + 8 * p_regularity + 7 * p_alpha AS score FROM (
           SELECT address, category, tenure, percent_rank() OVER (PARTITION BY category ORDER BY tenure) AS p_tenure, percent_rank() OVER (PARTITION BY category ORDER BY edge) AS p_edge,

@@ -52,8 +52,8 @@ QUERIES = {
         FROM {board} CROSS JOIN (SELECT 'day' AS span UNION ALL SELECT 'week' UNION ALL SELECT 'month' UNION ALL SELECT 'allTime') s""",
     "leaderboard_diff": """
         SELECT coalesce(a.address, b.address) AS address, CASE WHEN a.address IS NULL THEN 'added' WHEN b.address IS NULL THEN 'removed' WHEN a.pnl_u <> b.pnl_u THEN 'changed' ELSE 'same' END AS change
-        FROM (SELECT address, SUMI(pnl_u) AS pnl_u FROM {fills} f CROSS JOIN {last_day} d WHERE f.day <= d.last - 400 AND address % 7 <> 0 GROUP BY address) a
-        FULL OUTER JOIN (SELECT address, SUMI(pnl_u) AS pnl_u FROM {fills} f CROSS JOIN {last_day} d WHERE f.day <= d.last - 200 AND address % 11 <> 0 GROUP BY address) b ON a.address = b.address""",
+        FROM (SELECT address, SUMI(pnl_u) AS pnl_u FROM {fills} f CROSS JOIN {last_day} d WHERE f.day BETWEEN d.last - 764 AND d.last - 400 GROUP BY address) a
+        FULL OUTER JOIN (SELECT address, SUMI(pnl_u) AS pnl_u FROM {fills} f CROSS JOIN {last_day} d WHERE f.day BETWEEN d.last - 564 AND d.last - 200 GROUP BY address) b ON a.address = b.address""",
     "changed_addresses": """
         SELECT b.address, b.pnl_u / 1e6 AS pnl FROM (SELECT address, SUMI(pnl_u) AS pnl_u FROM {fills} GROUP BY address) b
         ANTI JOIN (SELECT address, SUMI(pnl_u) AS pnl_u FROM {fills} f CROSS JOIN {last_day} d WHERE f.day <= d.last - 30 GROUP BY address) a ON a.address = b.address AND a.pnl_u = b.pnl_u""",

@@ -45,7 +45,7 @@ VIEWS = {
         FROM (SELECT *, equity_u - net_u - flow_u AS start_u FROM {equity}) e""",
     "twr_curve": """
         SELECT address, day, month, equity_u, flow_u, net_u, r,
-          exp(sum(ln(1 + coalesce(r, 0))) OVER (PARTITION BY address ORDER BY day)) AS idx FROM {returns}""",
+          CASE WHEN min(1 + coalesce(r, 0)) OVER (PARTITION BY address ORDER BY day) <= 0 THEN 0 ELSE exp(sum(ln(greatest(1 + coalesce(r, 0), 1e-300))) OVER (PARTITION BY address ORDER BY day)) END AS idx FROM {returns}""",
     "drawdowns": """
         SELECT *, 1 - idx / greatest(1.0, peak) AS dd FROM (
           SELECT *, max(idx) OVER (PARTITION BY address ORDER BY day) AS peak FROM {twr_curve}) c""",
@@ -77,7 +77,7 @@ VIEWS = {
         SELECT event_id AS id, user_id AS address, MS(ts) AS ms, ts, event_type AS coin, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 2 AS side,
           CAST(round(value * 1000000) AS BIGINT) AS notional_u FROM {events}""",
     # windows of the official board, counted back from the last day of the data
-    "last_day": "SELECT max(day) AS last FROM {fills}",
+    "last_day": "SELECT max(day) AS last, max(month) AS last_month FROM {fills}",
     "board": """
         SELECT f.address, max(r.value_u) AS value_u, max(r.role) AS role, SUMI(pnl_u) AS pnl_all, SUMI(notional_u) AS vlm_all,
           SUMI(CASE WHEN f.day > d.last - 30 THEN pnl_u ELSE 0 END) AS pnl_30, SUMI(CASE WHEN f.day > d.last - 30 THEN notional_u ELSE 0 END) AS vlm_30,
@@ -98,12 +98,12 @@ VIEWS = {
         FROM {closed_trips} GROUP BY address""",
     "day_stats": """
         SELECT address, count(r) AS n, avg(r) AS mean_r, stddev_samp(r) AS sd_r, sqrt(avg(least(r, 0) * least(r, 0))) AS down_r,
-          avg(r * r) AS m2, avg(r * r * r) AS m3, avg(r * r * r * r) AS m4, exp(sum(ln(1 + r))) - 1 AS twr,
+          avg(r * r) AS m2, avg(r * r * r) AS m3, avg(r * r * r * r) AS m4, CASE WHEN min(1 + coalesce(r, 0)) <= 0 THEN -1 ELSE exp(sum(ln(greatest(1 + coalesce(r, 0), 1e-300)))) - 1 END AS twr,
           SUMI(net_u) AS net_u, SUMI(CASE WHEN flow_u > 0 THEN flow_u ELSE 0 END) AS inflow_u, SUMI(CASE WHEN flow_u < 0 THEN -flow_u ELSE 0 END) AS outflow_u,
           min_by(equity_u - net_u - flow_u, day) AS first_u, max_by(equity_u, day) AS last_u, max(equity_u) AS top_u, median(equity_u) AS median_u
         FROM {returns} GROUP BY address""",
     "risk": "SELECT address, max(dd) AS max_dd, sqrt(avg(dd * dd)) AS ulcer, max(idx) AS top FROM {drawdowns} GROUP BY address",
-    "months": "SELECT address, month, SUMI(net_u) AS net_u, count(*) AS days, exp(sum(ln(1 + coalesce(r, 0)))) - 1 AS twr, max(CASE WHEN r < -0.05 THEN 1 ELSE 0 END) AS bad_day FROM {returns} GROUP BY address, month",
+    "months": "SELECT address, month, SUMI(net_u) AS net_u, count(*) AS days, CASE WHEN min(1 + coalesce(r, 0)) <= 0 THEN -1 ELSE exp(sum(ln(greatest(1 + coalesce(r, 0), 1e-300)))) - 1 END AS twr, max(CASE WHEN r < -0.05 THEN 1 ELSE 0 END) AS bad_day FROM {returns} GROUP BY address, month",
     "weeks": "SELECT address, DIV(day + 3, 7) AS week, count(DISTINCT day) AS days FROM {fills} GROUP BY address, DIV(day + 3, 7)",
     "day_gaps": "SELECT address, day, day - lag(day) OVER (PARTITION BY address ORDER BY day) AS gap FROM (SELECT DISTINCT address, day FROM {fills}) d",
     # calendar months of each address from its first to its last, graded
