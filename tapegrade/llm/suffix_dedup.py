@@ -41,8 +41,8 @@ from .suffix_array import prefix_classes
 
 WIDTH, GRAM = 50, 24
 LAST = np.iinfo(np.int64).max
-#: Strings that one suffix array covers, unless a single key has more.
-BLOCK = 1 << 20
+#: Bytes that one suffix array covers, unless a single key has more.
+BLOCK = 4 << 20
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -220,16 +220,22 @@ class Chunk(Runs):
             x, y = begin[edges[b]], begin[edges[b + 1]]
             flags[x:y] = np.unpackbits(np.frombuffer(raw, np.uint8), count=int(y - x)).astype(bool)
         later = self.ids[self.doc] > self.ids[self.doc[self.first]][self.region] if len(self.doc) else np.zeros(0, bool)
-        # strings of all runs, one after the other
-        total = int(self.count.sum())
-        run = np.repeat(np.arange(len(self.count)), self.count)
-        step = np.arange(total) - np.repeat(np.cumsum(self.count) - self.count, self.count)
-        goes = flags[begin[self.region][run] + step] | later[run] if total else np.zeros(0, bool)
         mark = np.zeros(len(self.data) + self.width, np.int32)
-        mark[self.start[run][goes] + step[goes] + self.width] = 1
-        begun = np.cumsum(mark)
+        place = begin[self.region] if len(self.region) else self.region
+        upto = np.cumsum(self.count)
+        at = 0
+        while at < len(self.count):
+            # strings of some runs, one after the other
+            stop = max(at + 1, int(np.searchsorted(upto, upto[at] + SLICE)))
+            count = self.count[at:stop]
+            run = np.repeat(np.arange(at, stop), count)
+            step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+            goes = flags[place[run] + step] | later[run]
+            mark[self.start[run[goes]] + step[goes] + self.width] = 1
+            at = stop
+        np.cumsum(mark, out=mark)
         # a byte goes if a removed string starts at one of the ``width`` positions up to it
-        return begun[self.width :] > begun[: len(self.data)]
+        return mark[self.width :] > mark[: len(self.data)]
 
 
 def shared_keys(rows: pa.Table) -> list[bytes]:
@@ -261,10 +267,10 @@ def earlier_strings(rows: pa.Table, width: int) -> list[bytes]:
     flags = np.zeros(int(count.sum()), bool)
     order = np.argsort(key, kind="stable")
     edge = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
-    weight = np.concatenate([[0], np.cumsum(count[order])])
+    weight = np.concatenate([[0], np.cumsum(size[order] + 1)])
     at = 0
     while at < len(edge) - 1:
-        # whole keys, up to BLOCK strings
+        # whole keys, up to BLOCK bytes
         end = at + 1
         while end < len(edge) - 1 and weight[edge[end + 1]] - weight[edge[at]] <= BLOCK:
             end += 1
