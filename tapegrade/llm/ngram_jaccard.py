@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapegrade.operators.graph import connected_components
@@ -530,21 +531,39 @@ class Join:
         right = rows.select("hub", each("few").alias("i"), own("all").alias("j"), F.lit(1).alias("side"), "node", "n", "bits", "comp", F.lit(None).cast("array<long>").alias("no"))
         return left.unionByName(right)
 
-    def components(self) -> DataFrame:
-        """doc_id, n_shingles and component_id of every row."""
+    def components(self, rows: bool = False) -> DataFrame:
+        """doc_id, n_shingles and component_id of every row; with ``rows`` also th (the hash of its text) and root (its component's number, null without shingles)."""
         roots = connected_components(self.links())
         ids = roots.join(self.classes.select("node", "doc_id"), "node")
         least = ids.groupBy("root").agg(F.min("doc_id").alias("component"))
-        found = roots.join(least, "root").select("node", "component")
-        named = self.classes.select("node", "sig", "doc_id").join(found, "node", "left").select("sig", F.coalesce("component", "doc_id").alias("class_id"))
-        rows = self.sets.select("doc_id", "n", "sig").join(named, "sig", "left")
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("component_id"))
+        found = roots.join(least, "root").select("node", "root", "component")
+        named = self.classes.select("node", "sig", "doc_id").join(found, "node", "left").select("sig", F.coalesce("component", "doc_id").alias("class_id"), F.coalesce("root", "node").alias("root"))
+        met = self.sets.select("doc_id", "th", "n", "sig").join(named, "sig", "left")
+        of = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("component_id")
+        return met.select("doc_id", F.col("n").alias("n_shingles"), of, *(["th", "root"] if rows else []))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, **names) -> DataFrame:
     return Join(docs, percent, width, **names).components()
 
 
+def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that stay when one of each component does; the id is ``doc_id``, the text ``text``.
+
+    The row of the smallest id stays, of that id's rows the one whose text has the smallest hash, and of equal (id, text) the first by its
+    other columns, so the order of the input decides nothing. Rows that repeat an id but not a text are judged by their texts. Of rows
+    without shingles, one of each id stays. Rows without an id have no name to stay under for others, so all of them stay.
+    """
+    found = Join(docs, percent, width).components(rows=True).filter("doc_id IS NOT NULL")
+    group = F.struct("root", F.when(F.col("root").isNull(), F.col("doc_id")).alias("own"))
+    keep = found.groupBy(group.alias("g")).agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"))
+    named = docs.filter("doc_id IS NOT NULL").withColumn("_h", F.xxhash64("text"))
+    met = named.join(keep, (F.col("doc_id") == F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
+    rest = [F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]))] if len(docs.columns) > 2 else []
+    place = F.row_number().over(W.partitionBy("doc_id", "_h").orderBy("doc_id", *rest))
+    return met.withColumn("_k", place).filter("_k = 1").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+
+
 def similar_pairs(docs: DataFrame, percent: int = 85, width: int = 4, **names) -> tuple[DataFrame, DataFrame]:
     """(all links between classes, membership of rows in classes); a class is named by its smallest id."""
     join = Join(docs, percent, width, **names)

@@ -78,6 +78,18 @@ def test_near_copies_link_at_five_words_and_four_fifths(spark, sf):
     assert 2 not in got and 22 not in got
 
 
+def test_repeated_ids_are_judged_by_their_texts(spark, sf):
+    """Id 2 has a copy of document 1 and a text of its own: the copy goes and the text stays, in either order; empty tables stay empty."""
+    first = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, first), (2, first + " more"), (2, "a text of its own with seven words"), (3, ""), (3, None), (4, "one"), (5, "one"), (None, first)]
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    want = [(1, first), (2, "a text of its own with seven words"), (3, None), (4, "one"), (None, first)]
+    for order in (rows, rows[::-1]):
+        got = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in order], schema).coalesce(1), sf).collect()
+        assert sorted(((r["doc_id"], r["text"] or None) for r in got), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.one_of_each_group(spark, spark.createDataFrame([], schema), sf).count() == 0
+
+
 def test_repeated_bytes_are_cut(stages):
     width, first = 50, {}
     rank = lambda i: float("inf") if i is None else i
