@@ -23,11 +23,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies (five-word shingles, similarity of 0.8 or more); rows without an id have no group and stay."""
-    found = ngram_jaccard.jaccard_components(docs, percent=80, width=5)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more), the one of the smallest id.
+
+    Rows that repeat an id are judged by their texts, whatever their order; rows without an id have no group and stay.
+    """
+    return ngram_jaccard.one_of_each(docs, percent=80, width=5)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +60,13 @@ STAGES = [("toxicity", drop_toxic), ("ngram_jaccard", one_of_each_group), ("suff
 ORACLE_SQL = None
 
 
+def _discard(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``."""
+    """The stages applied to ``documents``; a stage's folder is deleted once the next one is written, the last one stays."""
     common.prepare(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
@@ -69,4 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            _discard(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
