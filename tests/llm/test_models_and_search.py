@@ -287,3 +287,15 @@ def test_statistics_of_one_text_do_not_depend_on_the_batch():
     for k, t in enumerate(texts):
         assert np.allclose(features(np.frombuffer(t, np.uint8), np.array([0, len(t)])), both[k : k + 1])
     assert both.shape == (5, len(NAMES)) and not both[0].any()
+
+
+def test_training_sample_is_bounded_by_rows(spark):
+    """An id that repeats with several texts is one row, whatever the order; null labels and ids teach nothing."""
+    from tapegrade.llm.labelled import training_sample
+
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, None), (3, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
+    for order in (docs, docs.orderBy("text"), docs.orderBy("doc_id", docs["text"].desc())):
+        got = sorted(tuple(r) for r in training_sample(order, labels, "toxic", 10).collect())
+        assert got == [(1, "a", 1), (2, None, 0)]
+    assert training_sample(docs, labels, "toxic", 1).count() == 1
