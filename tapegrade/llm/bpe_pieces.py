@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from contextlib import contextmanager
 
 import ahocorasick
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import prepare, release
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -388,18 +389,29 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+@contextmanager
+def at_work(path: str):
+    """The worker's encoder for one partition; what it remembers of cuts goes at the end, as idle workers would hold it."""
+    e = encoder(path)
+    try:
+        yield e
+    finally:
+        e.memory.clear()
+        release()
+
+
 def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every row."""
     prepare(docs.sparkSession)
 
     def run(batches):
-        e = encoder(model)
-        for b in batches:
-            ids, texts = b.columns
-            cut = [e.cuts(t or "") for t in texts.to_pylist()]
-            e.memory.learn(set().union(*cut))
-            lists = [[i for c in cuts for i in e.memory[c][0]] for cuts in cut]
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        with at_work(model) as e:
+            for b in batches:
+                ids, texts = b.columns
+                cut = [e.cuts(t or "") for t in texts.to_pylist()]
+                e.memory.learn(set().union(*cut))
+                lists = [[i for c in cuts for i in e.memory[c][0]] for cuts in cut]
+                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -434,12 +446,12 @@ def round_trips(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str =
         return sum(n), hashlib.sha256(",".join(said).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
     def run(batches):
-        e = encoder(model)
-        for b in batches:
-            ids, texts = b.columns
-            cut = [e.cuts(t or "") for t in texts.to_pylist()]
-            e.memory.learn(set().union(*cut))
-            rows = [digests(e, c) for c in cut]
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=SCHEMA.names)
+        with at_work(model) as e:
+            for b in batches:
+                ids, texts = b.columns
+                cut = [e.cuts(t or "") for t in texts.to_pylist()]
+                e.memory.learn(set().union(*cut))
+                rows = [digests(e, c) for c in cut]
+                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=SCHEMA.names)
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, SCHEMA)

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tapegrade.operators.graph import connected_components
 
-from .common import LOWER, U64, buffers, buckets_for, kept, mix, partitions, prepare, saved, sized, slices, span_hashes, word_spans
+from .common import LOWER, U64, buffers, buckets_for, kept, lean, mix, partitions, prepare, saved, sized, slices, span_hashes, word_spans
 
 #: Very frequent shingles that are ordered last: at most so many, each in at least LOCAL documents of a slice.
 FREQUENT, LOCAL = 1 << 16, 4
@@ -100,7 +100,7 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
                 many = n >= LOCAL
                 yield pa.RecordBatch.from_arrays([pa.array(s[at[many]].view(np.int64)), pa.array(n[many].astype(np.int64))], names=["s", "n"])
 
-    top = docs.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
+    top = docs.select("text").mapInArrow(lean(count), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
     return top.column("s").to_numpy().view(U64)[::-1].copy(), top.column("n").to_numpy()[::-1].copy()
 
 
@@ -324,7 +324,7 @@ class Join:
             }
             return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-        return self.base.mapInArrow(run, "doc_id long, th long, size long, n long, sig binary, gid long, bits binary, prefix array<long>")
+        return self.base.mapInArrow(lean(run), "doc_id long, th long, size long, n long, sig binary, gid long, bits binary, prefix array<long>")
 
     def members(self) -> DataFrame:
         """(hub, node, n, bits): classes to be compared with each other, under each hub."""
@@ -393,7 +393,7 @@ class Join:
             new = np.concatenate([[True], (hub[1:] != hub[:-1]) | (gid[1:] != gid[:-1])])
             return pa.table([pa.array(hub[new]), pa.array(gid[new])], names=["hub", "gid"])
 
-        found = self.sets.filter("n > 0").select("gid", "n", "prefix").mapInArrow(post, "bucket int, key binary, gid binary, n binary, pos binary").groupBy("bucket").applyInArrow(meet, "hub long, gid long")
+        found = self.sets.filter("n > 0").select("gid", "n", "prefix").mapInArrow(lean(post), "bucket int, key binary, gid binary, n binary, pos binary").groupBy("bucket").applyInArrow(meet, "hub long, gid long")
         # a group's own members share their prefix, so they are candidates of each other
         several = self.classes.groupBy("gid").agg(F.count("*").alias("members")).filter("members > 1")
         found = found.unionByName(several.select(F.col("gid").alias("hub"), "gid")).distinct()

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE, U64, buffers, byte_codes, partitions, prepare, span_hashes
+from .common import SLICE, U64, buffers, byte_codes, partitions, prepare, release, span_hashes
 from .suffix_array import prefix_classes
 
 WIDTH, GRAM = 50, 24
@@ -318,6 +318,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     dealt = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
 
     def chunk_of(key, table: pa.Table) -> Chunk:
+        release()  # what the group before left
         return Chunk(table, width, gram, buckets)
 
     def keys(key, table):
@@ -327,6 +328,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=names)
 
     def answer_keys(key, rows):
+        release()
         return pa.table([rows.column("chunk"), pa.array([key[0].as_py()] * rows.num_rows, pa.int32()), pa.array(shared_keys(rows), pa.binary())], names=["chunk", "bucket", "mask"])
 
     answers = "chunk int, bucket int, mask binary"
@@ -348,6 +350,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
         return pa.table([arrays[0], pa.array([key[0].as_py()] * len(out), pa.int32()), *arrays[1:]], names=["bucket", "chunk", "keys", "ids", "counts", "bytes"])
 
     def answer_regions(key, rows):
+        release()
         return pa.table([rows.column("chunk"), pa.array([key[0].as_py()] * rows.num_rows, pa.int32()), pa.array(earlier_strings(rows, width), pa.binary())], names=["chunk", "bucket", "mask"])
 
     found = dealt.groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInArrow(regions, "bucket int, chunk int, keys binary, ids binary, counts binary, bytes binary").groupBy("bucket").applyInArrow(answer_regions, answers).withColumn("kind", F.lit(1))

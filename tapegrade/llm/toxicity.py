@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, buffers, prepare, slices, span_hashes, word_spans
+from .common import LOWER, U64, buffers, lean, prepare, slices, span_hashes, word_spans
 from .labelled import held_out, training_sample
 
 #: Interchangeable group names, by kind (fixed values; a parameter of ``train``).
@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 12_000, most: int = 5
     n, bad = float(size["n"]), float(size["bad"])
     if not 0 < bad < n:
         return fit([(np.zeros(0, U64), int(bad > 0))] * int(n), np.zeros(0, U64), terms)
-    counts = sample.mapInArrow(count, "key long, seen long, bad long").groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).filter(F.col("seen") >= least)
+    counts = sample.mapInArrow(lean(count), "key long, seen long, bad long").groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).filter(F.col("seen") >= least)
     # how far a feature's toxic share lies from the other rows', in standard errors
     inside, outside = F.col("seen") + 1, n - F.col("seen") + 1
     gap = F.abs((F.col("bad") + 0.5) / inside - (bad - F.col("bad") + 0.5) / outside) / F.sqrt(bad / n * (1 - bad / n) * (1 / inside + 1 / outside))
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 12_000, most: int = 5
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), lists], names=["doc_id", "y", "keys"])
 
-    found = sample.mapInArrow(rows, "doc_id long, y int, keys array<long>").toArrow().sort_by("doc_id")
+    found = sample.mapInArrow(lean(rows), "doc_id long, y int, keys array<long>").toArrow().sort_by("doc_id")
     lists = [np.asarray(k.values).view(U64) for k in found.column("keys")]
     return fit(list(zip(lists, found.column("y").to_pylist())), chosen, terms, **shape)
 
@@ -207,7 +207,7 @@ def score_documents(docs: DataFrame, model: Model, cut: float = 0.5, doc_id: str
                 s = model.score(*buffers(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s)], names=["doc_id", "score"])
 
-    scored = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
@@ -220,4 +220,4 @@ def drop_toxic(docs: DataFrame, model: Model, cut: float = 0.5, text: str = "tex
             for part in slices(b, text):
                 yield part.filter(pa.array(model.score(*buffers(part.column(text))) < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
