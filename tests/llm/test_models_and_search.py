@@ -299,3 +299,18 @@ def test_training_sample_is_bounded_by_rows(spark):
         got = sorted(tuple(r) for r in training_sample(order, labels, "toxic", 10).collect())
         assert got == [(1, "a", 1), (2, None, 0)]
     assert training_sample(docs, labels, "toxic", 1).count() == 1
+
+
+def test_a_worker_keeps_its_encoder_but_no_cuts():
+    path = model()
+    with bpe_pieces.at_work(path) as e:
+        e.memory.learn(set(e.cuts("words that are encoded once")))
+        first = [e.memory[c] for c in e.cuts("words that are encoded once")]
+        assert e.memory
+    assert not e.memory
+    with bpe_pieces.at_work(path) as again:
+        assert again is e and [e.memory[c] for c in e.cuts("words that are encoded once")] == first
+    with pytest.raises(KeyError), bpe_pieces.at_work(path) as e:
+        e.memory.learn(set(e.cuts("lost")))
+        raise KeyError
+    assert not e.memory
