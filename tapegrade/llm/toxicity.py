@@ -2,7 +2,7 @@
 
 A text's features are the distinct lower-cased words (runs of letters) it holds, and their distinct substrings of
 ``GRAM`` bytes, by 64-bit hash. Training takes a bounded sample of labelled rows (``bound``, 12,000 by default), counts features
-by class on the executors, keeps those that are in enough rows and tell the classes apart best, and minimises logistic loss + ridge + ``penalty`` times the mean
+by class on the executors, keeps those (``most``, 2,000 by default) that are in enough rows and tell the classes apart best, and minimises logistic loss + ridge + ``penalty`` times the mean
 squared change of the margin when an identity term of a labelled sentence is swapped for another
 one of its list. A swap changes all features of both terms, words and substrings, or the words alone where the rest of the
 sentence holds the substrings; both changes are penalised. A term that is merely frequent in toxic rows thus cannot carry weight of its own:
@@ -98,6 +98,24 @@ def identity_features(terms=IDENTITY_TERMS) -> list[list[np.ndarray]]:
     return [[distinct_terms(data, np.array([0, len(data)]))[1] for data in g] for g in raw]
 
 
+def solved(times, right: np.ndarray, scale: np.ndarray, exact: float = 1e-8, most: int = 2000) -> np.ndarray:
+    """The vector that the positive definite map ``times`` takes to ``right``, by conjugate gradients scaled by the map's diagonal."""
+    out, rest = np.zeros(len(right)), right.copy()
+    way = step = rest / scale
+    norm, goal = rest @ step, exact**2 * (right @ (right / scale))
+    for _ in range(most):
+        if norm <= goal:
+            break
+        ahead = times(way)
+        far = norm / (way @ ahead)
+        out = out + far * way
+        rest = rest - far * ahead
+        step = rest / scale
+        norm, before = rest @ step, norm
+        way = step + norm / before * way
+    return out
+
+
 def fit(rows: list[tuple[np.ndarray, int]], chosen: np.ndarray, terms=IDENTITY_TERMS, penalty: float = 10.0, ridge: float = 0.1, steps: int = 30) -> Model:
     """Fits on (distinct hashes, label) rows with the chosen hashes and the identity terms as features."""
     y = np.array([label for _, label in rows], float)
@@ -108,17 +126,18 @@ def fit(rows: list[tuple[np.ndarray, int]], chosen: np.ndarray, terms=IDENTITY_T
     every = np.concatenate([k for k, _ in rows]) if len(doc) else np.zeros(0, U64)
     groups = identity_groups(terms)
     keys = np.unique(np.concatenate([chosen.astype(U64), *groups]))
-    x = np.zeros((len(rows), len(keys)), np.float32)
     column = np.minimum(np.searchsorted(keys, every), len(keys) - 1)
     hit = keys[column] == every
-    x[doc[hit], column[hit]] = 1
+    # rows are kept as the places of their features: memory follows what rows hold, not rows times features
+    doc, column = doc[hit], column[hit]
+    held = np.bincount(column, minlength=len(keys))
     # the change of the features when a term of a labelled row is swapped for each other one of its list
     swaps, place = [], {int(k): j for j, k in enumerate(keys)}
     for g, features in zip(groups, identity_features(terms)):
         words = [place[int(k)] for k in g]
         cols = [[place[int(k)] for k in f if int(k) in place] for f in features]
         for a in range(len(words) - 1):
-            n = x[:, words[a]].sum()
+            n = held[words[a]]
             for b in range(len(words)) if n else ():
                 if words[a] != words[b]:
                     d = np.zeros((2, len(keys)))
@@ -130,23 +149,25 @@ def fit(rows: list[tuple[np.ndarray, int]], chosen: np.ndarray, terms=IDENTITY_T
     # rows of the rarer class weigh more, by the square root of the classes' ratio
     rare = float(y.mean() < 0.5)
     share = np.where(y == rare, np.sqrt(max(np.mean(y != rare), 1e-9) / np.mean(y == rare)), 1.0) / len(y)
-    # Newton's method with halved steps; the intercept is the last, unpenalised column
-    x = np.column_stack([x, np.ones(len(rows))]).astype(np.float64)  # about 50 MB at most: bound rows of most features
-    fixed = np.zeros((len(keys) + 1, len(keys) + 1))
-    fixed[:-1, :-1] = ridge / len(y) * np.eye(len(keys)) + 2 * penalty / max(1, len(swaps)) * (d.T @ d)
+    # Newton's method with halved steps, each solved by conjugate gradients; the intercept is the last, unpenalised column
+    small, tie = ridge / len(y), 2 * penalty / max(1, len(swaps))
+    margins = lambda w: np.bincount(doc, w[column], len(y)) + w[-1]
+    turned = lambda v: np.append(np.bincount(column, v[doc], len(keys)), v.sum())
+    fixed = lambda w: np.append(small * w[:-1] + tie * (d.T @ (d @ w[:-1])), 1e-9 * w[-1])
+    steep = np.append(small + tie * (d**2).sum(0), 1e-9)
 
     def loss(w):
-        m = x @ w
-        return float(share @ (np.logaddexp(0, m) - y * m) + w @ fixed @ w / 2)
+        m = margins(w)
+        return float(share @ (np.logaddexp(0, m) - y * m) + w @ fixed(w) / 2)
 
     w = np.zeros(len(keys) + 1)
     w[-1] = np.log(y.mean() / (1 - y.mean()))
     now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (share * (p - y)) + fixed @ w
-        bend = (x * (share * p * (1 - p))[:, None]).T @ x + fixed + 1e-9 * np.eye(len(w))
-        move = np.linalg.solve(bend, slope)
+        p = 1 / (1 + np.exp(-np.clip(margins(w), -30, 30)))
+        slope = turned(share * (p - y)) + fixed(w)
+        curve = share * p * (1 - p)
+        move = solved(lambda v: turned(curve * margins(v)) + fixed(v), slope, turned(curve) + steep)
         size = 1.0
         while size > 1e-4 and loss(w - size * move) > now:
             size /= 2
@@ -158,7 +179,7 @@ def fit(rows: list[tuple[np.ndarray, int]], chosen: np.ndarray, terms=IDENTITY_T
     return Model(keys, w, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 12_000, most: int = 500, least: int = 4, apart: float = 4.0, terms=IDENTITY_TERMS, **shape) -> Model:
+def train(docs: DataFrame, labels: DataFrame, bound: int = 12_000, most: int = 2000, least: int = 4, apart: float = 4.0, terms=IDENTITY_TERMS, **shape) -> Model:
     """Two passes over the sample: counts by class choose at most ``most`` features, then rows of those are fitted on the driver."""
     prepare(docs.sparkSession)
     sample = training_sample(docs, labels, "toxic", bound)

@@ -234,6 +234,22 @@ def test_identity_terms_carry_no_weight_of_their_own(spark):
     assert gap(toxicity.train(docs, labels)) < 0.1 * gap(toxicity.train(docs, labels, penalty=0.0))
 
 
+def test_fit_on_sparse_rows_equals_newton_steps_on_dense_ones():
+    rng = np.random.default_rng(12)
+    keys = np.arange(1, 31).astype(np.uint64)
+    x = (rng.random((300, 30)) < 0.2).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x[:, :3].sum(1) * 2 - 2)))).astype(float)
+    got = toxicity.fit([(keys[r > 0], int(label)) for r, label in zip(x, y)], keys, terms=(), ridge=1.0)
+    dense, w = np.column_stack([x, np.ones(300)]), np.zeros(31)
+    rare = float(y.mean() < 0.5)
+    share = np.where(y == rare, np.sqrt(np.mean(y != rare) / np.mean(y == rare)), 1.0) / 300
+    bound = np.append(np.full(30, 1.0 / 300), 1e-9)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-dense @ w))
+        w -= np.linalg.solve((dense * (share * p * (1 - p))[:, None]).T @ dense + np.diag(bound), dense.T @ (share * (p - y)) + bound * w)
+    assert np.allclose(got.weights, w[:-1], atol=1e-3) and got.intercept == pytest.approx(w[-1], abs=1e-3)
+
+
 def test_swapped_identity_terms_leave_the_score_of_a_sentence(spark):
     docs, labels, _ = labelled(spark)
     raw = lambda t: np.frombuffer(t.encode(), np.uint8)
