@@ -8,7 +8,11 @@
    proportional share, rounded down; what the rounding leaves is filled from the longest length down until
    less than ``window`` words are missing, and a bounded-knapsack dynamic program over the lengths that
    still have documents finds the reachable sum nearest below the rest. Its table is a bitset of
-   ``window`` bits with the piece that first reached each sum, whatever the corpus' size.
+   ``window`` bits with the piece that first reached each sum, whatever the corpus' size. Lengths are divided by
+   their common divisor first. If the sum falls short, the window doubles; once it covers the whole rest, no shares
+   are given beforehand and the result is the nearest reachable sum below the target. ``widest`` (2**24 words, some 200 MB)
+   bounds the table: a source whose rest is larger *and* whose sums still miss the target at that window gets
+   the nearest sum found there.
 4. Selection: of each (source, length) class, as many documents as the fit says, in order of a seeded
    hash of the id. The class is cut into hash buckets of about ``bucket_rows`` documents whose counts are
    summed first, so that only the one bucket that the limit falls into is ranked; a class that holds a
@@ -57,7 +61,31 @@ def targets(sizes: list[tuple[str | None, int]], weights=(3, 1, 2), budget: floa
     return out
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, target: float, max_epochs: int = 2, window: int = 1 << 17) -> tuple[int, np.ndarray]:
+def goals(sizes: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int = 2) -> DataFrame:
+    """``targets`` as a table: source, source_size, target; sources may be as many as hosts, so they stay on the executors.
+
+    A target is min(cap, weight * unit). ``unit`` rises in rounds of one sum over the table, each of which finds further full sources.
+    """
+    order = [F.col("source").isNull(), F.col("source")]
+    ranked = saved(sizes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    # one row a partition
+    heads = ranked.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
+    heads = heads.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("head"))
+    place = F.col("head") + F.col("at").bitwiseAND((1 << 33) - 1)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    table = saved(ranked.join(heads, F.shiftright("at", 33) == F.col("part")).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * max_epochs).alias("cap")))
+    every = table.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    unit, known = (budget * every["size"] / every["weight"] if every["weight"] else 0.0), -1
+    while True:
+        full = F.col("weight") * unit >= F.col("cap")
+        r = table.agg(F.count(F.when(full, 1)).alias("n"), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)).alias("cap"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        if r["n"] == known or not r["open"]:
+            break
+        unit, known = (budget * every["size"] - r["cap"]) / r["open"], r["n"]
+    return table.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * unit).alias("target"))
+
+
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, target: float, max_epochs: int = 2, window: int = 1 << 17, widest: int = 1 << 24) -> tuple[int, np.ndarray]:
     """Whole epochs, and how many documents of each length to take once more."""
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
@@ -66,26 +94,40 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, target: float, max_epoch
     epochs = min(int(target // total), max_epochs)
     if epochs == max_epochs:
         return epochs, np.zeros(len(lengths), np.int64)
-    rest = int(round(target - epochs * total))
+    # every reachable sum is a multiple of the lengths' common divisor
+    unit = int(np.gcd.reduce(lengths[counts > 0]))
+    small, rest = lengths // unit, int(round(target - epochs * total)) // unit
+    while True:
+        take, missed = fit_shares(small, counts, rest, window)
+        if not missed:
+            return epochs, take
+        if rest <= window:
+            # nothing is given beforehand: the largest sum that any choice reaches
+            return epochs, knapsack(small, counts, rest)
+        if window >= widest:
+            return epochs, take
+        window *= 2
+
+
+def fit_shares(lengths: np.ndarray, counts: np.ndarray, rest: int, window: int) -> tuple[np.ndarray, int]:
+    """Documents by length, the last ``window`` words or so by dynamic program, and the words still missing."""
+    total = int((lengths * counts).sum())
     take = np.array([int(c) * rest // total for c in counts], np.int64)
     rest -= int((take * lengths).sum())
     free = counts - take
-    for i in np.argsort(-lengths, kind="stable"):
-        if rest <= window or lengths[i] == 0:
-            break
-        # leaves at least one document of each length for the dynamic program
-        n = min(int(free[i]) - 1, int((rest - window) // lengths[i]))
-        if n > 0:
-            take[i] += n
-            free[i] -= n
-            rest -= n * int(lengths[i])
-    for i in np.argsort(-lengths, kind="stable"):
-        n = min(int(free[i]), max(0, int((rest - window) // lengths[i])) if lengths[i] else 0)
-        if n > 0:
-            take[i] += n
-            free[i] -= n
-            rest -= n * int(lengths[i])
-    return epochs, take + knapsack(lengths, free, min(rest, window * 2))
+    # in the first round at least one document of each length is left for the dynamic program
+    for spare in (1, 0):
+        for i in np.argsort(-lengths, kind="stable"):
+            if rest <= window or lengths[i] == 0:
+                break
+            n = min(int(free[i]) - spare, (rest - window) // int(lengths[i]))
+            if n > 0:
+                take[i] += n
+                free[i] -= n
+                rest -= n * int(lengths[i])
+    # a document longer than the window may straddle its end
+    more = knapsack(lengths, free, min(rest, 2 * window))
+    return take + more, rest - int((more * lengths).sum())
 
 
 def knapsack(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
@@ -106,7 +148,7 @@ def knapsack(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
             moved = (reach << (size * n)) & mask & ~reach
             if moved:
                 new = np.unpackbits(np.frombuffer(moved.to_bytes(budget // 8 + 1, "little"), np.uint8), bitorder="little")[: budget + 1]
-                first[np.flatnonzero(new)] = len(pieces)
+                first[new.view(bool)] = len(pieces)
                 reach |= moved
             pieces.append((int(i), n))
             left -= n
@@ -123,16 +165,12 @@ def knapsack(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
 
 def mix_sources(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int = 2, seed: int = 0, bucket_rows: int = 512, salts: int = 16, doc_id: str = "doc_id", source: str = "source", text: str = "text", window: int = 1 << 17) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (size times copies) of every row."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     # (id, source, size) alone is kept: a few bytes a document, and the texts are read once
     sized = saved(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")).withColumn("h", F.xxhash64("doc_id", F.lit(seed))))
     classes = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     sizes = classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    # one row a source, not a document
-    by_source = [(r[0], int(r[1])) for r in sizes.collect()]
-    goal = targets(by_source, weights, budget, max_epochs)
-    rows = [(s, n, float(goal[s])) for s, n in by_source]
-    goals = spark.createDataFrame(rows, "source string, source_size long, target double")
+    goal = goals(sizes, weights, budget, max_epochs)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size", kind="stable").reset_index(drop=True)
@@ -141,7 +179,7 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epo
 
     schema = "source string, size long, n long, source_size long, target double, epochs long, take long"
     # a source's lengths: at most as many rows as its longest document has words
-    fitted = saved(classes.join(goals, classes["source"].eqNullSafe(goals["source"])).drop(goals["source"]).groupBy("source").applyInPandas(fit, schema))
+    fitted = saved(classes.join(goal, classes["source"].eqNullSafe(goal["source"])).drop(goal["source"]).groupBy("source").applyInPandas(fit, schema))
     fitted = fitted.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows)))
     key = F.struct(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), F.col("size").alias("z"))
     # a class may hold a third of all rows: its rows meet copies of its one fitted row in ``salts`` partitions
@@ -150,7 +188,8 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epo
     joined = salted.join(spread(fitted.withColumn("key", key).drop("source", "size")), ["key", "salt"])
     # the hash's order is kept by its buckets: bucket b holds the hashes from b/buckets of the range on
     unit = (F.shiftrightunsigned(F.col("h"), 33)).cast("double") / float(1 << 31)
-    dealt = joined.withColumn("bucket", F.least(F.floor(unit * F.col("buckets")), F.col("buckets") - 1).cast("long"))
+    # read three times below
+    dealt = saved(joined.withColumn("bucket", F.least(F.floor(unit * F.col("buckets")), F.col("buckets") - 1).cast("long")))
     partial = F.col("take").between(1, F.col("n") - 1)
     counts = dealt.filter(partial).groupBy("key", "bucket").agg(F.count("*").alias("m"), F.max("take").alias("limit"))
     # one row a bucket; running sums go over a class's buckets in two steps, so that a large class is no single task

@@ -107,6 +107,32 @@ def test_targets_share_the_budget_under_the_cap():
     assert got[None] == pytest.approx(1.5 * 1110 - 220)
 
 
+def test_targets_as_a_table_are_the_same(spark):
+    rng = random.Random(11)
+    for n, parts in ((0, 2), (1, 1), (7, 3), (300, 5)):
+        names = [*{"".join(rng.choice("abé😀Z") for _ in range(rng.randint(0, 6))) for _ in range(n)}] + [None] * (n > 0)
+        sizes = [(s, rng.choice([0, 1, 10, rng.randint(1, 10**6)])) for s in names]
+        table = spark.createDataFrame(sizes, "source string, source_size long").repartition(parts)
+        got = {r["source"]: r["target"] for r in mixing.goals(table).collect()}
+        assert got == pytest.approx(mixing.targets(sizes), rel=1e-12)
+
+
+def test_fit_finds_sums_beyond_the_window():
+    epochs, take = mixing.fit_counts(np.array([320000, 330000, 500000]), np.array([1, 1, 1]), 650000.0)
+    assert epochs == 0 and take.tolist() == [1, 1, 0]
+    rng = random.Random(13)
+    for _ in range(60):
+        lengths, counts = np.array(sorted(rng.sample(range(20, 400), 4))), np.array([rng.randint(1, 3) for _ in range(4)])
+        total = int((lengths * counts).sum())
+        target = rng.randint(1, 2 * total - 1)
+        epochs, take = mixing.fit_counts(lengths, counts, float(target), window=16)
+        sums = {0}
+        for n, c in zip(lengths, counts):
+            sums = {s + k * int(n) for s in sums for k in range(c + 1)}
+        assert (take <= counts).all() and epochs == target // total
+        assert (take * lengths).sum() == max(s for s in sums if s <= target - epochs * total)
+
+
 def test_fit_hits_every_reachable_target():
     rng = np.random.default_rng(4)
     for _ in range(40):
