@@ -13,8 +13,9 @@ no more than another one. A cell's entries and its probes are cut into pieces of
 pieces is scored on its own.
 
 ``candidates`` is calibrated unless given: on the sample, the share of all vectors that a query must visit to
-find ``recall`` of its true neighbours is measured against brute force, and that share of the table is visited (all of
-a table up to 4,096). Vectors without structure need a large share, clustered ones a small one. Measured recall is in the README.
+find ``recall`` of its true neighbours is measured against brute force, and that share of the table is visited
+at every size (``MultiIndex.visited``; k + 1 vectors at least, as k could not be found else). Vectors without structure
+need a large share, clustered ones a small one. Measured recall is in the README.
 
 Defined results: rows with a null id, a null or empty vector, null or non-finite components, or only zeros take no part, nor do
 vectors whose length is not the table's most frequent one (the longer one, of two as frequent). Rows that repeat
@@ -86,7 +87,7 @@ def traverse(first: np.ndarray, second: np.ndarray, held: np.ndarray, wanted: in
 class MultiIndex:
     """Codebooks and the indexed entries of one table of vectors."""
 
-    def __init__(self, vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, sample: int = 20_000, cell_rows: int = 64, candidates: int | None = None, recall: float = 0.95):
+    def __init__(self, vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, sample: int = 20_000, cell_rows: int = 64, candidates: int | None = None, recall: float = 0.95, bucket_bytes: int = 16 << 20):
         self.spark, self.k = prepare(vectors.sparkSession), k
         self.source = vectors
         kind = vectors.schema[embedding].dataType.elementType.simpleString()
@@ -111,7 +112,12 @@ class MultiIndex:
         if n:
             x = unit(x)
             self.books = tuple(kmeans(h, self.size, seed=s) if h.shape[1] else np.zeros((self.size, 0)) for s, h in enumerate((x[:, : self.half], x[:, self.half :])))
-            self.candidates = candidates or max(4096, int(np.ceil(n * self._share(x, recall))))
+            self.candidates = candidates or int(np.ceil(n * self._share(x, recall)))
+            self.candidates = max(self.candidates, k + 1)
+            #: The share of the distinct vectors that a search scores.
+            self.visited = min(1.0, self.candidates / n)
+            # entries of 8 bytes a component, in buckets of about ``bucket_bytes``
+            self.buckets = max(partitions(self.spark), -(-n * (8 * self.dims + 64) // bucket_bytes))
             self.entries = saved(self._cells(self.distinct.select("entry", "ids", "v")))
 
     def _share(self, x: np.ndarray, recall: float, asked: int = 200) -> float:
@@ -149,10 +155,10 @@ class MultiIndex:
         books, half, dims, size, wanted, k = self.books, self.half, self.dims, self.size, self.candidates, self.k
         # a histogram over size * size cells, at most 2**20 numbers
         held = np.zeros(size * size, np.int64)
-        for r in self.entries.groupBy("cell").count().collect():
-            held[r["cell"]] = r["count"]
+        counts = self.entries.groupBy("cell").count().toArrow()
+        held[counts.column("cell").to_numpy()] = counts.column("count").to_numpy()
         asked = saved(queries.select("query_id", "v").distinct())
-        searches = asked.groupBy("v").agg(F.min("query_id").alias("search"))
+        searches = saved(asked.groupBy("v").agg(F.min("query_id").alias("search")))
 
         def probe(batches):
             for b in batches:
@@ -163,30 +169,35 @@ class MultiIndex:
                 cells = [traverse(f, s, held, wanted) for f, s in zip(first, second)]
                 n = [len(c) for c in cells]
                 at = pa.array(np.repeat(np.arange(len(n)), n))
-                yield pa.RecordBatch.from_arrays([b.column("search").take(at), b.column("v").take(at), pa.array(np.concatenate(cells).astype(np.int64))], names=["search", "v", "cell"])
+                yield pa.RecordBatch.from_arrays([b.column("search").take(at), pa.array(np.concatenate(cells).astype(np.int64))], names=["search", "cell"])
 
-        probes = saved(searches.select("search", "v").mapInArrow(probe, f"search long, v array<{self.kind}>, cell long"))
+        probes = saved(searches.select("search", "v").mapInArrow(probe, "search long, cell long"))
         many = lambda t, name: t.groupBy("cell").agg(F.ceil(F.count("*") / piece).cast("int").alias(name))
         # one row a cell, at most 2**20
         plan = F.broadcast(many(self.entries, "es").join(many(probes, "ps"), "cell"))
         part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = self.entries.join(plan, "cell").withColumn("e", part("entry", "es")).withColumn("p", each("ps")).select("cell", "e", "p", F.col("entry").alias("key"), "ids", "v")
-        right = probes.join(plan, "cell").withColumn("p", part("search", "ps")).withColumn("e", each("es")).select("cell", "e", "p", F.col("search").alias("key"), "v")
-        buckets = 4 * partitions(self.spark)
+        buckets = self.buckets
         bucket = F.pmod(F.xxhash64("cell", "e", "p"), F.lit(buckets)).cast("int")
+        places = probes.join(plan, "cell").withColumn("p", part("search", "ps")).withColumn("e", each("es")).withColumn("bucket", bucket)
+        # probes are numbers alone; a search's vector joins them once a bucket
+        places = places.groupBy("bucket", "search").agg(F.collect_list("cell").alias("cell"), F.collect_list("e").alias("e"), F.collect_list("p").alias("p"))
+        right = places.join(searches, "search").select("bucket", F.col("search").alias("key"), "v", "cell", "e", "p")
 
         def rerank(_, found, wants):
             entry, asked_by, close = [], [], []
             if found.num_rows and wants.num_rows:
-                place = [np.column_stack([t.column(c).to_numpy() for c in ("cell", "e", "p")]) for t in (found, wants)]
+                lists = wants.column("cell").combine_chunks()
+                asking = np.repeat(np.arange(wants.num_rows), lists.value_lengths().to_numpy())
+                place = [np.column_stack([found.column(c).to_numpy() for c in ("cell", "e", "p")]), np.column_stack([wants.column(c).combine_chunks().flatten().to_numpy() for c in ("cell", "e", "p")])]
                 xs = [matrix(t.column("v").combine_chunks(), dims) for t in (found, wants)]
                 groups, at = np.unique(np.concatenate(place), axis=0, return_inverse=True)
-                a, b = at.ravel()[: len(xs[0])], at.ravel()[len(xs[0]) :]
+                a, b = at.ravel()[: len(xs[0])], at.ravel()[len(xs[0]) :]  # of entries, and of probes in the order of ``asking``
                 oa, ob = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
                 ea, eb = np.searchsorted(a[oa], np.arange(len(groups) + 1)), np.searchsorted(b[ob], np.arange(len(groups) + 1))
                 for g in range(len(groups)):
-                    mine, asks = oa[ea[g] : ea[g + 1]], ob[eb[g] : eb[g + 1]]
+                    mine, asks = oa[ea[g] : ea[g + 1]], asking[ob[eb[g] : eb[g + 1]]]
                     if not len(mine) or not len(asks):
                         continue
                     near = unit(xs[1][asks]) @ unit(xs[0][mine]).T
@@ -213,7 +224,7 @@ class MultiIndex:
             rows = pa.array(entry)
             return pa.table([pa.array(search), found.column("key").take(rows), found.column("ids").take(rows), pa.array(score)], names=["search", "entry", "ids", "score"])
 
-        scored = left.withColumn("bucket", bucket).groupBy("bucket").cogroup(right.withColumn("bucket", bucket).groupBy("bucket")).applyInArrow(rerank, "search long, entry long, ids array<long>, score double")
+        scored = left.withColumn("bucket", bucket).groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(rerank, "search long, entry long, ids array<long>, score double")
         best = scored.withColumn("r", F.row_number().over(W.partitionBy("search").orderBy(F.desc("score"), "entry"))).filter(F.col("r") <= k + 1)
         # per search at most (k + 1) entries of k + 1 ids
         lists = best.groupBy("search").agg(F.collect_list(F.struct("score", "ids")).alias("found"))

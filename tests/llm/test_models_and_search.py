@@ -63,7 +63,8 @@ def nearest(x, q, k):
 @pytest.mark.parametrize("piece", [2048, 16])
 def test_whole_index_search_matches_brute_force(spark, piece):
     df, x = vectors(spark)
-    index = multi_index.MultiIndex(df)
+    index = multi_index.MultiIndex(df, candidates=1000, bucket_bytes=4096)
+    assert index.visited == 1
     got = index.search(index.rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "v"), piece=piece).collect()
     by = {}
     for r in got:
@@ -89,12 +90,29 @@ def test_recall_when_only_part_is_visited(spark):
     x = (centre[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16))).astype(np.float32)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
     index = multi_index.MultiIndex(df, sample=2000)
-    assert index.candidates < 6000
+    assert index.visited < 0.5
     got = index.search(index.rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "v")).collect()
     want = {(q, i) for q in range(0, 6000, 100) for _, i in nearest(x, q, 5)}
     assert len({(r["query_id"], r["vec_id"]) for r in got} & want) / len(want) >= 0.9
 
 
+@pytest.mark.parametrize("n", [1500, 5000])
+def test_recall_without_clusters(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 12)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    index = multi_index.MultiIndex(df, sample=1000)
+    assert index.visited < 0.95
+    got = index.search(index.rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "v")).collect()
+    want = {(q, i) for q in range(0, n, 50) for _, i in nearest(x, q, 5)}
+    assert len(got) == len(want) and len({(r["query_id"], r["vec_id"]) for r in got} & want) / len(want) >= 0.9
+
+
+def test_fewer_rows_than_neighbours(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in (0, 50, 51)], "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in multi_index.nearest_rows(df).collect()}
+    assert got == {(0, 1): 50, (0, 2): 51, (50, 1): 51, (50, 2): 0}
+
+
 def test_search_without_usable_vectors(spark):
     df = spark.createDataFrame([(1, None), (50, [0.0])], "vec_id long, embedding array<float>")
     assert multi_index.nearest_rows(df).count() == 0
