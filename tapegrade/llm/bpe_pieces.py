@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import prepare, release
+from .common import HELD, prepare, release
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -380,7 +380,7 @@ class Lockstep:
 
 
 EMPTY = hashlib.sha256(b"").hexdigest()
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = HELD.setdefault("bpe_pieces", {})
 
 
 def encoder(path: str) -> Encoder:
@@ -397,7 +397,7 @@ def at_work(path: str):
         yield e
     finally:
         e.memory.clear()
-        release()
+        release("bpe_pieces")
 
 
 def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

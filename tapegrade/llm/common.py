@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -89,8 +90,16 @@ def kept(df: DataFrame) -> tuple[DataFrame, int]:
     return packed(df, rows), rows
 
 
-def release() -> None:
-    """Hands the memory that this worker has freed back to the system: workers live on for other tasks, and what they keep adds up."""
+#: What workers keep between partitions, by its owner; other work starts by dropping it.
+HELD: dict[str, dict] = {}
+
+
+def release(owner: str | None = None) -> None:
+    """Drops what others than ``owner`` keep and hands freed memory back to the system: workers live on for other tasks, and what they keep adds up."""
+    for name, cache in HELD.items():
+        if cache and name != owner:
+            cache.clear()
+            gc.collect()  # encoder and memory refer to each other
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
@@ -98,12 +107,14 @@ def release() -> None:
 
 
 def lean(run):
-    """``run`` over the batches of a partition, with freed memory released at its end."""
+    """``run`` over the batches of a partition, with what other work kept and freed memory released before and after."""
 
     def over(batches):
+        release()
         try:
             yield from run(batches)
         finally:
+            _powers.clear()
             release()
 
     return over

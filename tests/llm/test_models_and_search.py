@@ -374,3 +374,13 @@ def test_a_worker_keeps_its_encoder_but_no_cuts():
         e.memory.learn(set(e.cuts("lost")))
         raise KeyError
     assert not e.memory
+
+
+def test_other_work_drops_the_encoder():
+    from tapegrade.llm import common
+
+    with bpe_pieces.at_work(model()) as e:
+        pass
+    assert bpe_pieces.encoder(model()) is e
+    assert list(common.lean(lambda batches: batches)(iter([1, 2]))) == [1, 2]
+    assert not bpe_pieces._encoders and not common._powers
