@@ -120,6 +120,32 @@ def lean(run):
     return over
 
 
+def tidy(run):
+    """``run(key, table)`` of a group, with freed memory released before and after."""
+
+    def over(key, table):
+        release()
+        try:
+            return run(key, table)
+        finally:
+            release()
+
+    return over
+
+
+def tidy_pair(run):
+    """``run(key, left, right)`` of two groups of a key, with freed memory released before and after."""
+
+    def over(key, left, right):
+        release()
+        try:
+            return run(key, left, right)
+        finally:
+            release()
+
+    return over
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string or binary column and its offsets (one more than rows); null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tapegrade.operators.graph import connected_components
 
-from .common import LOWER, U64, buffers, buckets_for, kept, lean, mix, partitions, prepare, saved, sized, slices, span_hashes, word_spans
+from .common import LOWER, U64, buffers, buckets_for, kept, lean, mix, partitions, prepare, saved, sized, slices, span_hashes, tidy, word_spans
 
 #: Very frequent shingles that are ordered last: at most so many, each in at least LOCAL documents of a slice.
 FREQUENT, LOCAL = 1 << 16, 4
@@ -393,7 +393,7 @@ class Join:
             new = np.concatenate([[True], (hub[1:] != hub[:-1]) | (gid[1:] != gid[:-1])])
             return pa.table([pa.array(hub[new]), pa.array(gid[new])], names=["hub", "gid"])
 
-        found = self.sets.filter("n > 0").select("gid", "n", "prefix").mapInArrow(lean(post), "bucket int, key binary, gid binary, n binary, pos binary").groupBy("bucket").applyInArrow(meet, "hub long, gid long")
+        found = self.sets.filter("n > 0").select("gid", "n", "prefix").mapInArrow(lean(post), "bucket int, key binary, gid binary, n binary, pos binary").groupBy("bucket").applyInArrow(tidy(meet), "hub long, gid long")
         # a group's own members share their prefix, so they are candidates of each other
         several = self.classes.groupBy("gid").agg(F.count("*").alias("members")).filter("members > 1")
         found = found.unionByName(several.select(F.col("gid").alias("hub"), "gid")).distinct()
@@ -441,7 +441,7 @@ class Join:
                 out.append([np.full(len(a), hub[x]), np.minimum(names[a], names[b]), np.maximum(names[a], names[b]), np.full(len(a), len(a) < have)])
             return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=["hub", "a", "b", "more"])
 
-        return dealt.groupBy("bucket").applyInArrow(compare, "hub long, a long, b long, more boolean")
+        return dealt.groupBy("bucket").applyInArrow(tidy(compare), "hub long, a long, b long, more boolean")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, links) of distinct pairs, by the shingles of their texts."""
@@ -474,7 +474,7 @@ class Join:
             a, b, good = zip(*out) if out else ([], [], [])
             return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(good, pa.bool_())], names=["a", "b", "links"])
 
-        return met.groupBy("bucket").applyInArrow(verify, "a long, b long, links boolean")
+        return met.groupBy("bucket").applyInArrow(tidy(verify), "a long, b long, links boolean")
 
     def _search(self, cells: DataFrame, times: int | None) -> tuple[DataFrame, DataFrame]:
         """Pairs found by hub, and the distinct ones verified."""

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE, U64, buffers, byte_codes, partitions, prepare, release, span_hashes
+from .common import SLICE, U64, buffers, byte_codes, partitions, prepare, span_hashes, tidy, tidy_pair
 from .suffix_array import prefix_classes
 
 WIDTH, GRAM = 50, 24
@@ -318,7 +318,6 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     dealt = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
 
     def chunk_of(key, table: pa.Table) -> Chunk:
-        release()  # what the group before left
         return Chunk(table, width, gram, buckets)
 
     def keys(key, table):
@@ -328,12 +327,11 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=names)
 
     def answer_keys(key, rows):
-        release()
         return pa.table([rows.column("chunk"), pa.array([key[0].as_py()] * rows.num_rows, pa.int32()), pa.array(shared_keys(rows), pa.binary())], names=["chunk", "bucket", "mask"])
 
     answers = "chunk int, bucket int, mask binary"
     # all passes are one query, so that the documents' exchange, and the keys', are made once and reused
-    masks = dealt.groupBy("chunk").applyInArrow(keys, "bucket int, chunk int, keys binary, many binary").groupBy("bucket").applyInArrow(answer_keys, answers).withColumn("kind", F.lit(0))
+    masks = dealt.groupBy("chunk").applyInArrow(tidy(keys), "bucket int, chunk int, keys binary, many binary").groupBy("bucket").applyInArrow(tidy(answer_keys), answers).withColumn("kind", F.lit(0))
 
     def by_bucket(rows, kind):
         return {b: m for b, m, k in zip(rows.column("bucket").to_pylist(), rows.column("mask").to_pylist(), rows.column("kind").to_pylist()) if k == kind}
@@ -350,10 +348,9 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
         return pa.table([arrays[0], pa.array([key[0].as_py()] * len(out), pa.int32()), *arrays[1:]], names=["bucket", "chunk", "keys", "ids", "counts", "bytes"])
 
     def answer_regions(key, rows):
-        release()
         return pa.table([rows.column("chunk"), pa.array([key[0].as_py()] * rows.num_rows, pa.int32()), pa.array(earlier_strings(rows, width), pa.binary())], names=["chunk", "bucket", "mask"])
 
-    found = dealt.groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInArrow(regions, "bucket int, chunk int, keys binary, ids binary, counts binary, bytes binary").groupBy("bucket").applyInArrow(answer_regions, answers).withColumn("kind", F.lit(1))
+    found = dealt.groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInArrow(tidy_pair(regions), "bucket int, chunk int, keys binary, ids binary, counts binary, bytes binary").groupBy("bucket").applyInArrow(tidy(answer_regions), answers).withColumn("kind", F.lit(1))
 
     def cut(key, table, rows):
         if not table.num_rows:
@@ -377,4 +374,4 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     fields = [T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType() if decode else T.BinaryType())]
     schema = T.StructType(fields + [T.StructField(c, docs.schema[c].dataType) for c in keep])
-    return dealt.groupBy("chunk").cogroup(masks.unionByName(found).groupBy("chunk")).applyInArrow(cut, schema)
+    return dealt.groupBy("chunk").cogroup(masks.unionByName(found).groupBy("chunk")).applyInArrow(tidy_pair(cut), schema)
