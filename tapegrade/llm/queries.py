@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_pieces, license_scan, mixing, multi_index, ngram_jaccard, quality_model, quality_rules, suffix_dedup, toxicity, url_filter
+from . import bpe_pieces, license_scan, minhash, mixing, multi_index, ngram_jaccard, quality_model, quality_rules, suffix_dedup, token_alignment, toxicity, url_filter, whitening
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def _read(table: str):
@@ -67,8 +67,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(embeddings(spark, sf_dir))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), percent=80, width=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_url_filters, op3_multi_index, op4_mixing, op5_bpe_pieces, op6_ngram_jaccard, op7_toxicity, op8_license_scan, op9_quality_rules, op10_quality_model)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_url_filters, op3_multi_index, op4_mixing, op5_bpe_pieces, op6_ngram_jaccard, op7_toxicity, op8_license_scan, op9_quality_rules, op10_quality_model, op11_token_alignment, op12_whitening, op13_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
