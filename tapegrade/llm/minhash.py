@@ -74,6 +74,9 @@ def band_keys(doc: np.ndarray, s: np.ndarray, n_docs: int) -> np.ndarray:
 class MinHash(Join):
     """The join's tables for one DataFrame of documents, with buckets of sketches as candidate search."""
 
+    #: Members of a bucket are near copies of each other, so few spanning forests are refused; hubs with refused edges are searched again.
+    forests = 4
+
     def __init__(self, docs: DataFrame, percent: int = 80, width: int = 5, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK):
         self.spark = prepare(docs.sparkSession)
         self.percent, self.width, self.block, self.part = percent, width, block, PART

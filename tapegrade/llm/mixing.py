@@ -12,7 +12,7 @@
    their common divisor first. If the sum falls short, the window doubles; once it covers the whole rest, no shares
    are given beforehand and the result is the nearest reachable sum below the target. ``widest`` (2**24 words, some 200 MB)
    bounds the table: a source whose rest is larger *and* whose sums still miss the target at that window gets
-   the nearest sum found there.
+   the nearest sum found there; a larger ``widest`` makes it exact, for some 12 bytes a word of the rest.
 4. Selection: of each (source, length) class, as many documents as the fit says, in order of a seeded
    hash of the id. The class is cut into hash buckets of about ``bucket_rows`` documents whose counts are
    summed first, so that only the one bucket that the limit falls into is ranked; a class that holds a
@@ -163,7 +163,7 @@ def knapsack(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
     return taken
 
 
-def mix_sources(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int = 2, seed: int = 0, bucket_rows: int = 512, salts: int = 16, doc_id: str = "doc_id", source: str = "source", text: str = "text", window: int = 1 << 17) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int = 2, seed: int = 0, bucket_rows: int = 512, salts: int = 16, doc_id: str = "doc_id", source: str = "source", text: str = "text", window: int = 1 << 17, widest: int = 1 << 24) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (size times copies) of every row."""
     prepare(docs.sparkSession)
     # (id, source, size) alone is kept: a few bytes a document, and the texts are read once
@@ -174,7 +174,7 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epo
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size", kind="stable").reset_index(drop=True)
-        epochs, take = fit_counts(pdf["size"].to_numpy(), pdf["n"].to_numpy(), float(pdf["target"].iloc[0]), max_epochs, window)
+        epochs, take = fit_counts(pdf["size"].to_numpy(), pdf["n"].to_numpy(), float(pdf["target"].iloc[0]), max_epochs, window, widest)
         return pdf.assign(epochs=epochs, take=take)[["source", "size", "n", "source_size", "target", "epochs", "take"]]
 
     schema = "source string, size long, n long, source_size long, target double, epochs long, take long"

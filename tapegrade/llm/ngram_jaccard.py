@@ -280,6 +280,9 @@ def _forest(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
 class Join:
     """The join's tables for one DataFrame of documents."""
 
+    #: Spanning forests of a first search.
+    forests = FORESTS
+
     def __init__(self, docs: DataFrame, percent: int = 85, width: int = 4, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, part: int = PART):
         self.spark = prepare(docs.sparkSession)
         self.percent, self.width, self.block, self.part = percent, width, block, part
@@ -500,7 +503,7 @@ class Join:
             pivot = placed.filter("parts > 1").groupBy("hub", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PIVOTS)).alias("p")).agg(F.min(F.struct("node", "n", "bits")).alias("m"), F.first("parts").alias("parts"))
             pivot = pivot.select("hub", "m.*", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("at")).filter(own != F.col("at"))
             cells = cells.unionByName(pivot.select("hub", F.col("at").alias("i"), F.col("at").alias("j"), *plain, *unknown))
-        times = FORESTS
+        times = self.forests
         found, checked = self._search(cells, times)
         tested, again = checked, large.select("hub")
         while True:

@@ -1,8 +1,8 @@
 """Removal of byte strings that an earlier document already has, by suffix arrays.
 
 Each byte that is covered by a ``width``-byte string which also starts in a document with a smaller id is
-removed; strings are judged on the input, overlaps count, matches never cross documents. Exact for any
-corpus: nothing is sampled, capped or hashed away.
+removed; strings are judged on the input, overlaps count, matches never cross documents. Nothing is sampled
+or capped. Runs of strings whose 64-bit digest, 64-bit key and length are all equal count as the same bytes without being compared.
 
 One suffix array of the whole corpus cannot be built in one place, so equal strings are brought together
 first. A string's *key* is the smallest hash of its ``gram``-byte substrings; equal strings have equal

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tapegrade.llm import mixing, toxicity
@@ -135,3 +136,27 @@ def test_encoding_equals_the_library(stages):
 def test_run_equals_the_stages(spark, sf):
     rows = corpus_pipeline.run(spark, sf)
     assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and rows.count() > 0
+
+
+CLASHING = {"size": 7, "copies": 8, "times": 9, "kept": "k", "spans": "s", "_k": 1, "_h": 2, "rest": "r", "n_bytes": 3, "node": 4, "h": 5, "time": 6}
+
+
+def test_further_columns_pass_through_all_stages(spark, sf, stages):
+    docs = spark.createDataFrame(stages[0][:120] + stages[0][-3:], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    wide = docs
+    for name, value in CLASHING.items():
+        wide = wide.withColumn(name, F.lit(value))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, got = stage(spark, docs, sf), stage(spark, wide, sf)
+        assert got.columns == COLUMNS + list(CLASHING)
+        rows = got.collect()
+        assert all(r[c] == v for r in rows for c, v in CLASHING.items())
+        order = lambda found: sorted((tuple(r[c] for c in COLUMNS) for r in found), key=str)
+        assert order(rows) == order(plain.collect()) and rows, name
+
+
+def test_an_empty_table_passes_through(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        assert docs.count() == 0
