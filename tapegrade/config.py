@@ -24,6 +24,9 @@ class Config:
     avg_hold_s: int = 180
     maker_max: float = 0.80
     trades_per_day: int = 300
+    requests_per_fill: float = 50.0
+    history_cap: int = 10_000
+    forward_days: int = 30
     legs_max: int = 5
     # results
     months_positive: float = 4 / 6
@@ -37,12 +40,33 @@ class Config:
     tstat_min: float = 2.0
     dsr_min: float = 0.90
     equity_floor: float = 5_000.0
+    # rolling periods: days, calendar months, and returns that a period needs for a t-statistic
+    rolling_days: int = 180
+    rolling_months: int = 6
+    rolling_least: int = 4
+    rolling_over: float = 0.05
     # detectors
     flow_share: float = 0.5
     rescue_inflow: float = 0.15
     rescue_upnl: float = -0.25
     rescue_window_s: int = 3_600
     rescue_span: int = 180
+    rescue_distance: float = 0.10
+    max_leverage: float = 20.0
+    zombie_upnl: float = -0.20
+    zombie_days: int = 3
+    zombie_equity: float = 0.30
+    event_days: int = 7
+    event_share: float = 0.8
+    edge_days: int = 3
+    edge_share: float = 0.4
+    edge_losses: int = 10
+    net_to_gross: float = 0.2
+    flat_beta: float = 0.1
+    carry_days: float = 0.8
+    carry_cv: float = 0.25
+    transfer_link: float = 30_000.0
+    evidence: int = 3
     income_share: float = 0.20
     hedge_ratio: float = 0.3
     wash_share: float = 0.05

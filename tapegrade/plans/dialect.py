@@ -8,10 +8,13 @@ are exact and running sums come back to zero.
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tapegrade.config import DEFAULT, Config
+from tapegrade.operators.graph import shared_folder
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
@@ -21,7 +24,7 @@ MACROS = {
     "MONTHNUM": ("(year($1) * 12 + month($1) - 1)", "(year($1) * 12 + month($1) - 1)"),
     "DAYDATE": ("date_add(DATE '1970-01-01', CAST($1 AS INT))", "(DATE '1970-01-01' + CAST($1 AS INT))"),
     "MONTHDATE": ("make_date(CAST(floor(($1) / 12) AS INT), CAST(($1) % 12 + 1 AS INT), 1)", "make_date(CAST(floor(($1) / 12) AS BIGINT), CAST(($1) % 12 + 1 AS BIGINT), 1)"),
-    "MS": ("unix_millis(CAST($1 AS TIMESTAMP))", "epoch_ms($1)"),
+    "MS": ("unix_millis(CAST($1 AS TIMESTAMP))", "(epoch_us($1) // 1000)"),
     "DIV": ("(($1) div ($2))", "(($1) // ($2))"),
     "PCTL": ("percentile($1, $2)", "quantile_cont($1, $2)"),
     "SEQ": ("explode(sequence($1, $2))", "unnest(range($1, ($2) + 1))"),
@@ -70,17 +73,36 @@ def names(sql: str) -> list[str]:
 
 
 class Frames:
-    """The views of one folder of tables, as DataFrames made when first asked for."""
+    """The views of one folder of tables, as DataFrames made when first asked for.
 
-    def __init__(self, spark: SparkSession, sf_dir: str, views: dict[str, str], config: Config = DEFAULT):
-        self.spark, self.sf_dir, self.views, self.config = spark, sf_dir, views, config
+    ``built`` holds views that have a plan of their own instead of a text; the oracle takes their text all the same.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, views: dict[str, str], config: Config = DEFAULT, built: dict[str, Callable[[Frames], DataFrame]] | None = None):
+        self.spark, self.sf_dir, self.views, self.config, self.built = spark, sf_dir, views, config, built or {}
         self.made: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.made:
-            self.made[name] = self.sql(self.views[name]) if name in self.views else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            if name in self.built:
+                self.made[name] = self.built[name](self)
+            else:
+                self.made[name] = self.sql(self.views[name]) if name in self.views else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.made[name]
 
+    def keep(self, *names: str) -> Frames:
+        """Writes views to the shared folder, in order, so that whatever is asked for afterwards reads them instead of making them again."""
+        folder = f"{shared_folder(self.spark)}/frames-{uuid.uuid4().hex}"
+        for name in names:
+            self[name].write.parquet(f"{folder}/{name}")
+            self.made[name] = self.spark.read.parquet(f"{folder}/{name}")
+        return self
+
+    def written(self, text: str, name: str) -> DataFrame:
+        """The result of ``text``, written to the shared folder and read again."""
+        self.made[name] = self.sql(text)
+        return self.keep(name)[name]
+
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(translate(text, False, self.config), **{n: self[n] for n in names(text)})
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapegrade.operators.graph import connected_components
 from tapegrade.operators.joins import asof_join, band_join
+from tapegrade.operators.sweep import distinct_recent
 from tapegrade.plans.dialect import Frames
 
 
@@ -17,25 +18,12 @@ def asof_mark(t: Frames) -> DataFrame:
     return found.select("address", "id", "day", "usdc_u", "exposure_u", "upnl_u")
 
 
-def _rescues(t: Frames, kind: str) -> DataFrame:
-    state = t["account_states"].join(t["equity"].select("address", "day", "equity_u"), ["address", "day"])
-    flows = t["flows"].filter(F.col("kind") == kind).select("address", "id", "day", "usdc_u")
-    seen = asof_join(flows, state.select("address", "day", "exposure_u", "upnl_u", "equity_u"), ["address"], "day", ["upnl_u", "equity_u"])
-    c = t.config
-    under = seen.filter((F.col("upnl_u") <= c.rescue_upnl * 0.001 * F.col("equity_u")) & (F.col("usdc_u") >= c.rescue_inflow * 0.01 * F.col("equity_u")))
-    cuts = t["legs"].filter("abs(after_q) < abs(before_q)").select("address", F.col("day").alias("cut_day")).distinct()
-    kept = band_join(under, cuts, ["address"], "day", "cut_day", -1, 1, "left_anti")
-    n = kept.groupBy("address").agg(F.count("*").alias("events"))
-    return n.withColumn("severity", F.when(F.col("events") >= 2, "VETO").otherwise("FLAG"))
-
-
+#: Deposits (or transfers) into a book under water or near its liquidation, without a cut within a day; two within the span are a veto. {events} of
+#: an address are counted by the largest number within the span.
 RESCUE = """
-    SELECT address, count(*) AS events, CASE WHEN count(*) >= 2 THEN 'VETO' ELSE 'FLAG' END AS severity FROM (
-      SELECT f.address, f.id, f.day, f.usdc_u, s.upnl_u, s.equity_u FROM (SELECT * FROM {flows} WHERE kind = '%s') f JOIN (
-        SELECT a.address, a.day, a.upnl_u, e.equity_u, coalesce(lead(a.day) OVER (PARTITION BY a.address ORDER BY a.day), 10000000) AS until
-        FROM {account_states} a JOIN {equity} e ON a.address = e.address AND a.day = e.day) s ON f.address = s.address AND f.day >= s.day AND f.day < s.until) x
-    WHERE upnl_u <= $rescue_upnl * 0.001 * equity_u AND usdc_u >= $rescue_inflow * 0.01 * equity_u
-      AND NOT EXISTS (SELECT 1 FROM {legs} l WHERE abs(l.after_q) < abs(l.before_q) AND l.address = x.address AND l.day BETWEEN x.day - 1 AND x.day + 1) GROUP BY address"""
+    SELECT b.address, coalesce(r.events, 0) AS events, CASE WHEN coalesce(r.near, false) THEN 'VETO' WHEN r.events > 0 THEN 'FLAG' ELSE 'PASS' END AS severity FROM (SELECT DISTINCT address FROM {flows}) b LEFT JOIN (
+      SELECT address, count(*) AS events, bool_or(coalesce(day - before <= $rescue_span, false)) AS near FROM (
+        SELECT address, day, lag(day) OVER (PARTITION BY address ORDER BY day, id) AS before FROM {rescues} WHERE kind = '%s') e GROUP BY address) r ON b.address = r.address"""
 
 
 def _actions(t: Frames, suffix: str) -> DataFrame:
@@ -65,17 +53,27 @@ def d_b4_copier(t: Frames) -> DataFrame:
 
 
 def flock(t: Frames) -> DataFrame:
-    """Pairs of addresses that act on one coin and side within a quarter of an hour."""
-    met = band_join(_actions(t, "a"), _actions(t, "b"), ["coin"], "ms_a", "ms_b", 0, t.config.flock_s * 1000, residual=(F.col("address_a") != F.col("address_b")) & (F.col("side_a") == F.col("side_b")) & (F.col("id_a") < F.col("id_b")))
-    return met.groupBy("coin", F.col("side_a").alias("side")).agg(F.count("*").alias("pairs"), F.countDistinct("address_a").alias("leaders"))
+    """Moments at which several addresses have acted on one coin and side within the last quarter of an hour."""
+    return distinct_recent(t["actions"], ["coin", "side"], "ms", "address", t.config.flock_s * 1000).filter("addresses >= 2")
+
 
+def exit_lag(t: Frames, width: int = 32) -> DataFrame:
+    """Days from the first cut of a closed trip to the first later mark one percent below the price of that cut, however late.
 
-def exit_lag(t: Frames) -> DataFrame:
-    """Days from the first cut of a closed trip to the first mark one percent below the price of that cut."""
+    The search goes by blocks of days: the first block after the cut's own whose lowest mark is low enough holds the day, unless the rest of the
+    cut's own block does. Per coin there are few blocks, and a running minimum from the end of each block on drops cuts that no mark follows.
+    """
     cuts = t["trip_legs"].filter("NOT opens").groupBy("address", "coin", "trip").agg(F.min(F.struct("day", "ok", "ln", "sk", "pk", "px_u")).alias("c")).select("address", "coin", "trip", F.col("c.day").alias("cut"), F.col("c.px_u").alias("px_u"))
-    marks = t["marks"].select("coin", F.col("day").alias("mark_day"), "low_u")
-    met = band_join(cuts, marks, ["coin"], "cut", "mark_day", 1, 30, residual=F.col("low_u") * 100 <= F.col("px_u") * 99)
-    return met.groupBy("address", "coin", "trip").agg(F.min(F.col("mark_day") - F.col("cut")).alias("lag"))
+    marks = t["marks"].select("coin", F.col("day").alias("mark_day"), "low_u").withColumn("block", F.floor(F.col("mark_day") / width))
+    low = (F.col("low_u") * 100 <= F.col("px_u") * 99) & (F.col("mark_day") > F.col("cut"))
+    own = cuts.withColumn("block", F.floor(F.col("cut") / width)).join(marks, ["coin", "block"]).filter(low)
+    own = own.groupBy("address", "coin", "trip").agg(F.min(F.col("mark_day") - F.col("cut")).alias("lag"))
+    lows = marks.groupBy("coin", "block").agg(F.min("low_u").alias("least"))
+    rest = cuts.join(own, ["address", "coin", "trip"], "left_anti")
+    first = rest.join(lows, "coin").filter((F.col("block") > F.floor(F.col("cut") / width)) & (F.col("least") * 100 <= F.col("px_u") * 99))
+    first = first.groupBy("address", "coin", "trip", "cut", "px_u").agg(F.min("block").alias("block"))
+    later = first.join(marks, ["coin", "block"]).filter(low).groupBy("address", "coin", "trip").agg(F.min(F.col("mark_day") - F.col("cut")).alias("lag"))
+    return own.unionByName(later)
 
 
 def clusters(t: Frames) -> DataFrame:
@@ -89,8 +87,6 @@ PLANS = {
     "asof_mark": (asof_mark, """
         SELECT f.address, f.id, f.day, f.usdc_u, s.exposure_u, s.upnl_u FROM (SELECT * FROM {flows} WHERE kind = 'deposit') f
         ASOF LEFT JOIN {account_states} s ON f.address = s.address AND f.day >= s.day"""),
-    "d_m2": (lambda t: _rescues(t, "deposit"), RESCUE % "deposit"),
-    "d_m5": (lambda t: _rescues(t, "internalTransfer"), RESCUE % "internalTransfer"),
     "behavioural_links": (behavioural_links, """
         SELECT least(a.address, b.address) AS src, greatest(a.address, b.address) AS dst, count(*) AS n, count(*) >= $twin_events AS linked FROM {actions} a JOIN {actions} b
         ON a.coin = b.coin AND a.address <> b.address AND a.side <> b.side AND b.ms - a.ms BETWEEN 0 AND $twin_seconds * 1000 AND b.notional_u BETWEEN (1 - $twin_notional) * a.notional_u AND (1 + $twin_notional) * a.notional_u
@@ -101,10 +97,10 @@ PLANS = {
             SELECT b.address, a.address AS leader, count(DISTINCT b.id) AS n FROM {actions} a JOIN {actions} b ON a.coin = b.coin AND a.side = b.side AND a.address <> b.address AND b.ms - a.ms BETWEEN $copier_low_s * 1000 AND $copier_high_s * 1000
             GROUP BY b.address, a.address) g) q JOIN (SELECT address, count(*) AS opens FROM {actions} GROUP BY address) o ON q.address = o.address WHERE k = 1"""),
     "flock": (flock, """
-        SELECT a.coin, a.side, count(*) AS pairs, count(DISTINCT a.address) AS leaders FROM {actions} a JOIN {actions} b ON a.coin = b.coin AND a.side = b.side AND a.address <> b.address AND a.id < b.id AND b.ms - a.ms BETWEEN 0 AND $flock_s * 1000 GROUP BY a.coin, a.side"""),
+        SELECT * FROM (SELECT a.coin, a.side, a.ms, count(DISTINCT b.address) AS addresses FROM (SELECT DISTINCT coin, side, ms FROM {actions}) a JOIN {actions} b ON a.coin = b.coin AND a.side = b.side AND a.ms - b.ms BETWEEN 0 AND $flock_s * 1000 GROUP BY a.coin, a.side, a.ms) f WHERE addresses >= 2"""),
     "exit_lag": (exit_lag, """
         SELECT c.address, c.coin, c.trip, min(m.day - c.day) AS lag FROM (SELECT *, row_number() OVER (PARTITION BY address, coin, trip ORDER BY day, ok, ln, sk, pk) AS k FROM {trip_legs} WHERE NOT opens) c
-        JOIN {marks} m ON c.coin = m.coin AND m.day - c.day BETWEEN 1 AND 30 AND m.low_u * 100 <= c.px_u * 99 WHERE c.k = 1 GROUP BY c.address, c.coin, c.trip"""),
+        JOIN {marks} m ON c.coin = m.coin AND m.day > c.day AND m.low_u * 100 <= c.px_u * 99 WHERE c.k = 1 GROUP BY c.address, c.coin, c.trip"""),
     "clusters": (clusters, """
         SELECT root AS cluster_id, count(*) AS members, max(node) AS last_member FROM (SELECT node, min(other) AS root FROM (
           WITH RECURSIVE near AS (SELECT src AS a, dst AS b FROM {link_edges} UNION SELECT dst, src FROM {link_edges}), reach(node, other) AS (SELECT a, a FROM near UNION SELECT r.node, b.b FROM reach r JOIN near b ON r.other = b.a)
@@ -112,6 +108,9 @@ PLANS = {
 }
 
 QUERIES = {
+    "d_m2": RESCUE % "deposit",
+    "d_m5": RESCUE % "internalTransfer",
+    "rescues": "SELECT address, id, day, kind, usdc_u / 1e6 AS usdc, round(upnl_share, 6) AS upnl_share, round(distance, 6) AS distance FROM {rescues}",
     "hard_links": "SELECT src, dst, edge_type, weight FROM {link_edges}",
     "cluster_book": """
         SELECT r.cluster, f.coin, count(*) AS n_fills, SUMI(f.dq) AS net_position, SUMI(f.pnl_u - f.fee_u) / 1e6 AS net FROM {fills} f JOIN {registry} r ON f.address = r.address GROUP BY r.cluster, f.coin""",
@@ -121,6 +120,22 @@ QUERIES = {
     "d_h2": """
         SELECT a.address, a.coin AS coin_a, b.coin AS coin_b, count(*) AS days, round(CORR(a.pnl_u / 1e6, b.pnl_u / 1e6), 4) AS rho FROM {coin_days} a JOIN {coin_days} b ON a.address = b.address AND a.day = b.day AND a.coin < b.coin
         GROUP BY a.address, a.coin, b.coin HAVING count(*) >= 3 AND var_pop(a.pnl_u / 1e6) > 0 AND var_pop(b.pnl_u / 1e6) > 0""",
+    # a book whose legs cancel: little net against gross exposure, and returns that do not follow the market
+    "d_h2_style": """
+        SELECT x.address, round(x.ratio, 6) AS net_to_gross, round(b.beta, 6) AS beta, CASE WHEN x.ratio < $net_to_gross AND abs(b.beta) < $flat_beta THEN 'FLAG' ELSE 'PASS' END AS severity
+        FROM (SELECT address, sum(net_u) / nullif(sum(gross_u), 0) AS ratio FROM (SELECT address, day, abs(SUMI(CASE WHEN szi > 0 THEN exposure_u ELSE -exposure_u END)) AS net_u, SUMI(exposure_u) AS gross_u FROM {states} WHERE szi <> 0 GROUP BY address, day) d GROUP BY address) x
+        LEFT JOIN (SELECT r.address, regr_slope(r.r, m.r) AS beta FROM {returns} r JOIN {market} m ON r.day = m.day WHERE r.r IS NOT NULL GROUP BY r.address HAVING count(*) > 2 AND var_pop(m.r) > 0) b ON x.address = b.address""",
+    # wallets of one funder that start together and end apart: the winner is a survivor unless all of them together gain
+    "d_h4": """
+        SELECT address, burst, round(own_u / 1e6, 6) AS net, round(together_u / 1e6, 6) AS together, CASE WHEN burst >= $sybil_wallets AND worst_u < 0 AND own_u = best_u AND own_u > 0 AND together_u <= 0 THEN 'VETO' ELSE 'PASS' END AS severity FROM (
+          SELECT address, own_u, count(*) OVER near AS burst, max(own_u) OVER near AS best_u, min(own_u) OVER near AS worst_u, CAST(sum(own_u) OVER near AS BIGINT) AS together_u FROM (
+            SELECT r.funder, f.address, min(f.day) AS first_day, SUMI(f.pnl_u - f.fee_u) AS own_u FROM {fills} f JOIN {registry} r ON f.address = r.address GROUP BY r.funder, f.address) w
+          WINDOW near AS (PARTITION BY funder ORDER BY first_day RANGE BETWEEN $sybil_days PRECEDING AND $sybil_days FOLLOWING)) b""",
+    # carry: against the side that pays funding (with a rising market longs do), of steady size, with a result made of funding
+    "d_h6_carry": """
+        SELECT s.address, round(s.against, 6) AS against_share, round(s.cv, 6) AS size_cv, CASE WHEN s.against >= $carry_days AND s.cv < $carry_cv AND f.funding_u > $funding_share * abs(d.net_u) THEN 'FLAG' ELSE 'PASS' END AS severity
+        FROM (SELECT x.address, avg(CASE WHEN (x.szi < 0) = (m.r > 0) THEN 1.0 ELSE 0.0 END) AS against, stddev_pop(x.exposure_u / 1e6) / nullif(avg(x.exposure_u / 1e6), 0) AS cv FROM {states} x JOIN {market} m ON x.day = m.day WHERE x.szi <> 0 GROUP BY x.address) s
+        JOIN {day_stats} d ON s.address = d.address JOIN (SELECT address, SUMI(CASE WHEN kind = 'internalTransfer' THEN DIV(usdc_u, 100) ELSE 0 END) AS funding_u FROM {flows} GROUP BY address) f ON s.address = f.address""",
     "d_h3_wash": """
         SELECT address, round(same_u / total_u, 6) AS same_cluster_share, CASE WHEN same_u > $wash_share * total_u THEN 'VETO' ELSE 'PASS' END AS severity FROM (
           SELECT f.address, SUMI(f.notional_u) AS total_u, SUMI(CASE WHEN a.cluster % 20 = b.cluster % 20 THEN f.notional_u ELSE 0 END) AS same_u
@@ -136,24 +151,38 @@ QUERIES = {
             AND b.notional_u BETWEEN (1 - $twin_notional) * a.notional_u AND (1 + $twin_notional) * a.notional_u GROUP BY a.address, b.address) t GROUP BY address""",
     "d_h6": """
         SELECT s.address, round(CORR(s.szi, m.r), 4) AS rho, count(*) AS days FROM {states} s JOIN {market} m ON s.day = m.day GROUP BY s.address HAVING count(*) >= 3 AND var_pop(s.szi) > 0 AND var_pop(m.r) > 0""",
-    "d_m7_rotation": """
-        SELECT e.src, e.dst, e.last_day, f.first_day, f.first_day - e.last_day AS lag FROM (
-          SELECT l.src, l.dst, max(x.day) AS last_day FROM {link_edges} l JOIN {fills} x ON l.src = x.address GROUP BY l.src, l.dst) e JOIN (SELECT address, min(day) AS first_day FROM {fills} GROUP BY address) f ON e.dst = f.address
-        WHERE f.first_day - e.last_day BETWEEN 0 AND $sybil_days""",
     "anti_corr_pairs": """
         SELECT a.address AS src, b.address AS dst, count(*) AS n, round(CORR(a.dq, b.dq), 4) AS rho FROM {net_days} a JOIN {net_days} b ON a.coin = b.coin AND a.day = b.day AND a.address < b.address
         GROUP BY a.address, b.address HAVING count(*) >= 3 AND var_pop(a.dq) > 0 AND var_pop(b.dq) > 0 AND round(CORR(a.dq, b.dq), 6) <= -0.8""",
 }
 
 VIEWS = {
+    # the account just before each inflow, from what has been open since the day before, at the day's marks
+    "inflow_states": """
+        SELECT f.address, f.id, f.day, f.kind, f.usdc_u, r.start_u + p.upnl_u AS own_u, p.upnl_u, p.exposure_u FROM {flows} f JOIN {returns} r ON f.address = r.address AND f.day = r.day JOIN (
+          SELECT f.address, f.id, sum(b.q * (m.vwap_u - b.cost * 1e6)) AS upnl_u, SUMI(abs(b.q) * m.vwap_u) AS exposure_u
+          FROM {flows} f JOIN {open_books} b ON f.address = b.address AND f.day > b.day AND f.day <= b.until JOIN {daily_marks} m ON b.coin = m.coin AND f.day = m.day WHERE f.kind <> 'withdraw' GROUP BY f.address, f.id) p ON f.address = p.address AND f.id = p.id
+        WHERE f.kind <> 'withdraw'""",
+    # distance: how far marks may move against the book before the maintenance margin, half of the smallest initial one, is reached
+    "rescues": """
+        SELECT s.address, s.id, s.day, s.kind, s.usdc_u, s.upnl_u / nullif(own_u, 0) AS upnl_share, s.own_u / nullif(s.exposure_u, 0) - 0.5 / $max_leverage AS distance FROM {inflow_states} s
+        LEFT JOIN (SELECT DISTINCT address, day FROM {legs} WHERE abs(after_q) < abs(before_q)) c0 ON s.address = c0.address AND s.day = c0.day LEFT JOIN (SELECT DISTINCT address, day + 1 AS day FROM {legs} WHERE abs(after_q) < abs(before_q)) c1 ON s.address = c1.address AND s.day = c1.day
+        LEFT JOIN (SELECT DISTINCT address, day - 1 AS day FROM {legs} WHERE abs(after_q) < abs(before_q)) c2 ON s.address = c2.address AND s.day = c2.day
+        WHERE c0.address IS NULL AND c1.address IS NULL AND c2.address IS NULL AND s.usdc_u >= $rescue_inflow * s.own_u AND s.exposure_u > 0 AND (s.upnl_u <= $rescue_upnl * s.own_u OR s.own_u < ($rescue_distance + 0.5 / $max_leverage) * s.exposure_u)""",
+    "cluster_of": """
+        SELECT node AS address, min(other) AS root FROM (WITH RECURSIVE near AS (SELECT src AS a, dst AS b FROM {link_edges} UNION SELECT dst, src FROM {link_edges}), reach(node, other) AS (SELECT a, a FROM near UNION SELECT r.node, b.b FROM reach r JOIN near b ON r.other = b.a)
+          SELECT node, other FROM reach) x GROUP BY node""",
     "account_states": "SELECT address, day, SUMI(exposure_u) AS exposure_u, SUMI(upnl_u) AS upnl_u FROM {states} GROUP BY address, day",
     "coin_days": "SELECT address, coin, day, SUMI(pnl_u) AS pnl_u FROM {fills} GROUP BY address, coin, day",
     "net_days": "SELECT address, coin, day, SUMI(dq) AS dq FROM {fills} GROUP BY address, coin, day",
-    # hard links join subaccounts to the first address of their funder's slot, and every internal transfer goes to that address
+    # hard links join subaccounts to the first address of their funder's slot; a transfer goes to the address that its order's smallest part number names, and links if it is large and urgent
+    "all_transfers": """
+        SELECT f.address AS src, p.pk AS dst, f.id, f.day, f.usdc_u, f.priority FROM {flows} f JOIN (SELECT l_orderkey AS id, min(l_partkey) AS pk FROM {lineitem} GROUP BY l_orderkey) p ON f.id = p.id JOIN {registry} r ON p.pk = r.address
+        WHERE f.kind = 'internalTransfer' AND f.address <> p.pk""",
+    "transfers": "SELECT src, dst, id, day, usdc_u FROM {all_transfers} WHERE priority = '1-URGENT' AND usdc_u >= $transfer_link * 1e6",
     "link_edges": """
         SELECT m.master AS src, r.address AS dst, 'hard' AS edge_type, 1 AS weight FROM {registry} r JOIN (SELECT cluster, min(address) AS master FROM {registry} GROUP BY cluster) m ON r.cluster = m.cluster WHERE r.address <> m.master AND r.role = 'subAccount'
-        UNION ALL SELECT f.address, m.master, 'transfer', CAST(count(*) AS INT) FROM {flows} f JOIN {registry} r ON f.address = r.address JOIN (SELECT cluster, min(address) AS master FROM {registry} GROUP BY cluster) m ON r.cluster = m.cluster
-          WHERE f.kind = 'internalTransfer' AND f.address <> m.master GROUP BY f.address, m.master""",
+        UNION ALL SELECT src, dst, 'transfer', CAST(count(*) AS INT) FROM {transfers} GROUP BY src, dst""",
     # long and short quantity of a cluster's members in a coin after each day with a change
     "cluster_steps": """
         SELECT cluster, coin, day, sum(long_d) OVER w AS long_q, sum(short_d) OVER w AS short_q FROM (

@@ -30,7 +30,7 @@ QUERIES = {
           LEFT JOIN (SELECT address, sum(lev * span) / nullif(sum(span), 0) AS mean_lev FROM {leverage} WHERE span IS NOT NULL GROUP BY address) x ON b.address = x.address""",
     "screen_named": """
         SELECT screen, address FROM (
-          SELECT p.screen, m.address, bool_and(CASE WHEN p.op = 'ge' THEN m.v >= p.bound ELSE m.v <= p.bound END) AS ok, count(*) AS met FROM {metric_rows} m JOIN {screen_rules} p ON m.metric = p.metric GROUP BY p.screen, m.address) s WHERE ok""",
+          SELECT p.screen, m.address, bool_and(CASE WHEN p.op = 'ge' THEN m.v >= p.bound ELSE m.v <= p.bound END) AS ok, count(m.v) AS met FROM {metric_rows} m JOIN {screen_rules} p ON m.metric = p.metric GROUP BY p.screen, m.address) s JOIN (SELECT screen AS name, count(*) AS rules FROM {screen_rules} GROUP BY screen) n ON s.screen = n.name WHERE ok AND met = rules""",
     "d_c1": "SELECT address, pnl_30 / 1e6 AS board_30d, net_30 / 1e6 AS account_30d, CASE WHEN pnl_30 > 0 AND net_30 <= 0 THEN 'VETO' ELSE 'PASS' END AS severity FROM {board}",
     "d_c6": "SELECT address, median_u / 1e6 AS median_equity, round((last_u - first_u) / greatest(first_u, 1000000000.0), 6) AS roi, CASE WHEN median_u < $equity_floor * 1e6 THEN 'VETO' ELSE 'PASS' END AS severity FROM {day_stats}",
     "d_b3": "SELECT address, role, CASE WHEN role = 'vault' THEN 'VETO' ELSE 'PASS' END AS severity FROM {registry}",
@@ -58,9 +58,6 @@ QUERIES = {
         SELECT address, SUMI(CASE WHEN margin_u > before_u AND szi = before_szi AND upnl_u < 0 THEN 1 ELSE 0 END) AS topups, CASE WHEN SUMI(CASE WHEN margin_u > before_u AND szi = before_szi AND upnl_u < 0 THEN 1 ELSE 0 END) >= 2 THEN 'VETO'
           WHEN SUMI(CASE WHEN margin_u > before_u AND szi = before_szi AND upnl_u < 0 THEN 1 ELSE 0 END) = 1 THEN 'FLAG' ELSE 'PASS' END AS severity FROM (
           SELECT *, lag(margin_u) OVER w AS before_u, lag(szi) OVER w AS before_szi FROM {states} WINDOW w AS (PARTITION BY address, coin ORDER BY day)) s GROUP BY address""",
-    "severity_policy": """
-        SELECT address, SUMI(CASE WHEN severity = 'VETO' THEN 1 ELSE 0 END) AS vetoes, count(DISTINCT CASE WHEN severity = 'FLAG' THEN substr(code, 1, 3) END) AS families,
-          CASE WHEN bool_or(severity = 'VETO') THEN 'vet_fail' WHEN count(DISTINCT CASE WHEN severity = 'FLAG' THEN substr(code, 1, 3) END) >= $qa_families THEN 'needs_qa' ELSE 'clean' END AS verdict FROM {results} GROUP BY address""",
     "gates": f"SELECT address, {', '.join(GATES)}, {' AND '.join(GATES)} AS passed FROM {{gate_rows}}",
     "funnel": f"SELECT reason, count(*) AS n FROM (SELECT address, CASE {' '.join(f"WHEN NOT {g} THEN '{g.replace('g', 'G')}'" for g in ('g12', *GATES[:-1]))} ELSE 'passed' END AS reason FROM {{gate_rows}}) r GROUP BY reason",
     "sensitivity": """
@@ -68,11 +65,15 @@ QUERIES = {
         FROM {risk} r CROSS JOIN (SELECT 0.9 AS factor UNION ALL SELECT 1.0 UNION ALL SELECT 1.1) f GROUP BY f.factor""",
     "composite_score": "SELECT address, category, round(score, 6) AS score FROM {scored}",
     "ranking": "SELECT address, category, round(score, 6) AS score, tenure, row_number() OVER (PARTITION BY category ORDER BY round(score, 6) DESC, tenure DESC, address) AS place FROM {scored}",
+    # the first stage that holds an address back, or the last one it reached
     "stages": f"""
-        SELECT g.address, CASE WHEN {' AND '.join('g.' + x for x in GATES)} AND p.verdict = 'clean' THEN 'qualified' WHEN NOT g.g5 THEN 'vet_fail' WHEN g.genuine_late THEN 'reformed' WHEN p.verdict = 'vet_fail' THEN 'vet_fail' WHEN p.verdict = 'needs_qa' THEN 'needs_qa' ELSE 'deep_ok' END AS stage
-        FROM {{gate_rows}} g JOIN (SELECT address, CASE WHEN bool_or(severity = 'VETO') THEN 'vet_fail' WHEN count(DISTINCT CASE WHEN severity = 'FLAG' THEN substr(code, 1, 3) END) >= $qa_families THEN 'needs_qa' ELSE 'clean' END AS verdict FROM {{results}} GROUP BY address) p ON g.address = p.address""",
-    "qa_sample": "SELECT address, verdict FROM (SELECT address, max(severity) AS verdict FROM {results} WHERE severity = 'VETO' GROUP BY address) v ORDER BY (address * 7919 + 13) % 10007, address LIMIT 20",
+        SELECT u.address, CASE WHEN b.address IS NULL THEN 'discovered' WHEN s1.verdict <> 'keep' OR s2.verdict <> 'light_ok' THEN 'screened_out' WHEN b.n_fills >= $history_cap THEN 'light_ok' WHEN q.verdict = 'reconcile_fail' THEN 'reconcile_fail'
+            WHEN p.vetoed THEN 'vet_fail' WHEN g.genuine_late THEN 'reformed' WHEN p.families >= $qa_families THEN 'needs_qa' WHEN NOT ({' AND '.join('g.' + x for x in GATES)}) THEN 'deep_ok'
+            WHEN w.breached THEN 'dropped' WHEN w.days >= $forward_days AND w.acts > 0 THEN 'forward_validated' WHEN w.acts > 0 THEN 'watch' ELSE 'qualified' END AS stage
+        FROM {{registry}} u LEFT JOIN {{board}} b ON u.address = b.address LEFT JOIN (<s1>) s1 ON u.address = s1.address LEFT JOIN (<s2>) s2 ON u.address = s2.address LEFT JOIN {{reconciled}} q ON u.address = q.address
+        LEFT JOIN {{verdicts}} p ON u.address = p.address LEFT JOIN {{gate_rows}} g ON u.address = g.address LEFT JOIN {{forward}} w ON u.address = w.address""",
 }
+QUERIES["stages"] = QUERIES["stages"].replace("<s1>", QUERIES["screen_s1"]).replace("<s2>", QUERIES["screen_s2"])
 
 VIEWS = {
     "coin_share": "SELECT address, max(net_u) / nullif(sum(abs(net_u)), 0) AS top_coin FROM (SELECT address, coin, SUMI(net_u) AS net_u FROM {closed_trips} GROUP BY address, coin) c GROUP BY address",
@@ -85,45 +86,47 @@ VIEWS = {
     "leverage": """
         SELECT s.address, s.day, s.exposure_u / e.equity_u AS lev, lead(s.day) OVER (PARTITION BY s.address ORDER BY s.day) - s.day AS span
         FROM (SELECT address, day, SUMI(exposure_u) AS exposure_u FROM {states} GROUP BY address, day) s JOIN {equity} e ON s.address = e.address AND s.day = e.day""",
-    # (address, code, severity) of the detectors that need no marks or links
-    "results": """
-        SELECT address, 'D-M1' AS code, CASE WHEN last_u > first_u AND twr <= 0 THEN 'VETO' WHEN inflow_u > $flow_share * greatest(1, last_u - first_u + outflow_u) THEN 'FLAG' ELSE 'PASS' END AS severity FROM {day_stats} UNION ALL
-        SELECT address, 'D-C1', CASE WHEN pnl_30 > 0 AND net_30 <= 0 THEN 'VETO' ELSE 'PASS' END FROM {board} UNION ALL
-        SELECT address, 'D-R2', CASE WHEN loss_hold / nullif(win_hold, 0) > $disposition THEN 'FLAG' ELSE 'PASS' END FROM {trip_stats} UNION ALL
-        SELECT address, 'D-R3', CASE WHEN avg_win / nullif(avg_loss, 0) < $payoff_min THEN 'FLAG' ELSE 'PASS' END FROM {trip_stats} UNION ALL
-        SELECT address, 'D-B3', CASE WHEN role = 'vault' THEN 'VETO' ELSE 'PASS' END FROM {registry}""",
     "margin_use": "SELECT s.address, PCTL(s.margin_u / e.equity_u, 0.95) AS p95 FROM (SELECT address, day, SUMI(margin_u) AS margin_u FROM {states} GROUP BY address, day) s JOIN {equity} e ON s.address = e.address AND s.day = e.day GROUP BY s.address",
     # the last 180 days and the last six calendar months of each address
     "lately": f"""
-        SELECT b.address, coalesce(h.net_u, 0) AS net_u, coalesce(h.grew, false) AS grew, coalesce(m.active, 0) AS active, m.best_u, m.sum_u, g.longest, b.last - b.last_fill AS quiet
+        SELECT b.address, coalesce(h.net_u, 0) AS net_u, coalesce(h.grew, false) AS grew, coalesce(m.active, 0) AS active, coalesce(m.positive, 0) AS positive, m.best_u, m.sum_u, g.longest, b.last - b.last_fill AS quiet
         FROM {{board}} b LEFT JOIN (SELECT r.address, SUMI(r.net_u) AS net_u, CASE WHEN min(1 + coalesce(r.r, 0)) <= 0 THEN false ELSE sum(ln(greatest(1 + coalesce(r.r, 0), 1e-300))) > 0 END AS grew FROM {{returns}} r CROSS JOIN {{last_day}} d WHERE r.day > d.last - 180 GROUP BY r.address) h ON b.address = h.address
-        LEFT JOIN (SELECT address, count(*) AS active, max(net_u) AS best_u, SUMI(net_u) AS sum_u FROM {{months}} m CROSS JOIN {{last_day}} d WHERE m.month > d.last_month - 6 AND m.month <= d.last_month GROUP BY address) m ON b.address = m.address
+        LEFT JOIN (SELECT address, count(*) AS active, SUMI(CASE WHEN net_u > 0 THEN 1 ELSE 0 END) AS positive, max(net_u) AS best_u, SUMI(net_u) AS sum_u FROM {{months}} m CROSS JOIN {{last_day}} d WHERE m.month > d.last_month - 6 AND m.month <= d.last_month GROUP BY address) m ON b.address = m.address
         LEFT JOIN (SELECT g.address, max(g.gap) AS longest FROM {{day_gaps}} g CROSS JOIN {{last_day}} d WHERE g.day > d.last - 180 GROUP BY g.address) g ON b.address = g.address""",
     "best_trades": """
         SELECT address, SUMI(net_u) AS net_u, SUMI(CASE WHEN k <= 5 AND net_u > 0 THEN net_u ELSE 0 END) AS top5_u FROM (
           SELECT address, net_u, row_number() OVER (PARTITION BY address ORDER BY net_u DESC, coin, trip) AS k FROM {closed_trips}) r GROUP BY address""",
-    "vetoed": "SELECT address, bool_or(severity = 'VETO') AS vetoed FROM {results} GROUP BY address",
+    "reconciled": """
+        SELECT address, CASE WHEN abs(net_u - (last_u - first_u) + (inflow_u - outflow_u)) < 0.02 * top_u THEN 'ok' ELSE 'reconcile_fail' END AS verdict FROM {day_stats}""",
+    # the last days of an address against its own envelope before them: drawdown, leverage, fills a day
+    "forward": """
+        SELECT address, acts, days, coalesce(dd > 1.5 * dd_before, false) OR coalesce(lev > 1.5 * lev_before, false) OR coalesce(pace > 2 * pace_before, false) AS breached FROM (
+          SELECT f.address, SUMI(CASE WHEN f.day > d.last - $forward_days THEN 1 ELSE 0 END) AS acts, max(d.last) - min(f.day) AS days,
+            max(CASE WHEN f.day > d.last - $forward_days THEN x.dd END) AS dd, max(CASE WHEN f.day <= d.last - $forward_days THEN x.dd END) AS dd_before,
+            max(CASE WHEN f.day > d.last - $forward_days THEN l.lev END) AS lev, max(CASE WHEN f.day <= d.last - $forward_days THEN l.lev END) AS lev_before,
+            max(CASE WHEN f.day > d.last - $forward_days THEN f.n END) AS pace, max(CASE WHEN f.day <= d.last - $forward_days THEN f.n END) AS pace_before
+          FROM (SELECT address, day, count(*) AS n FROM {fills} GROUP BY address, day) f CROSS JOIN {last_day} d LEFT JOIN {drawdowns} x ON f.address = x.address AND f.day = x.day LEFT JOIN {leverage} l ON f.address = l.address AND f.day = l.day GROUP BY f.address) w""",
     "gate_rows": """
         SELECT b.address, b.last - b.first_day >= $min_history AND y.active >= $months_required AS g1,
           coalesce(c.genuine / nullif(c.active, 0) >= $coverage_min AND c.first_genuine <= $late_start_months, false) AND NOT v.vetoed AS g1b, coalesce(c.first_genuine > $late_start_months, false) AS genuine_late,
           w.coverage >= $weeks_min AND y.quiet <= $longest_gap AND coalesce(y.longest <= $longest_gap, false) AS g2, coalesce(s.day_share >= $day_close_share AND s.median_hold * 86400 BETWEEN $hold_low_s AND $hold_high_s, false) AS g3,
-          coalesce(s.avg_hold * 86400 >= $avg_hold_s, false) AND f.maker < $maker_max AND b.n_fills / b.active_days < $trades_per_day AS g4, d.twr > 0 AND d.net_u > 0 AND y.grew AND y.net_u > 0 AS g5,
-          c.positive >= $months_positive AND coalesce(y.sum_u > 0 AND y.best_u <= $month_share * y.sum_u, false) AND coalesce(t.net_u > 0 AND t.top5_u < $top5_share * t.net_u, false) AS g6, r.max_dd <= $max_dd AS g7,
-          coalesce(x.mean_lev <= $leverage_max, true) AND coalesce(u.p95 <= $margin_p95, true) AS g8, l.recent <= $liq_recent AND l.lifetime <= $liq_lifetime AS g9, NOT v.vetoed AS g10,
-          coalesce(d.mean_r / nullif(d.sd_r / sqrt(d.n), 0) >= $tstat_min, false) AND coalesce(q.dsr >= $dsr_min, false) AS g11, d.median_u >= $equity_floor * 1e6 AS g12
+          coalesce(s.avg_hold * 86400 >= $avg_hold_s, false) AND f.maker < $maker_max AND b.n_fills / b.active_days < $trades_per_day AND coalesce(o.requests, 0) <= $requests_per_fill * b.n_fills AS g4, d.twr > 0 AND d.net_u > 0 AND y.grew AND y.net_u > 0 AND z.r5 AS g5,
+          y.positive >= 4 AND z.r6 AND coalesce(y.sum_u > 0 AND y.best_u <= $month_share * y.sum_u, false) AND coalesce(t.net_u > 0 AND t.top5_u < $top5_share * t.net_u, false) AS g6, r.max_dd <= $max_dd AND z.r7 AS g7,
+          coalesce(x.mean_lev <= $leverage_max AND u.p95 <= $margin_p95, false) AND z.r8 AS g8, l.recent <= $liq_recent AND l.lifetime <= $liq_lifetime AND z.r9 AS g9, NOT v.vetoed AS g10,
+          coalesce(d.mean_r / nullif(d.sd_r / sqrt(d.n), 0) >= $tstat_min, false) AND coalesce(q.dsr >= $dsr_min, false) AND z.r11 AS g11, d.median_u >= $equity_floor * 1e6 AS g12
         FROM {board} b JOIN {day_stats} d ON b.address = d.address JOIN {risk} r ON b.address = r.address JOIN {coverage} c ON b.address = c.address JOIN {liquidations} l ON b.address = l.address
-        JOIN {lately} y ON b.address = y.address JOIN {vetoed} v ON b.address = v.address LEFT JOIN {best_trades} t ON b.address = t.address LEFT JOIN {margin_use} u ON b.address = u.address LEFT JOIN {dsr_rows} q ON b.address = q.address
+        JOIN {lately} y ON b.address = y.address JOIN {vetoed} v ON b.address = v.address JOIN {rolling_gates} z ON b.address = z.address LEFT JOIN (SELECT address, count(*) AS requests FROM {flows} GROUP BY address) o ON b.address = o.address LEFT JOIN {best_trades} t ON b.address = t.address LEFT JOIN {margin_use} u ON b.address = u.address LEFT JOIN {dsr_rows} q ON b.address = q.address
         LEFT JOIN (SELECT address, sum(lev * span) / nullif(sum(span), 0) AS mean_lev FROM {leverage} WHERE span IS NOT NULL GROUP BY address) x ON b.address = x.address
         LEFT JOIN {trip_stats} s ON b.address = s.address JOIN (SELECT address, avg(CASE WHEN crossed THEN 0.0 ELSE 1.0 END) AS maker FROM {fills} GROUP BY address) f ON b.address = f.address
         JOIN (SELECT k.address, SUMI(CASE WHEN k.days >= $week_days THEN 1 ELSE 0 END) / max(n.weeks) AS coverage FROM {weeks} k JOIN (SELECT address, max(week) - min(week) + 1 AS weeks FROM {weeks} GROUP BY address) n ON k.address = n.address GROUP BY k.address) w ON b.address = w.address""",
     "scored": """
-        SELECT address, category, tenure, 20 * p_tenure + 20 * p_edge + 20 * p_consistency + 15 * p_discipline + 10 * p_efficiency + 8 * p_regularity + 7 * p_alpha AS score FROM (
-          SELECT address, category, tenure, percent_rank() OVER (PARTITION BY category ORDER BY tenure) AS p_tenure, percent_rank() OVER (PARTITION BY category ORDER BY edge) AS p_edge,
+        SELECT address, category, tenure, 20 * p_tenure + 20 * p_edge + 20 * p_consistency + 15 * p_discipline + 10 * p_efficiency + 8 * p_regularity + 7 * p_alpha - penalty AS score FROM (
+          SELECT address, category, tenure, penalty, percent_rank() OVER (PARTITION BY category ORDER BY tenure) AS p_tenure, percent_rank() OVER (PARTITION BY category ORDER BY edge) AS p_edge,
             percent_rank() OVER (PARTITION BY category ORDER BY consistency) AS p_consistency, percent_rank() OVER (PARTITION BY category ORDER BY -dd) AS p_discipline, percent_rank() OVER (PARTITION BY category ORDER BY efficiency) AS p_efficiency,
             percent_rank() OVER (PARTITION BY category ORDER BY regularity) AS p_regularity, percent_rank() OVER (PARTITION BY category ORDER BY alpha) AS p_alpha
           FROM (SELECT g.address, CASE WHEN g.role = 'user' THEN 'MDT' ELSE 'ADT' END AS category, c.genuine AS tenure, round(coalesce(d.mean_r / nullif(d.sd_r, 0), 0), 6) AS edge, round(c.positive, 6) AS consistency, round(r.max_dd, 6) AS dd,
-              round(coalesce(s.won_u / nullif(s.lost_u, 0), 0), 6) AS efficiency, b.active_days AS regularity, round(d.twr, 6) AS alpha
-            FROM {registry} g JOIN {board} b ON g.address = b.address JOIN {coverage} c ON g.address = c.address JOIN {day_stats} d ON g.address = d.address JOIN {risk} r ON g.address = r.address LEFT JOIN {trip_stats} s ON g.address = s.address) m) p""",
+              round(coalesce(s.won_u / nullif(s.lost_u, 0), 0), 6) AS efficiency, b.active_days AS regularity, round(d.twr, 6) AS alpha, v.penalty
+            FROM {registry} g JOIN {verdicts} v ON g.address = v.address JOIN {board} b ON g.address = b.address JOIN {coverage} c ON g.address = c.address JOIN {day_stats} d ON g.address = d.address JOIN {risk} r ON g.address = r.address LEFT JOIN {trip_stats} s ON g.address = s.address) m) p""",
     "metric_rows": """
         SELECT address, 'account_value' AS metric, value_u / 1e6 AS v FROM {board} UNION ALL SELECT address, 'pnl_all', pnl_all / 1e6 FROM {board} UNION ALL SELECT address, 'volume_all', vlm_all / 1e6 FROM {board} UNION ALL
         SELECT address, 'volume_30d', vlm_30 / 1e6 FROM {board} UNION ALL SELECT address, 'win_rate', win_rate FROM {trip_stats} UNION ALL SELECT address, 'trades', CAST(n_trips AS DOUBLE) FROM {trip_stats} UNION ALL

@@ -30,11 +30,7 @@ QUERIES = {
             SELECT address, net_u, row_number() OVER (PARTITION BY address ORDER BY net_u, coin, trip) AS k, count(*) OVER (PARTITION BY address) AS c FROM {closed_trips} WHERE net_u > 0) r
           GROUP BY address) g""",
     "size_cv": "SELECT address, round(size_cv, 6) AS size_cv FROM {trip_stats}",
-    "avg_cost": """
-        SELECT address, coin, trip, day, ok, ln, sk, pk, leg, round(mult * part / nullif(abs(after_q), 0) + 1e-7, 3) AS avg_cost FROM (
-          SELECT *, sum(CASE WHEN opens THEN px_u / 1e6 * abs(q) / mult ELSE 0 END) OVER (PARTITION BY address, coin, trip ORDER BY day, ok, ln, sk, pk, leg ROWS UNBOUNDED PRECEDING) AS part FROM (
-            SELECT *, exp(sum(CASE WHEN opens OR after_q = 0 THEN 0 ELSE ln(abs(after_q) / abs(before_q)) END) OVER (PARTITION BY address, coin, trip ORDER BY day, ok, ln, sk, pk, leg ROWS UNBOUNDED PRECEDING)) AS mult
-            FROM {trip_legs}) m) s WHERE after_q <> 0""",
+    "avg_cost": "SELECT address, coin, trip, day, ok, ln, sk, pk, leg, round(cost + 1e-7, 3) AS avg_cost FROM {costs} WHERE after_q <> 0",
     "d_r1_martingale": """
         SELECT address, count(*) AS n_trips, SUMI(CASE WHEN share > $underwater_share AND multiple >= $size_multiple THEN 1 ELSE 0 END) AS n_martingale,
           CASE WHEN avg(CASE WHEN share > $underwater_share AND multiple >= $size_multiple THEN 1.0 ELSE 0.0 END) > $martingale_trips THEN 'VETO'
@@ -46,7 +42,10 @@ QUERIES = {
                 WINDOW w AS (PARTITION BY address, coin, trip ORDER BY day, ok, ln, sk, pk, leg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) h) u
               GROUP BY address, coin, trip HAVING bool_or(after_q = 0)) t GROUP BY address""",
     "d_r2": """
-        SELECT address, round(loss_hold / nullif(win_hold, 0), 6) AS hold_ratio, CASE WHEN loss_hold / nullif(win_hold, 0) > $disposition THEN 'FLAG' ELSE 'PASS' END AS severity FROM {trip_stats}""",
+        SELECT b.address, round(s.loss_hold / nullif(s.win_hold, 0), 6) AS hold_ratio, coalesce(z.n, 0) AS zombies, z.longest AS zombie_days, z.share AS zombie_share,
+          CASE WHEN coalesce(z.share > $zombie_equity, false) THEN 'VETO' WHEN coalesce(s.loss_hold / nullif(s.win_hold, 0) > $disposition, false) OR z.n > 0 THEN 'FLAG' ELSE 'PASS' END AS severity
+        FROM (SELECT DISTINCT address FROM {fills}) b LEFT JOIN {trip_stats} s ON b.address = s.address
+        LEFT JOIN (SELECT address, count(*) AS n, max(last - first) AS longest, max(share) AS share FROM {zombies} GROUP BY address) z ON b.address = z.address""",
     "d_r3": """
         SELECT s.address, round(avg_win / nullif(avg_loss, 0), 6) AS payoff, round(skew, 6) AS skew, round(max_loss / nullif(median_win, 0), 6) AS loss_to_win, round(cvar / 1e6, 6) AS cvar,
           CASE WHEN -cvar * 0.05 > 0.5 * abs(mean) AND avg_win / nullif(avg_loss, 0) < $payoff_min AND skew < 0 THEN 'VETO' WHEN avg_win / nullif(avg_loss, 0) < $payoff_min AND skew < 0 THEN 'FLAG' ELSE 'PASS' END AS severity
@@ -62,23 +61,34 @@ QUERIES = {
     "d_r7": """
         SELECT address, 30 - least(30, to_end) AS days_in, SUMI(1) AS n_losses, SUMI(-net_u) / 1e6 AS losses FROM (
           SELECT address, net_u, DAYNUM(MONTHDATE(MONTHNUM(DAYDATE(close_day)) + 1)) - 1 - close_day AS to_end FROM {closed_trips} WHERE net_u < 0) t GROUP BY address, 30 - least(30, to_end)""",
+    # losses realised just after a month's end, when a window has rolled
+    "d_r7_edges": """
+        SELECT address, count(*) AS losses, round(avg(CASE WHEN DAYNUM(MONTHDATE(MONTHNUM(DAYDATE(close_day)))) + $edge_days > close_day THEN 1.0 ELSE 0.0 END), 6) AS edge_share,
+          CASE WHEN count(*) >= $edge_losses AND avg(CASE WHEN DAYNUM(MONTHDATE(MONTHNUM(DAYDATE(close_day)))) + $edge_days > close_day THEN 1.0 ELSE 0.0 END) > $edge_share THEN 'FLAG' ELSE 'PASS' END AS severity
+        FROM {closed_trips} WHERE net_u < 0 GROUP BY address""",
     "d_c2": """
         SELECT address, round(top1_u / nullif(net_u, 0), 6) AS top1_share, CASE WHEN net_u <= 0 OR top5_u > $top5_share * net_u THEN 'VETO' ELSE 'PASS' END AS severity FROM (
           SELECT address, SUMI(net_u) AS net_u, SUMI(CASE WHEN k = 1 AND net_u > 0 THEN net_u ELSE 0 END) AS top1_u, SUMI(CASE WHEN k <= 5 AND net_u > 0 THEN net_u ELSE 0 END) AS top5_u
           FROM (SELECT address, net_u, row_number() OVER (PARTITION BY address ORDER BY net_u DESC, coin, trip) AS k FROM {closed_trips}) r GROUP BY address) t""",
+    # a coin's volume up to each day, so that a trip's whole volume is one difference
     "d_c3_impact": """
         SELECT address, round(impact_u / nullif(won_u, 0), 6) AS impact_share, CASE WHEN impact_u > $impact_pnl * won_u THEN 'VETO' ELSE 'PASS' END AS severity FROM (
           SELECT address, SUMI(CASE WHEN net_u > 0 THEN net_u ELSE 0 END) AS won_u, SUMI(CASE WHEN net_u > 0 AND own_u > $impact_share * volume_u THEN net_u ELSE 0 END) AS impact_u FROM (
-            SELECT t.address, t.coin, t.trip, max(t.net_u) AS net_u, max(t.traded_u) AS own_u, SUMI(m.volume_u) AS volume_u
-            FROM {closed_trips} t JOIN {marks} m ON t.coin = m.coin AND m.day IN (t.open_day, t.close_day) GROUP BY t.address, t.coin, t.trip) v GROUP BY address) s""",
+            SELECT t.address, t.net_u, t.traded_u AS own_u, b.upto_u - a.before_u AS volume_u FROM {closed_trips} t JOIN {volumes} a ON t.coin = a.coin AND t.open_day = a.day JOIN {volumes} b ON t.coin = b.coin AND t.close_day = b.day) v GROUP BY address) s""",
     "d_c4": "SELECT address, SUMI(CASE WHEN flag = 'A' THEN pnl_u ELSE 0 END) / 1e6 AS adl_pnl, SUMI(CASE WHEN flag = 'A' THEN 0 ELSE pnl_u END) / 1e6 AS own_pnl, 'INFO' AS severity FROM {fills} GROUP BY address",
     "d_c5": """
         SELECT s.address, round(abs(f.funding_u) / nullif(abs(s.net_u), 0), 6) AS funding_share, CASE WHEN abs(f.funding_u) > $funding_share * abs(s.net_u) AND s.median_hold >= 1 THEN 'FLAG' ELSE 'PASS' END AS severity
         FROM {trip_stats} s JOIN (SELECT address, SUMI(CASE WHEN kind = 'internalTransfer' THEN DIV(usdc_u, 100) ELSE 0 END) AS funding_u FROM {flows} GROUP BY address) f ON s.address = f.address""",
+    # the best three windows of so many days that do not touch: each layer adds a window to the best of the layer before that ends early enough
     "d_c8": """
-        SELECT address, round(SUMI(CASE WHEN k <= 3 THEN net_u ELSE 0 END) / nullif(SUMI(net_u), 0), 6) AS best3_share, CASE WHEN SUMI(CASE WHEN k <= 3 THEN net_u ELSE 0 END) > 0.8 * SUMI(net_u) THEN 'FLAG' ELSE 'PASS' END AS severity
-        FROM (SELECT address, week, net_u, row_number() OVER (PARTITION BY address ORDER BY net_u DESC, week) AS k FROM (
-          SELECT address, DIV(close_day + 3, 7) AS week, SUMI(net_u) AS net_u FROM {closed_trips} GROUP BY address, DIV(close_day + 3, 7)) w) r GROUP BY address""",
+        SELECT address, round(greatest(best, 0) / 1e6, 6) AS best3, round(total_u / 1e6, 6) AS total, CASE WHEN total_u > 0 AND best > $event_share * total_u THEN 'FLAG' ELSE 'PASS' END AS severity FROM (
+          SELECT address, max(v3) AS best, max(total_u) AS total_u FROM (
+            SELECT *, v1 + greatest(coalesce(max(v2) OVER before, 0), 0) AS v3 FROM (
+              SELECT *, v1 + greatest(coalesce(max(v1) OVER before, 0), 0) AS v2 FROM (
+                SELECT address, day, CAST(sum(net_u) OVER (PARTITION BY address ORDER BY day RANGE BETWEEN $event_days - 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS v1, CAST(sum(net_u) OVER (PARTITION BY address) AS BIGINT) AS total_u
+                FROM (SELECT address, close_day AS day, SUMI(net_u) AS net_u FROM {closed_trips} GROUP BY address, close_day) d) a
+              WINDOW before AS (PARTITION BY address ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND $event_days PRECEDING)) b
+            WINDOW before AS (PARTITION BY address ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND $event_days PRECEDING)) c GROUP BY address) s""",
     "maker_share": "SELECT address, count(*) AS n_fills, round(avg(CASE WHEN crossed THEN 0.0 ELSE 1.0 END), 6) AS maker_share FROM {fills} GROUP BY address",
     "d_b1": """
         SELECT f.address, round(f.maker, 6) AS maker_share, round(f.per_day, 6) AS trades_per_day, CASE WHEN f.maker > $maker_max OR f.per_day > $trades_per_day OR s.avg_hold * 86400 < $avg_hold_s THEN 'VETO' ELSE 'PASS' END AS severity
@@ -103,3 +113,7 @@ QUERIES = {
         SELECT t.address, t.coin, t.trip, count(*) AS n_payments, SUMI(f.usdc_u) / 1e6 AS funding
         FROM {closed_trips} t JOIN {flows} f ON t.address = f.address AND f.kind = 'internalTransfer' AND f.day BETWEEN t.open_day AND t.close_day GROUP BY t.address, t.coin, t.trip""",
 }
+
+VIEWS = {
+    "volumes": "SELECT coin, day, upto_u, upto_u - volume_u AS before_u FROM (SELECT coin, day, volume_u, CAST(sum(volume_u) OVER (PARTITION BY coin ORDER BY day) AS BIGINT) AS upto_u FROM {marks}) v",
+}

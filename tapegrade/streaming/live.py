@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapegrade.operators.graph import saved
+from tapegrade.operators.sweep import distinct_recent
 
 #: How late a record may come; later ones are left to the batch repair job.
 LATENESS = "10 minutes"
@@ -38,18 +39,17 @@ def daily(stream: DataFrame) -> DataFrame:
     return stream.withWatermark("ts", LATENESS).groupBy(F.window("ts", "1 day"), "coin").agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "coin", "n")
 
 
-def followers(stream: DataFrame) -> DataFrame:
-    """Actions of other addresses on one coin and side within a quarter of an hour after each action: an interval self-join."""
-    lead = stream.withWatermark("ts", LATENESS).select(F.col("ts").alias("start"), "coin", "side", "address")
-    then = stream.withWatermark("ts", LATENESS).select("ts", F.col("coin").alias("coin_b"), F.col("side").alias("side_b"), F.col("address").alias("other"))
-    near = F.expr("coin = coin_b AND side = side_b AND address <> other AND ts >= start AND ts <= start + INTERVAL 15 MINUTES")
-    return lead.join(then, near).select("start", "coin", "side", "address", "other")
+def flocks(rows: DataFrame, least: int = 2) -> DataFrame:
+    """Moments from which several addresses act on one coin and side within a quarter of an hour, by a sweep over recorded actions: no action meets another."""
+    back = rows.select("coin", "side", "address", (-F.unix_micros("ts")).alias("back"))
+    seen = distinct_recent(back, ["coin", "side"], "back", "address", 900_000_000)
+    return seen.filter(F.col("addresses") >= least).select(F.timestamp_micros(-F.col("back")).alias("start"), "coin", "side", "addresses")
 
 
-def flocks(met: DataFrame, least: int = 2) -> DataFrame:
-    """Coins and sides that several addresses act on within a quarter of an hour from an action on, counted from drained ``followers``."""
-    seen = met.select("start", "coin", "side", F.explode(F.array("address", "other")).alias("address")).distinct()
-    return seen.groupBy("start", "coin", "side").agg(F.count("*").alias("addresses")).filter(F.col("addresses") >= least)
+def live_flocks(stream: DataFrame, least: int = 2) -> DataFrame:
+    """While the stream runs: coins and sides by sliding windows of a quarter of an hour, a minute apart, with about so many addresses."""
+    seen = stream.withWatermark("ts", LATENESS).groupBy(F.window("ts", "15 minutes", "1 minute"), "coin", "side").agg(F.approx_count_distinct("address").alias("addresses"))
+    return seen.filter(F.col("addresses") >= least).select(F.col("window.start").alias("start"), "coin", "side", "addresses")
 
 
 def position_events(stream: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def stream_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "stream_recorded": _query(recorded),
     "stream_daily": lambda spark, sf_dir: drained_windows(daily(actions(spark, sf_dir)), ["day", "coin"]),
-    "stream_flocks": lambda spark, sf_dir: flocks(drained(followers(actions(spark, sf_dir)))),
+    "stream_flocks": lambda spark, sf_dir: flocks(drained(recorded(actions(spark, sf_dir)))),
     "stream_positions": _query(position_events),
     "stream_triggers": stream_triggers,
 }

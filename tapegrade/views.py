@@ -70,6 +70,30 @@ VIEWS = {
           SUMI(CASE WHEN opens THEN 0 ELSE px_u * abs(q) END) AS out_u, SUMI(CASE WHEN opens THEN 0 ELSE abs(q) END) AS out_q,
           SUMI(pnl_u) AS pnl_u, SUMI(fee_u) AS fee_u, SUMI(px_u * abs(q)) AS traded_u, bool_or(after_q = 0) AS closed, max(CASE WHEN before_q = 0 THEN abs(q) END) AS first_clip
         FROM {trip_legs} GROUP BY address, coin, trip""",
+    # average cost of what is open after each leg
+    "costs": """
+        SELECT address, coin, trip, day, ok, ln, sk, pk, leg, after_q, CASE WHEN after_q <> 0 THEN mult * part / abs(after_q) END AS cost FROM (
+          SELECT *, sum(CASE WHEN opens THEN px_u / 1e6 * abs(q) / mult ELSE 0 END) OVER (PARTITION BY address, coin, trip ORDER BY day, ok, ln, sk, pk, leg ROWS UNBOUNDED PRECEDING) AS part FROM (
+            SELECT *, exp(sum(CASE WHEN opens OR after_q = 0 THEN 0 ELSE ln(abs(after_q) / abs(before_q)) END) OVER (PARTITION BY address, coin, trip ORDER BY day, ok, ln, sk, pk, leg ROWS UNBOUNDED PRECEDING)) AS mult
+            FROM {trip_legs}) m) s""",
+    # what is open from the end of a day with fills until the next such day, or the end of the data
+    "open_books": """
+        SELECT s.address, s.coin, s.trip, s.day, s.q, round(s.cost, 6) AS cost, coalesce(s.until, d.last + 1) AS until FROM (
+          SELECT address, coin, trip, day, after_q AS q, cost, lead(day) OVER (PARTITION BY address, coin ORDER BY day) AS until FROM (
+            SELECT *, row_number() OVER (PARTITION BY address, coin, day ORDER BY ok DESC, ln DESC, sk DESC, pk DESC, leg DESC) AS back FROM {costs}) c WHERE back = 1) s CROSS JOIN {last_day} d WHERE s.q <> 0""",
+    # a coin's last mark on every day, numbered
+    "daily_marks": """
+        SELECT coin, SEQ(day, until - 1) AS day, vwap_u FROM (SELECT m.coin, m.day, m.vwap_u, coalesce(lead(m.day) OVER (PARTITION BY m.coin ORDER BY m.day), d.last + 1) AS until FROM {marks} m CROSS JOIN {last_day} d) x""",
+    # equity from each active day until the next one
+    "equity_spans": "SELECT address, day, equity_u, coalesce(lead(day) OVER (PARTITION BY address ORDER BY day), 10000000) AS until FROM {equity}",
+    # days on which an open position's loss is at least so much of the equity: every open position is marked every day
+    "underwater_days": """
+        SELECT b.address, b.coin, b.trip, m.day, abs(b.q) * m.vwap_u / e.equity_u AS share FROM {open_books} b JOIN {daily_marks} m ON b.coin = m.coin AND m.day >= b.day AND m.day < b.until
+        JOIN {equity_spans} e ON b.address = e.address AND m.day >= e.day AND m.day < e.until WHERE e.equity_u > 0 AND b.q * (m.vwap_u - b.cost * 1e6) <= $zombie_upnl * e.equity_u""",
+    # runs of such days that last
+    "zombies": """
+        SELECT address, coin, trip, min(day) AS first, max(day) AS last, max(round(share, 6)) AS share FROM (
+          SELECT *, day - row_number() OVER (PARTITION BY address, coin, trip ORDER BY day) AS island FROM {underwater_days}) u GROUP BY address, coin, trip, island HAVING max(day) - min(day) > $zombie_days""",
     "closed_trips": "SELECT *, pnl_u - fee_u AS net_u, close_day - open_day AS hold FROM {trips} WHERE closed",
     "marks": """
         SELECT coin, day, max(px_u) AS high_u, min(px_u) AS low_u, DIV(SUMI(notional_u), SUMI(sz)) AS vwap_u, SUMI(notional_u) AS volume_u FROM {fills} GROUP BY coin, day""",
