@@ -75,9 +75,19 @@ def triggers(events: DataFrame, envelope: DataFrame) -> DataFrame:
     return events.join(envelope, "address").filter(F.abs("after_units") > F.col("most_units")).select("id", "address", "coin", "after_units", "most_units", F.lit("size").alias("trigger"))
 
 
-def drained(stream: DataFrame) -> DataFrame:
-    """All that is there now, through the file sink (exactly once, by its checkpoint)."""
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def drained(stream: DataFrame, keyed: bool = False) -> DataFrame:
+    """All that is there now, through the file sink (exactly once, by its checkpoint); streams with ``keyed`` state need the store that has timers."""
     spark = stream.sparkSession
+    if keyed:
+        before = spark.conf.get(STORE[0], None)
+        spark.conf.set(*STORE)
+        try:
+            return drained(stream)
+        finally:
+            spark.conf.set(STORE[0], before) if before else spark.conf.unset(STORE[0])
     if spark.sparkContext.getCheckpointDir() is None:
         saved(spark.range(0))  # sets the folder
     folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
