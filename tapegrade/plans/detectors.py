@@ -132,7 +132,7 @@ def cluster_of(t: Frames) -> DataFrame:
 
 
 #: Views that several detectors read; written once, in this order.
-KEPT = ("cluster_of", "fills", "flows", "registry", "marks", "trip_legs", "closed_trips", "returns", "drawdowns", "states", "leverage", "open_books", "rescues", "day_stats", "trip_stats", "board")
+KEPT = ("cluster_of", ("fills", "flows", "registry", "marks"), ("trip_legs", "returns", "states", "board"), ("closed_trips", "drawdowns", "leverage", "open_books", "day_stats"), ("rescues", "trip_stats"))
 #: Of these, the ones whose rows of an address are the same for members alone.
 OF_MEMBERS = ("fills", "flows", "trip_legs", "closed_trips", "returns", "drawdowns", "states", "leverage", "open_books", "rescues", "day_stats", "trip_stats", "board")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -90,12 +91,21 @@ class Frames:
                 self.made[name] = self.sql(self.views[name]) if name in self.views else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.made[name]
 
-    def keep(self, *names: str) -> Frames:
-        """Writes views to the shared folder, in order, so that whatever is asked for afterwards reads them instead of making them again."""
+    def keep(self, *names: str | tuple[str, ...]) -> Frames:
+        """Writes views to the shared folder, in order, so that whatever is asked for afterwards reads them instead of making them again; those of a tuple at once."""
         folder = f"{shared_folder(self.spark)}/frames-{uuid.uuid4().hex}"
-        for name in names:
-            self[name].write.parquet(f"{folder}/{name}")
-            self.made[name] = self.spark.read.parquet(f"{folder}/{name}")
+
+        def write(name: str) -> None:
+            self.made[name].write.parquet(f"{folder}/{name}")
+
+        for level in names:
+            level = (level,) if isinstance(level, str) else level
+            for name in level:
+                self[name]  # noqa: B018
+            with ThreadPoolExecutor(len(level)) as pool:
+                list(pool.map(write, level))
+            for name in level:
+                self.made[name] = self.spark.read.parquet(f"{folder}/{name}")
         return self
 
     def written(self, text: str, name: str) -> DataFrame:

@@ -166,9 +166,8 @@ VIEWS = {
     # distance: how far marks may move against the book before the maintenance margin, half of the smallest initial one, is reached
     "rescues": """
         SELECT s.address, s.id, s.day, s.kind, s.usdc_u, s.upnl_u / nullif(own_u, 0) AS upnl_share, s.own_u / nullif(s.exposure_u, 0) - 0.5 / $max_leverage AS distance FROM {inflow_states} s
-        LEFT JOIN (SELECT DISTINCT address, day FROM {legs} WHERE abs(after_q) < abs(before_q)) c0 ON s.address = c0.address AND s.day = c0.day LEFT JOIN (SELECT DISTINCT address, day + 1 AS day FROM {legs} WHERE abs(after_q) < abs(before_q)) c1 ON s.address = c1.address AND s.day = c1.day
-        LEFT JOIN (SELECT DISTINCT address, day - 1 AS day FROM {legs} WHERE abs(after_q) < abs(before_q)) c2 ON s.address = c2.address AND s.day = c2.day
-        WHERE c0.address IS NULL AND c1.address IS NULL AND c2.address IS NULL AND s.usdc_u >= $rescue_inflow * s.own_u AND s.exposure_u > 0 AND (s.upnl_u <= $rescue_upnl * s.own_u OR s.own_u < ($rescue_distance + 0.5 / $max_leverage) * s.exposure_u)""",
+        LEFT JOIN (SELECT DISTINCT address, day FROM (SELECT address, SEQ(day - 1, day + 1) AS day FROM {trip_legs} WHERE abs(after_q) < abs(before_q)) n) c ON s.address = c.address AND s.day = c.day
+        WHERE c.address IS NULL AND s.usdc_u >= $rescue_inflow * s.own_u AND s.exposure_u > 0 AND (s.upnl_u <= $rescue_upnl * s.own_u OR s.own_u < ($rescue_distance + 0.5 / $max_leverage) * s.exposure_u)""",
     "cluster_of": """
         SELECT node AS address, min(other) AS root FROM (WITH RECURSIVE near AS (SELECT src AS a, dst AS b FROM {link_edges} UNION SELECT dst, src FROM {link_edges}), reach(node, other) AS (SELECT a, a FROM near UNION SELECT r.node, b.b FROM reach r JOIN near b ON r.other = b.a)
           SELECT node, other FROM reach) x GROUP BY node""",

@@ -108,8 +108,8 @@ VIEWS = {
           SUMI(CASE WHEN f.day > d.last - 7 THEN pnl_u ELSE 0 END) AS pnl_7, SUMI(CASE WHEN f.day > d.last - 7 THEN notional_u ELSE 0 END) AS vlm_7,
           SUMI(CASE WHEN f.day > d.last - 1 THEN pnl_u ELSE 0 END) AS pnl_1,
           SUMI(pnl_u - fee_u) AS net_all, SUMI(CASE WHEN f.day > d.last - 30 THEN pnl_u - fee_u ELSE 0 END) AS net_30,
-          count(*) AS n_fills, count(DISTINCT f.day) AS active_days, min(f.day) AS first_day, max(f.day) AS last_fill, max(d.last) AS last
-        FROM {fills} f JOIN {registry} r ON f.address = r.address CROSS JOIN {last_day} d GROUP BY f.address""",
+          SUMI(f.n) AS n_fills, count(*) AS active_days, min(f.day) AS first_day, max(f.day) AS last_fill, max(d.last) AS last
+        FROM (SELECT address, day, SUMI(pnl_u) AS pnl_u, SUMI(fee_u) AS fee_u, SUMI(notional_u) AS notional_u, count(*) AS n FROM {fills} GROUP BY address, day) f JOIN {registry} r ON f.address = r.address CROSS JOIN {last_day} d GROUP BY f.address""",
     "trip_stats": """
         SELECT address, count(*) AS n_trips, SUMI(net_u) AS net_u, avg(CASE WHEN net_u > 0 THEN 1.0 ELSE 0.0 END) AS win_rate,
           SUMI(CASE WHEN net_u > 0 THEN net_u ELSE 0 END) AS won_u, SUMI(CASE WHEN net_u < 0 THEN -net_u ELSE 0 END) AS lost_u,
