@@ -109,11 +109,28 @@ QUERIES = {
         SELECT t.address, t.coin, t.trip, round(min(CASE WHEN t.side = 'long' THEN m.low_u - DIV(t.in_u, t.in_q) ELSE DIV(t.in_u, t.in_q) - m.high_u END) / 1e6, 6) AS mae,
           round(max(CASE WHEN t.side = 'long' THEN m.high_u - DIV(t.in_u, t.in_q) ELSE DIV(t.in_u, t.in_q) - m.low_u END) / 1e6, 6) AS mfe
         FROM {closed_trips} t JOIN {marks} m ON t.coin = m.coin AND m.day BETWEEN t.open_day AND t.close_day GROUP BY t.address, t.coin, t.trip""",
+    # whether losses are cut: the worst against the median one, and losers closed before twice the median adverse move of losers
+    "loss_truncation": """
+        SELECT address, losers, round(worst_u / nullif(median_u, 0), 6) AS worst_to_median, round(early, 6) AS cut_early FROM (
+          SELECT m.address, count(*) AS losers, max(m.loss_u) AS worst_u, median(m.loss_u) AS median_u, avg(CASE WHEN m.mae_u <= 2 * d.mae_u THEN 1.0 ELSE 0.0 END) AS early FROM {loser_moves} m
+          JOIN (SELECT address, median(mae_u) AS mae_u FROM {loser_moves} GROUP BY address) d ON m.address = d.address GROUP BY m.address) t""",
+    "tail_ratio": """
+        SELECT address, n, round(high / nullif(abs(low), 0), 6) AS tail_ratio FROM (SELECT address, count(*) AS n, PCTL(net_u / 1e6, 0.95) AS high, PCTL(net_u / 1e6, 0.05) AS low FROM {closed_trips} GROUP BY address) t""",
+    # regular timing has few sizes of pauses: entropy over their powers of two
+    "timing_entropy": """
+        SELECT address, SUMI(n) AS pauses, round(-sum(n / total * ln(n / total)), 6) AS entropy FROM (
+          SELECT address, size, n, CAST(sum(n) OVER (PARTITION BY address) AS BIGINT) AS total FROM (
+            SELECT address, floor(round(ln(greatest(gap, 1)) / ln(2), 9)) AS size, count(*) AS n FROM (SELECT address, ms - lag(ms) OVER (PARTITION BY address ORDER BY ms, id) AS gap FROM {actions}) g WHERE gap IS NOT NULL GROUP BY address, floor(round(ln(greatest(gap, 1)) / ln(2), 9))) c) e GROUP BY address""",
+    "recovery_factor": "SELECT s.address, round(s.net_u / nullif(r.max_dd * d.top_u, 0), 6) AS recovery_factor FROM {trip_stats} s JOIN {risk} r ON s.address = r.address JOIN {day_stats} d ON s.address = d.address",
     "funding_alloc": """
         SELECT t.address, t.coin, t.trip, count(*) AS n_payments, SUMI(f.usdc_u) / 1e6 AS funding
         FROM {closed_trips} t JOIN {flows} f ON t.address = f.address AND f.kind = 'internalTransfer' AND f.day BETWEEN t.open_day AND t.close_day GROUP BY t.address, t.coin, t.trip""",
 }
 
 VIEWS = {
+    # losing trips, and how far their coin went against them
+    "loser_moves": """
+        SELECT t.address, t.coin, t.trip, max(-t.net_u) AS loss_u, max(greatest(0, CASE WHEN t.side = 'long' THEN DIV(t.in_u, t.in_q) - m.low_u ELSE m.high_u - DIV(t.in_u, t.in_q) END)) AS mae_u
+        FROM {closed_trips} t JOIN {marks} m ON t.coin = m.coin AND m.day BETWEEN t.open_day AND t.close_day WHERE t.net_u < 0 GROUP BY t.address, t.coin, t.trip""",
     "volumes": "SELECT coin, day, upto_u, upto_u - volume_u AS before_u FROM (SELECT coin, day, volume_u, CAST(sum(volume_u) OVER (PARTITION BY coin ORDER BY day) AS BIGINT) AS upto_u FROM {marks}) v",
 }

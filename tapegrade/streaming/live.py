@@ -34,6 +34,11 @@ def recorded(stream: DataFrame) -> DataFrame:
     return stream.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(["id"])
 
 
+def live_only(frames: DataFrame, flag: str = "isSnapshot") -> DataFrame:
+    """Frames without the snapshots that open a subscription; a frame that says nothing is live."""
+    return frames.filter(~F.coalesce(F.col(flag), F.lit(False)))
+
+
 def daily(stream: DataFrame) -> DataFrame:
     """Actions by coin and day; in append mode a day is emitted once the watermark has passed it, in update mode at each change."""
     return stream.withWatermark("ts", LATENESS).groupBy(F.window("ts", "1 day"), "coin").agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "coin", "n")

@@ -95,3 +95,8 @@ def test_live_flocks_count_windows(spark, tmp_path):
     stream = spark.readStream.schema(spark.createDataFrame([], ROWS).schema).parquet(str(tmp_path / "f"))
     got = live.drained(live.live_flocks(stream)).collect()
     assert got and all(r.addresses in (2, 3) for r in got)
+
+
+def test_a_snapshot_frame_raises_nothing(spark):
+    frames = spark.createDataFrame([(1, True), (2, False), (3, None)], "id int, isSnapshot boolean")
+    assert [r.id for r in live.live_only(frames).orderBy("id").collect()] == [2, 3]
