@@ -14,6 +14,8 @@ class Config:
     months_required: int = 6
     coverage_min: float = 0.90
     late_start_months: int = 3
+    missing_days: int = 2
+    archive_months: int = 48
     weeks_min: float = 0.60
     week_days: int = 3
     longest_gap: int = 21

@@ -39,6 +39,11 @@ QUERIES = {
         FROM (SELECT address, SEQ(first_week, last_week) AS week FROM (SELECT address, min(week) AS first_week, max(week) AS last_week FROM {weeks} GROUP BY address) b) w
         LEFT JOIN {weeks} k ON w.address = k.address AND w.week = k.week GROUP BY w.address""",
     "month_spine": "SELECT address, month, days, net_u / 1e6 AS net, grade FROM {graded}",
+    # months whose tape lacks days are unknown, not inactive; months before the archive are graded from coarser data
+    "month_grades": "SELECT address, month, grade, coarse FROM {known_grades}",
+    "known_coverage": """
+        SELECT address, SUMI(CASE WHEN grade <> 'inactive' THEN 1 ELSE 0 END) AS active, SUMI(CASE WHEN grade = 'unknown' THEN 1 ELSE 0 END) AS unknown, SUMI(CASE WHEN grade = 'genuine' AND coarse THEN 1 ELSE 0 END) AS coarse_genuine,
+          round(SUMI(CASE WHEN grade = 'genuine' THEN 1 ELSE 0 END) / nullif(CAST(SUMI(CASE WHEN grade IN ('genuine', 'violation') THEN 1 ELSE 0 END) AS DOUBLE), 0), 6) AS coverage FROM {known_grades} GROUP BY address""",
     "genuine_coverage": "SELECT address, months, active, genuine, first_genuine, round(genuine / nullif(active, 0), 6) AS coverage FROM {coverage}",
     "genuine_runs": """
         SELECT address, min(month) AS first_month, max(month) AS last_month, count(*) AS months FROM (
@@ -75,6 +80,9 @@ QUERIES = {
 }
 
 VIEWS = {
+    "known_grades": """
+        SELECT g.address, g.month, CASE WHEN coalesce(t.days, 0) < DAYNUM(MONTHDATE(g.month + 1)) - DAYNUM(MONTHDATE(g.month)) - $missing_days THEN 'unknown' ELSE g.grade END AS grade, g.month <= d.last_month - $archive_months AS coarse
+        FROM {graded} g LEFT JOIN (SELECT month, count(DISTINCT day) AS days FROM {fills} GROUP BY month) t ON g.month = t.month CROSS JOIN {last_day} d""",
     "sides": """
         SELECT buyer AS address, day, coin, notional_u, 1 AS buy, seller AS cp, CASE WHEN side = 'B' THEN 0 ELSE 1 END AS maker FROM {tape} UNION ALL
         SELECT seller, day, coin, notional_u, 0, buyer, CASE WHEN side = 'B' THEN 1 ELSE 0 END FROM {tape}""",

@@ -273,3 +273,14 @@ def test_the_bootstrap_is_near_the_exact_value(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, statistics.bootstrap_p(frames(spark, returns=rows), 1000, rows_each=7).collect()))
     weights = statistics.resample_weights(np.arange(200), 0, 500)
     assert abs(weights.mean() - 1) < 0.02 and abs(weights.var() - 1) < 0.03
+
+
+def test_months_without_a_whole_tape_are_unknown(spark):
+    """January has all days of the tape, February lacks ten, March has no trade of address 1."""
+    days = [d for d in range(90) if not 35 <= d < 45]
+    tape = [(9, "X", d, 1, 100, 0) for d in days] + [(1, "X", d, 1, 100, 5) for d in (3, 50)] + [(1, "X", 95, 1, 100, 5), *[(9, "X", d, 1, 100, 0) for d in range(90, 120)]]
+    t = frames(spark, fills=fills(spark, tape).withColumn("month", F.expr("year(date_add(DATE '1970-01-01', day)) * 12 + month(date_add(DATE '1970-01-01', day)) - 1")), flows=flows(spark, []), registry=registry(spark, {1: 0, 9: 0}))
+    first = 1970 * 12
+    got = {r.month - first: (r.grade, r.coarse) for r in t.sql(catalog.TEXTS["month_grades"]).filter("address = 1").collect()}
+    assert got == {0: ("genuine", False), 1: ("unknown", False), 2: ("inactive", False), 3: ("genuine", False)}
+    assert t.sql(catalog.TEXTS["known_coverage"]).filter("address = 1").select("active", "unknown", "coverage").first() == (3, 1, 1.0)
