@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,13 +18,18 @@ SCHEMAS = {
     "node_trades": f"coin string, side string, time long, px {MONEY}, sz {MONEY}, hash string, tid long, side_info array<struct<user: string, start_pos: {MONEY}, oid: long, twap_id: long>>",
     "node_fills": f"user string, fill {FILL_STRUCT}",
     "node_fills_by_block": f"block_number long, block_time long, events array<struct<user: string, fill: {FILL_STRUCT}>>",
-    "leaderboard": f"ethAddress string, accountValue {MONEY}, windowPerformances array<struct<span: string, pnl: {MONEY}, roi: double, vlm: {MONEY}>>",
-    "ledger": f"user string, time long, hash string, delta struct<type: string, usdc: {MONEY}, amount: {MONEY}, token: string, user: string, destination: string, toPerp: boolean, fee: {MONEY}>",
+    "leaderboard": f"ethAddress string, accountValue {MONEY}, windowPerformances array<struct<span: string, pnl: {MONEY}, roi: {MONEY}, vlm: {MONEY}>>",
+    "ledger": f"user string, time long, hash string, delta struct<type: string, usdc: {MONEY}, amount: {MONEY}, usdcValue: {MONEY}, netWithdrawnUsd: {MONEY}, token: string, user: string, destination: string, vault: string, operation: string, toPerp: boolean, fee: {MONEY}, liquidatedNtlPos: {MONEY}, accountValue: {MONEY}, leverageType: string, liquidatedPositions: array<struct<coin: string, szi: {MONEY}>>>",
     "candles": f"coin string, interval string, t long, o {MONEY}, h {MONEY}, l {MONEY}, c {MONEY}, v {MONEY}",
 }
 
-#: How a ledger entry moves perp money: 1 in, -1 out, 0 not at all; income is never trading result.
-LEDGER_SIGN = {"deposit": 1, "withdraw": -1, "internalTransfer": 0, "subAccountTransfer": 0, "send": 0, "spotTransfer": 0, "accountClassTransfer": 0, "vaultWithdraw": 1, "vaultDeposit": -1}
+#: How a ledger entry moves perp money: 1 in, -1 out, 0 not at all or by its fields; income is never trading result.
+LEDGER_SIGN = {"deposit": 1, "withdraw": -1, "internalTransfer": 0, "subAccountTransfer": 0, "send": 0, "spotTransfer": 0, "accountClassTransfer": 0, "vaultWithdraw": 1, "vaultDeposit": -1, "vaultCreate": -1, "borrowLend": 0}
+#: Entries between two addresses: in for the destination, out for the sender, nothing within one address.
+LEDGER_BETWEEN = ("internalTransfer", "subAccountTransfer", "send", "spotTransfer")
+LEDGER_BORROW = {"borrow": 1, "withdraw": 1, "repay": -1, "supply": -1}
+#: Entries that move no money of the account's: events, costs of deployment, settings.
+LEDGER_EVENTS = ("liquidation", "spotGenesis", "deployGasAuction", "activateDexAbstraction")
 LEDGER_INCOME = ("rewardsClaim", "vaultLeaderCommission", "vaultDistribution", "cStakingTransfer")
 
 
@@ -31,7 +37,7 @@ def schema(name: str) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS[name])
 
 
-def read(spark: SparkSession, path: str, name: str) -> DataFrame:
+def read(spark: SparkSession, path: str | list[str], name: str) -> DataFrame:
     """Lines of a landed payload; a line that does not parse is kept in ``_corrupt_record``."""
     return spark.read.schema(schema(name).add("_corrupt_record", "string")).option("mode", "PERMISSIVE").json(path)
 
@@ -48,8 +54,11 @@ def address(column: Column) -> Column:
     return F.lower(column)
 
 
-def fills(spark: SparkSession, node_trades: str | None = None, node_fills: str | None = None, by_block: str | None = None) -> DataFrame:
-    """One fill table of the three archive shapes; columns that a shape lacks are null. One row a (address, tid)."""
+def fills(spark: SparkSession, node_trades: str | list[str] | None = None, node_fills: str | list[str] | None = None, by_block: str | list[str] | None = None, paged: str | list[str] | None = None) -> DataFrame:
+    """One fill table of the three archive shapes and of pages asked for by wallet (the endpoint's or an indexer's); columns that a shape lacks are null.
+
+    One row a (address, tid): of several the one from the page, else the block, the fill, the trade file, in this order.
+    """
     parts = []
     if node_trades:
         t = read(spark, node_trades, "node_trades").select("*", F.posexplode("side_info").alias("k", "s"))
@@ -59,27 +68,78 @@ def fills(spark: SparkSession, node_trades: str | None = None, node_fills: str |
         parts.append(read(spark, node_fills, "node_fills").select(address(F.col("user")).alias("address"), "fill.*"))
     if by_block:
         parts.append(read(spark, by_block, "node_fills_by_block").select(F.explode("events").alias("e")).select(address(F.col("e.user")).alias("address"), "e.fill.*"))
+    if paged:
+        parts.append(read(spark, paged, "user_fills").withColumn("address", address(F.col("user"))).drop("user", "_corrupt_record"))
+    parts = [p.withColumn("_from", F.lit(k)) for k, p in enumerate(parts)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out.dropDuplicates(["address", "tid"])
+    found = out.groupBy("address", "tid").agg(F.max_by(F.struct(*[c for c in out.columns if c not in ("address", "tid", "_from")]), "_from").alias("f"))
+    return found.select("address", "tid", "f.*")
+
+
+#: Which shape the archive's folders hold, by the start of their name.
+ARCHIVE_SHAPES = {"node_fills_by_block": "by_block", "node_fills": "node_fills", "node_trades": "node_trades"}
+
+
+def archive_work(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """(path, shape, day, turn) of archive files in ``paths.path`` by folder name and date; the newest day has the first turn. Others are left out."""
+    shape = F.regexp_extract("path", "/(node_fills_by_block|node_fills|node_trades)(?:/|$)", 1)
+    day = F.to_date(F.nullif(F.regexp_extract("path", r"/(\d{8})(?:/|\.|$)", 1), F.lit("")), "yyyyMMdd")
+    work = paths.select("path", shape.alias("shape"), day.alias("day")).filter("shape <> '' AND day IS NOT NULL").distinct()
+    days = work.select("day").distinct().select("day", F.rank().over(Window.orderBy(F.desc("day"))).alias("turn"))
+    return work.join(days, "day").select("path", "shape", "day", "turn")
+
+
+def archive_fills(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Fills of archive folders, each read by the shape that its name tells."""
+    by: dict[str, list[str]] = {}
+    for path in paths:
+        name = next((n for n in ARCHIVE_SHAPES if f"/{n}/" in f"{path}/"), None)
+        if name is None:
+            raise ValueError(f"no known archive shape in {path}")
+        by.setdefault(ARCHIVE_SHAPES[name], []).append(path)
+    return fills(spark, **by)
 
 
 def leaderboard(spark: SparkSession, path: str) -> DataFrame:
     """address, account_value, span, pnl, roi, vlm: a row a window."""
-    return read(spark, path, "leaderboard").select(address(F.col("ethAddress")).alias("address"), F.col("accountValue").alias("account_value"), F.inline("windowPerformances"))
+    return read(spark, path, "leaderboard").select(address(F.col("ethAddress")).alias("address"), F.col("accountValue").alias("account_value"), F.inline("windowPerformances")).withColumn("roi", F.col("roi").cast("double"))
 
 
 def ledger_flows(spark: SparkSession, path: str) -> DataFrame:
-    """Ledger entries with their signed external flow; income is flagged, not a flow."""
+    """Ledger entries with their signed external flow; income is flagged, not a flow, and a type that is not known here has a null flow."""
     d = F.col("delta")
     kind = d["type"]
-    sign = F.lit(0)
+    sign = F.when(kind.isin(*LEDGER_INCOME, *LEDGER_EVENTS), 0)
     for name, s in LEDGER_SIGN.items():
         sign = F.when(kind == name, s).otherwise(sign)
-    moved = F.when(kind == "accountClassTransfer", F.when(d["toPerp"], 1).otherwise(-1)).when(kind.isin("internalTransfer", "subAccountTransfer", "send", "spotTransfer"), F.when(address(d["destination"]) == address(F.col("user")), 1).otherwise(-1)).otherwise(sign)
-    amount = F.coalesce(d["usdc"], d["amount"])
-    return read(spark, path, "ledger").select(address(F.col("user")).alias("address"), "time", "hash", kind.alias("type"), (moved * amount).alias("flow"), kind.isin(*LEDGER_INCOME).alias("income"))
+    borrowed = F.lit(None).cast("int")
+    for name, s in LEDGER_BORROW.items():
+        borrowed = F.when(d["operation"] == name, s).otherwise(borrowed)
+    inside = F.coalesce(address(d["user"]) == address(d["destination"]), F.lit(False))
+    between = F.when(inside, 0).when(address(d["destination"]) == address(F.col("user")), 1).otherwise(-1)
+    moved = F.when(kind == "accountClassTransfer", F.when(d["toPerp"], 1).otherwise(-1)).when(kind == "borrowLend", borrowed).when(kind.isin(*LEDGER_BETWEEN), between).otherwise(sign)
+    amount = F.when(moved == 0, F.lit(0)).otherwise(F.coalesce(d["netWithdrawnUsd"], d["usdcValue"], d["usdc"], d["amount"]))
+    return read(spark, path, "ledger").select(address(F.col("user")).alias("address"), "time", "hash", kind.alias("type"), (moved * amount).alias("flow"), F.coalesce(kind.isin(*LEDGER_INCOME), F.lit(False)).alias("income"))
+
+
+def ledger_links(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst, type, n, usdc): who sent to whom, and deposits to and withdrawals from vaults; an entry that both sides' ledgers hold counts once."""
+    d = F.col("delta")
+    user, vault = address(F.col("user")), address(d["vault"])
+    out, back = d["type"].isin("vaultCreate", "vaultDeposit"), d["type"] == "vaultWithdraw"
+    src = F.when(d["type"].isin(*LEDGER_BETWEEN), F.coalesce(address(d["user"]), user)).when(out, user).when(back, vault)
+    dst = F.when(d["type"].isin(*LEDGER_BETWEEN), address(d["destination"])).when(out, vault).when(back, user)
+    rows = read(spark, path, "ledger").select(src.alias("src"), dst.alias("dst"), d["type"].alias("type"), "time", "hash", F.coalesce(d["netWithdrawnUsd"], d["usdcValue"], d["usdc"], d["amount"]).alias("usdc"))
+    return rows.filter("src <> dst").distinct().groupBy("src", "dst", "type").agg(F.count("*").alias("n"), F.sum("usdc").alias("usdc"))
+
+
+def liquidations(spark: SparkSession, path: str) -> DataFrame:
+    """(address, time, hash, notional, account_value, leverage_type, coin, szi): a row a liquidated position."""
+    d = F.col("delta")
+    rows = read(spark, path, "ledger").filter(d["type"] == "liquidation")
+    return rows.select(address(F.col("user")).alias("address"), "time", "hash", d["liquidatedNtlPos"].alias("notional"), d["accountValue"].alias("account_value"), d["leverageType"].alias("leverage_type"), F.inline_outer(d["liquidatedPositions"])).distinct()
 
 
 def seeds(spark: SparkSession, path: str) -> DataFrame:

@@ -47,8 +47,8 @@ def test_ledger_flows(spark, tmp_path):
 
 
 def test_leaderboard_and_seeds(spark, tmp_path):
-    path = lines(tmp_path / "b", [{"ethAddress": "0xA", "accountValue": "10", "windowPerformances": [{"span": "day", "pnl": "1", "roi": 0.1, "vlm": "5"}, {"span": "week", "pnl": "2", "roi": 0.2, "vlm": "6"}]}])
-    assert {(r["address"], r["span"], float(r["pnl"])) for r in payloads.leaderboard(spark, path).collect()} == {("0xa", "day", 1.0), ("0xa", "week", 2.0)}
+    path = lines(tmp_path / "b", [{"ethAddress": "0xA", "accountValue": "10", "windowPerformances": [{"span": "day", "pnl": "1", "roi": 0.1, "vlm": "5"}, {"span": "week", "pnl": "2", "roi": "0.2", "vlm": "6"}]}])
+    assert {(r["address"], r["span"], float(r["pnl"]), r["roi"]) for r in payloads.leaderboard(spark, path).collect()} == {("0xa", "day", 1.0, 0.1), ("0xa", "week", 2.0, 0.2)}
     name = "0x" + "aB" * 20
     assert [r["address"] for r in payloads.seeds(spark, lines(tmp_path / "s", [f"x,{name},y", f"{name} and 0x12 and {name}f"])).collect()] == [name.lower()]
 
