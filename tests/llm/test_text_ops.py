@@ -5,6 +5,7 @@ import random
 import re
 import textwrap
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -313,3 +314,37 @@ def test_wrapped_notices_are_recognised(spark):
 
 def test_license_scan_of_an_empty_table(spark):
     assert license_scan.license_scan(table(spark, [])).count() == 0
+
+
+def license_texts():
+    known, fill = license_scan.SENTENCES, lambda t, mark="": textwrap.fill(t, 60, initial_indent=mark, subsequent_indent=mark)
+    clauses = [fill(f"{k}. {known[n]}.") for k, n in enumerate(("bsd-source", "bsd-binary", "bsd-holder"), 1)]
+    bsd = lambda n: "\n\n".join([fill(known["bsd-redistribute"]), *clauses[:n]])
+    advertised = "\n\n".join([fill(known["bsd-redistribute"]), clauses[0], clauses[1], fill("3. " + known["bsd-advertising"] + " This product includes software."), clauses[2].replace("3.", "4.")])
+    gpl = lambda n: fill(known[n] + ".", " * ")
+    return {
+        "two": (bsd(2), ["BSD-2-Clause"]), "three": (bsd(3), ["BSD-3-Clause"]), "three twice": (bsd(3) + "\n" + bsd(3), ["BSD-3-Clause"]), "four": (advertised, ["BSD-4-Clause"]),
+        "isc": (fill(known["isc-grant"] + "."), ["ISC"]), "0bsd": (fill(known["0bsd-grant"] + "."), ["0BSD"]), "mit-0": (fill(known["mit0-grant"] + "."), ["MIT-0"]), "mit": (fill(known["mit-grant"]) + "\n" + fill(known["mit-notice"] + "."), ["MIT"]),
+        "lgpl": (gpl("lgpl21-later"), ["LGPL-2.1-or-later"]), "lgpl3": (gpl("lgpl3-later"), ["LGPL-3.0-or-later"]), "agpl": (gpl("agpl3-later") + "\n *\n" + gpl("gpl-hope"), ["AGPL-3.0-or-later"]), "gpl2": (gpl("gpl2-later"), ["GPL-2.0-or-later"]), "gpl3": (gpl("gpl3-later"), ["GPL-3.0-or-later"]), "only": (gpl("gpl2-only"), ["GPL-2.0-only"]),
+        "epl": (fill(known["epl2-terms"]), ["EPL-2.0"]), "zlib": (fill(known["zlib-asis"] + ". " + known["zlib-grant"]), ["Zlib"]), "unlicense": (known["unlicense"] + ".", ["Unlicense"]), "boost": ("Distributed under the Boost Software License, Version 1.0. (See x)", ["BSL-1.0"]),
+        "spdx": ("// SPDX-License-Identifier: MIT\nint x;", ["MIT"]), "spdx or": ("# SPDX-License-Identifier: MIT OR Apache-2.0\n", []), "two spdx": ("SPDX-License-Identifier: Zlib\nSPDX-License-Identifier: 0BSD", ["0BSD", "Zlib"]),
+        "within": ("We wrote: this is released under the MIT License today.", []), "odd space": ("A.\x0bReleased under the ISC License.\x0bx\u2028y\x01", ["ISC"]), "none": (None, []), "empty": ("", []), "long": ("word and line.\n" * 20_000 + "Released under the\nISC License", ["ISC"]), "shown": ("\n\n".join(["MIT License"] * 3), []),
+    }
+
+
+def test_license_texts_of_many_kinds_and_their_sql(spark):
+    """Two, three and four clauses apart, declarations, wrapped notices; the SQL finds the same on all of them."""
+    texts = license_texts()
+    rows = [(k, t) for k, (t, _) in enumerate(texts.values())]
+    found = license_scan.license_scan(table(spark, rows)).collect()
+    assert {name: r["licenses"] for name, r in zip(texts, sorted(found, key=lambda r: r["doc_id"]))} == {name: want for name, (_, want) in texts.items()}
+    con = duckdb.connect()
+    con.register("given", pa.table({"doc_id": [k for k, _ in rows], "text": [t for _, t in rows]}))
+    con.execute("CREATE VIEW documents AS SELECT * FROM given")
+    want = {(r["doc_id"], len(r["sentence_ids"]), " ".join(r["sentence_ids"]), " ".join(r["licenses"]), r["license"]) for r in found}
+    assert set(con.execute(license_scan.oracle()).fetchall()) == want
+
+
+def test_every_license_has_a_sentence_and_a_rule():
+    assert len(license_scan.NAMES) >= 40 and {name for name, _ in license_scan.RULES} >= set(license_scan.NAMES)
+    assert {i for _, ids in license_scan.RULES for i in ids} <= set(license_scan.SENTENCES)
