@@ -77,6 +77,8 @@ class Config:
     twin_seconds: int = 60
     twin_notional: float = 0.25
     twin_events: int = 5
+    opposed_rho: float = -0.8
+    opposed_days: int = 3
     underwater_share: float = 0.5
     size_multiple: float = 3.0
     martingale_trips: float = 0.10

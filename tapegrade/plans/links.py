@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapegrade.operators.graph import connected_components
 from tapegrade.operators.joins import asof_join, band_join
+from tapegrade.operators.pairs import shared_moments
 from tapegrade.operators.sweep import distinct_recent
 from tapegrade.plans.dialect import Frames
 
@@ -82,8 +83,24 @@ def clusters(t: Frames) -> DataFrame:
     return roots.groupBy("root").agg(F.count("*").alias("members"), F.max("node").alias("last_member")).select(F.col("root").alias("cluster_id"), "members", "last_member")
 
 
+#: Pairs of {co_traders}, by the days and coins that both have.
+OPPOSED = """
+    SELECT p.src, p.dst, count(*) AS n, round(CORR(a.dq, b.dq), 4) AS rho FROM {co_traders} p JOIN {net_days} a ON a.address = p.src JOIN {net_days} b ON b.address = p.dst AND a.coin = b.coin AND a.day = b.day
+    GROUP BY p.src, p.dst HAVING var_pop(a.dq) > 0 AND var_pop(b.dq) > 0 AND round(CORR(a.dq, b.dq), 6) <= $opposed_rho"""
+
+
+def anti_corr_pairs(t: Frames) -> DataFrame:
+    """Addresses whose changes of position run against each other. Correlations are over common days alone, so what can be sifted beforehand without loss is how many of them a pair has."""
+    days = t.keep("net_days")["net_days"]
+    t.made["co_traders"] = shared_moments(days, "address", ["coin"], "day", t.config.opposed_days)
+    return t.sql(OPPOSED)
+
+
 #: name -> (DataFrame plan, oracle text)
 PLANS = {
+    "anti_corr_pairs": (anti_corr_pairs, """
+        SELECT a.address AS src, b.address AS dst, count(*) AS n, round(CORR(a.dq, b.dq), 4) AS rho FROM {net_days} a JOIN {net_days} b ON a.coin = b.coin AND a.day = b.day AND a.address < b.address
+        GROUP BY a.address, b.address HAVING count(*) >= $opposed_days AND var_pop(a.dq) > 0 AND var_pop(b.dq) > 0 AND round(CORR(a.dq, b.dq), 6) <= $opposed_rho"""),
     "asof_mark": (asof_mark, """
         SELECT f.address, f.id, f.day, f.usdc_u, s.exposure_u, s.upnl_u FROM (SELECT * FROM {flows} WHERE kind = 'deposit') f
         ASOF LEFT JOIN {account_states} s ON f.address = s.address AND f.day >= s.day"""),
@@ -151,9 +168,6 @@ QUERIES = {
             AND b.notional_u BETWEEN (1 - $twin_notional) * a.notional_u AND (1 + $twin_notional) * a.notional_u GROUP BY a.address, b.address) t GROUP BY address""",
     "d_h6": """
         SELECT s.address, round(CORR(s.szi, m.r), 4) AS rho, count(*) AS days FROM {states} s JOIN {market} m ON s.day = m.day GROUP BY s.address HAVING count(*) >= 3 AND var_pop(s.szi) > 0 AND var_pop(m.r) > 0""",
-    "anti_corr_pairs": """
-        SELECT a.address AS src, b.address AS dst, count(*) AS n, round(CORR(a.dq, b.dq), 4) AS rho FROM {net_days} a JOIN {net_days} b ON a.coin = b.coin AND a.day = b.day AND a.address < b.address
-        GROUP BY a.address, b.address HAVING count(*) >= 3 AND var_pop(a.dq) > 0 AND var_pop(b.dq) > 0 AND round(CORR(a.dq, b.dq), 6) <= -0.8""",
 }
 
 VIEWS = {

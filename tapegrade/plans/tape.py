@@ -10,9 +10,6 @@ QUERIES = {
           SELECT address, day, cp, row_number() OVER (PARTITION BY address, day ORDER BY notional_u DESC, cp) AS k FROM (SELECT address, day, cp, SUMI(notional_u) AS notional_u FROM {sides} GROUP BY address, day, cp) c) r WHERE k <= 3 GROUP BY address, day) p
         ON d.address = p.address AND d.day = p.day""",
     "active_addresses": "SELECT day, count(DISTINCT address) AS addresses FROM {sides} GROUP BY day",
-    "candles_from_tape": """
-        SELECT coin, day, min_by(px_u, o) / 1e6 AS o, max(px_u) / 1e6 AS h, min(px_u) / 1e6 AS l, max_by(px_u, o) / 1e6 AS c, SUMI(sz) AS v FROM (
-          SELECT coin, day, px_u, sz, row_number() OVER (PARTITION BY coin, day ORDER BY ok, ln, sk, pk) AS o FROM {tape}) t GROUP BY coin, day""",
     "coin_dex": """
         SELECT CASE WHEN instr(coin, ':') > 0 THEN split_part(coin, ':', 1) ELSE '' END AS dex, CASE WHEN instr(coin, ':') > 0 THEN split_part(coin, ':', 2) ELSE coin END AS symbol, count(*) AS n
         FROM (SELECT CASE WHEN sk % 5 = 0 THEN 'xyz:' || coin ELSE coin END AS coin FROM {tape}) t
@@ -84,6 +81,14 @@ VIEWS = {
         SELECT g.address, g.month, CASE WHEN coalesce(t.days, 0) < DAYNUM(MONTHDATE(g.month + 1)) - DAYNUM(MONTHDATE(g.month)) - $missing_days THEN 'unknown' ELSE g.grade END AS grade, g.month <= d.last_month - $archive_months AS coarse
         FROM {graded} g LEFT JOIN (SELECT month, count(DISTINCT day) AS days FROM {fills} GROUP BY month) t ON g.month = t.month CROSS JOIN {last_day} d""",
     "sides": """
-        SELECT buyer AS address, day, coin, notional_u, 1 AS buy, seller AS cp, CASE WHEN side = 'B' THEN 0 ELSE 1 END AS maker FROM {tape} UNION ALL
-        SELECT seller, day, coin, notional_u, 0, buyer, CASE WHEN side = 'B' THEN 1 ELSE 0 END FROM {tape}""",
+        SELECT CASE WHEN k = 0 THEN buyer ELSE seller END AS address, day, coin, notional_u, 1 - k AS buy, CASE WHEN k = 0 THEN seller ELSE buyer END AS cp, CASE WHEN (side = 'B') = (k = 0) THEN 0 ELSE 1 END AS maker
+        FROM (SELECT buyer, seller, day, coin, notional_u, side, SEQ(0, 1) AS k FROM {tape}) t""",
+}
+
+#: name -> (DataFrame plan, oracle text). First and last price by the order of fills are partial aggregates: a hot coin's day is neither sorted nor in one task.
+PLANS = {
+    "candles_from_tape": (lambda t: t.sql("""
+        SELECT coin, day, min_by(px_u, struct(ok, ln, sk, pk)) / 1e6 AS o, max(px_u) / 1e6 AS h, min(px_u) / 1e6 AS l, max_by(px_u, struct(ok, ln, sk, pk)) / 1e6 AS c, SUMI(sz) AS v FROM {tape} GROUP BY coin, day"""), """
+        SELECT coin, day, min_by(px_u, o) / 1e6 AS o, max(px_u) / 1e6 AS h, min(px_u) / 1e6 AS l, max_by(px_u, o) / 1e6 AS c, SUMI(sz) AS v FROM (
+          SELECT coin, day, px_u, sz, row_number() OVER (PARTITION BY coin, day ORDER BY ok, ln, sk, pk) AS o FROM {tape}) t GROUP BY coin, day"""),
 }

@@ -105,10 +105,6 @@ QUERIES = {
     "anomaly_flags": """
         SELECT s.address, CASE WHEN s.net_u / nullif(r.max_dd * d.top_u, 0) > 1000 THEN 'recovery' WHEN s.win_rate > 1 THEN 'win_rate' WHEN r.max_dd > 1 THEN 'drawdown' ELSE 'none' END AS anomaly
         FROM {trip_stats} s JOIN {risk} r ON s.address = r.address JOIN {day_stats} d ON s.address = d.address""",
-    "mae_mfe": """
-        SELECT t.address, t.coin, t.trip, round(min(CASE WHEN t.side = 'long' THEN m.low_u - DIV(t.in_u, t.in_q) ELSE DIV(t.in_u, t.in_q) - m.high_u END) / 1e6, 6) AS mae,
-          round(max(CASE WHEN t.side = 'long' THEN m.high_u - DIV(t.in_u, t.in_q) ELSE DIV(t.in_u, t.in_q) - m.low_u END) / 1e6, 6) AS mfe
-        FROM {closed_trips} t JOIN {marks} m ON t.coin = m.coin AND m.day BETWEEN t.open_day AND t.close_day GROUP BY t.address, t.coin, t.trip""",
     # whether losses are cut: the worst against the median one, and losers closed before twice the median adverse move of losers
     "loss_truncation": """
         SELECT address, losers, round(worst_u / nullif(median_u, 0), 6) AS worst_to_median, round(early, 6) AS cut_early FROM (
@@ -128,9 +124,24 @@ QUERIES = {
 }
 
 VIEWS = {
+    # trips by the blocks of days that they touch, and marks by theirs: a hot coin's trips meet its marks in as many places as it has blocks
+    "trip_blocks": "SELECT *, SEQ(DIV(open_day, 32), DIV(close_day, 32)) AS block FROM {closed_trips}",
+    "mark_blocks": "SELECT *, DIV(day, 32) AS block FROM {marks}",
     # losing trips, and how far their coin went against them
     "loser_moves": """
         SELECT t.address, t.coin, t.trip, max(-t.net_u) AS loss_u, max(greatest(0, CASE WHEN t.side = 'long' THEN DIV(t.in_u, t.in_q) - m.low_u ELSE m.high_u - DIV(t.in_u, t.in_q) END)) AS mae_u
-        FROM {closed_trips} t JOIN {marks} m ON t.coin = m.coin AND m.day BETWEEN t.open_day AND t.close_day WHERE t.net_u < 0 GROUP BY t.address, t.coin, t.trip""",
+        FROM {trip_blocks} t JOIN {mark_blocks} m ON t.coin = m.coin AND t.block = m.block AND m.day BETWEEN t.open_day AND t.close_day WHERE t.net_u < 0 GROUP BY t.address, t.coin, t.trip""",
     "volumes": "SELECT coin, day, upto_u, upto_u - volume_u AS before_u FROM (SELECT coin, day, volume_u, CAST(sum(volume_u) OVER (PARTITION BY coin ORDER BY day) AS BIGINT) AS upto_u FROM {marks}) v",
 }
+
+_EXCURSIONS = """
+        SELECT t.address, t.coin, t.trip, round(min(CASE WHEN t.side = 'long' THEN m.low_u - DIV(t.in_u, t.in_q) ELSE DIV(t.in_u, t.in_q) - m.high_u END) / 1e6, 6) AS mae,
+          round(max(CASE WHEN t.side = 'long' THEN m.high_u - DIV(t.in_u, t.in_q) ELSE DIV(t.in_u, t.in_q) - m.low_u END) / 1e6, 6) AS mfe
+        FROM %s AND m.day BETWEEN t.open_day AND t.close_day GROUP BY t.address, t.coin, t.trip"""
+#: name -> (DataFrame plan, oracle text)
+PLANS = {
+    "mae_mfe": (
+        lambda t: t.sql(_EXCURSIONS % "{trip_blocks} t JOIN {mark_blocks} m ON t.coin = m.coin AND t.block = m.block"),
+        _EXCURSIONS % "{closed_trips} t JOIN {marks} m ON t.coin = m.coin",
+    ),
+}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tapegrade.operators.graph import connected_components
 from tapegrade.operators.joins import asof_join, band_join, islands
+from tapegrade.operators.pairs import shared_moments
 from tapegrade.plans import catalog, statistics
 from tapegrade.plans.dialect import Frames, oracle, translate
 
@@ -42,6 +43,34 @@ def test_asof_join_matches_brute_force(spark):
     assert len(got) == 80
 
 
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_shared_moments_match_brute_force(spark, block):
+    """With a key that all act in, days before zero, nulls and repeated rows, whatever the blocks."""
+    rng = random.Random(block)
+    rows = [(w, rng.choice("aaaab"), rng.randrange(-70, 70)) for w in range(25) for _ in range(rng.randrange(0, 40))]
+    rows += rows[:30] + [(None, "a", 1), (3, None, 1), (4, "a", None)]
+    acted = {}
+    for w, k, at in rows:
+        if None not in (w, k, at):
+            acted.setdefault(w, set()).add((k, at))
+    want = {(a, b): len(acted[a] & acted[b]) for a in acted for b in acted if a < b and len(acted[a] & acted[b]) >= 3}
+    df = spark.createDataFrame(rows, "who long, k string, at long")
+    for width in (1, 7, 32, None):
+        got = {(r["src"], r["dst"]): r["n"] for r in shared_moments(df, "who", ["k"], "at", 3, block, width).collect()}
+        assert got == want and len(want) > 20
+    assert shared_moments(df.limit(0), "who", ["k"], "at", 1).count() == 0
+
+
+def test_opposed_books_by_day(spark, sf):
+    """The pairs of a plain self-join on a denser book: two that mirror each other, one that follows, one with two common days."""
+    moves = {1: [5, -3, 4, -6, 2], 2: [-5, 3, -4, 6, -2], 3: [5, -2, 4, -6, 3], 4: [-9, 9], 5: [1, 1, 1, 1, 1]}
+    t = catalog.frames(spark, sf)
+    t.made["net_days"] = spark.createDataFrame([(a, "BTC", 30 + d, q) for a, qs in moves.items() for d, q in enumerate(qs)], "address long, coin string, day int, dq long")
+    plan, text = catalog.PLANS["anti_corr_pairs"]
+    got = sorted(map(tuple, plan(t).collect()))
+    assert got == sorted(map(tuple, t.sql(text).collect())) and [g[:3] for g in got] == [(1, 2, 5), (2, 3, 5)]
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(300 + i, 301 + i) for i in range(40)]
