@@ -29,6 +29,8 @@ class Config:
     requests_per_fill: float = 50.0
     history_cap: int = 10_000
     forward_days: int = 30
+    watch_days: int = 30
+    envelope: float = 1.5
     legs_max: int = 5
     # results
     months_positive: float = 4 / 6
@@ -89,6 +91,7 @@ class Config:
     tilt_max: float = 1.5
     impact_share: float = 0.20
     impact_pnl: float = 0.25
+    thin_volume: float = 5_000_000.0
     funding_share: float = 0.5
     copier_low_s: int = 5
     copier_high_s: int = 120
@@ -105,6 +108,15 @@ class Config:
     screen_volume_30d: float = 100_000.0
     active_days: int = 60
     copy_ticket: float = 10.0
+    sleeve: float = 10_000.0
+    sleeve_trips: int = 100
+    sleeve_margin: float = 0.90
+    churn: float = 20.0
+    two_sided: float = 0.10
+    promote: int = 60
+    largest: int = 3
+    stored_fills: int = 40
+    check_diff: float = 0.01
     weight_per_minute: int = 1_080
 
     def literals(self) -> dict[str, str]:

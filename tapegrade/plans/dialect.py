@@ -29,6 +29,7 @@ MACROS = {
     "DIV": ("(($1) div ($2))", "(($1) // ($2))"),
     "PCTL": ("percentile($1, $2)", "quantile_cont($1, $2)"),
     "SEQ": ("explode(sequence($1, $2))", "unnest(range($1, ($2) + 1))"),
+    "FOUND": ("explode(regexp_extract_all($1, $2, 1))", "unnest(regexp_extract_all($1, $2, 1))"),
     "SUMI": ("sum($1)", "CAST(sum($1) AS BIGINT)"),
     "JOINED": ("listagg($1, ',') WITHIN GROUP (ORDER BY $1)", "string_agg($1, ',' ORDER BY $1)"),
     "DOW": ("weekday($1)", "(isodow($1) - 1)"),
@@ -70,7 +71,7 @@ def translate(sql: str, oracle: bool, config: Config = DEFAULT) -> str:
 
 
 def names(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
+    return list(dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", sql)))
 
 
 class Frames:

@@ -44,11 +44,11 @@ QUERIES = {
         SELECT address, SUMI(CASE WHEN k <= 4 THEN net_u ELSE 0 END) / 1e6 AS first4, SUMI(CASE WHEN k > 4 THEN net_u ELSE 0 END) / 1e6 AS next2, SUMI(CASE WHEN k <= 4 THEN net_u ELSE 0 END) > 0 AND SUMI(CASE WHEN k > 4 THEN net_u ELSE 0 END) > 0 AS holds
         FROM (SELECT address, net_u, dense_rank() OVER (PARTITION BY address ORDER BY month) AS k FROM {months}) m WHERE k <= 6 GROUP BY address""",
     "persistence": """
-        SELECT a.month, count(*) AS n, SUMI(CASE WHEN a.decile = 1 THEN 1 ELSE 0 END) AS top_before, SUMI(CASE WHEN a.decile = 1 AND b.decile = 1 THEN 1 ELSE 0 END) AS stayed, round(regr_r2(b.twr, a.twr), 4) AS r2
-        FROM {deciles} a JOIN {deciles} b ON a.address = b.address AND b.month = a.month + 1 GROUP BY a.month HAVING count(*) > 2""",
+        SELECT a.month, h.horizon, count(*) AS n, SUMI(CASE WHEN a.decile = 1 THEN 1 ELSE 0 END) AS top_before, SUMI(CASE WHEN a.decile = 1 AND b.decile = 1 THEN 1 ELSE 0 END) AS stayed, round(regr_r2(b.twr, a.twr), 4) AS r2
+        FROM (SELECT 1 AS horizon UNION ALL SELECT 3 UNION ALL SELECT 6) h CROSS JOIN {deciles} a JOIN {deciles} b ON a.address = b.address AND b.month = a.month + h.horizon GROUP BY a.month, h.horizon HAVING count(*) > 2""",
     "pnl_crosscheck": """
-        SELECT e.address, e.day, e.net_u / 1e6 AS own, w.net_u / 1e6 AS warehouse, round(abs(e.net_u - w.net_u) / 1e6, 6) AS diff FROM (SELECT address, day, net_u FROM {equity} WHERE net_u <> 0) e
-        JOIN (SELECT address, day, SUMI(pnl_u) - SUMI(fee_u) AS net_u FROM {fills} GROUP BY address, day) w ON e.address = w.address AND e.day = w.day""",
+        SELECT w.address, w.day, w.net_u / 1e6 AS warehouse, round(o.net + 1e-7, 3) AS own, CASE WHEN abs(w.net_u / 1e6 - o.net) <= $check_diff * greatest(1, abs(w.net_u / 1e6)) THEN 'ok' ELSE 'off' END AS verdict
+        FROM (SELECT address, day, SUMI(pnl_u) - SUMI(fee_u) AS net_u FROM {fills} GROUP BY address, day) w JOIN {own_books} o ON w.address = o.address AND w.day = o.day""",
     "size_in_drawdown": """
         SELECT f.address, round(avg(CASE WHEN d.dd > 0.01 THEN f.notional_u END) / nullif(avg(CASE WHEN d.dd <= 0.01 THEN f.notional_u END), 0), 6) AS size_ratio FROM {fills} f JOIN (SELECT address, day, round(dd, 6) AS dd FROM {drawdowns}) d ON f.address = d.address AND f.day = d.day GROUP BY f.address""",
     "regimes": """
@@ -62,5 +62,10 @@ VIEWS = {
     "market": """
         SELECT day, vwap_u / before_u - 1 AS r FROM (
           SELECT day, vwap_u, lag(vwap_u) OVER (ORDER BY day) AS before_u FROM {marks} WHERE coin = (SELECT min(coin) FROM {marks})) m WHERE before_u IS NOT NULL""",
+    # results by the book's own accounting: what a reducing leg gains over the average cost of what was open, less fees
+    "own_books": """
+        SELECT l.address, l.day, sum(CASE WHEN l.opens THEN 0.0 ELSE -l.q * (l.px_u / 1e6 - c.before_cost) END - l.fee_u / 1e6) AS net FROM {trip_legs} l JOIN (
+          SELECT address, coin, trip, ok, ln, sk, pk, leg, lag(cost) OVER (PARTITION BY address, coin, trip ORDER BY day, ok, ln, sk, pk, leg) AS before_cost FROM {costs}) c
+        ON l.address = c.address AND l.coin = c.coin AND l.trip = c.trip AND l.ok = c.ok AND l.ln = c.ln AND l.sk = c.sk AND l.pk = c.pk AND l.leg = c.leg GROUP BY l.address, l.day""",
     "deciles": "SELECT address, month, twr, ntile(10) OVER (PARTITION BY month ORDER BY round(twr, 9) DESC, address) AS decile FROM {months}",
 }

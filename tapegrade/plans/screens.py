@@ -10,24 +10,32 @@ QUERIES = {
         SELECT b.address, CASE WHEN b.last - b.first_day < $min_history THEN 'young' WHEN d.inflow_u > 10.0 * abs(d.net_u) THEN 'flows' WHEN b.role IN ('agent', 'vault') THEN b.role ELSE 'light_ok' END AS verdict
         FROM {board} b JOIN {day_stats} d ON b.address = d.address""",
     "screen_b": """
-        SELECT address, CASE WHEN vlm_30 = 0 AND vlm_7 = 0 THEN 'no_recent_volume' WHEN value_u < $screen_equity * 1e6 THEN 'small' WHEN pnl_all <= 0 THEN 'losing'
+        SELECT address, CASE WHEN vlm_30 = 0 AND vlm_7 = 0 THEN 'no_recent_volume' WHEN value_u < $screen_equity * 1e6 THEN 'small' WHEN pnl_all <= 0 OR net_all <= 0 THEN 'losing'
           WHEN vlm_all < $screen_volume_all * 1e6 THEN 'low_volume' WHEN vlm_30 < $screen_volume_30d * 1e6 THEN 'low_month_volume' ELSE 'keep' END AS reason, pnl_30 > 0 AND pnl_all > 0 AS keep_hint FROM {board}""",
     "screen_copy_sleeve": """
         SELECT b.address, coalesce(s.win_rate >= 0.5, true) AND b.pnl_all >= 20000000000 AND b.value_u >= 20000000000 AND coalesce(s.n_trips >= 10, true) AND coalesce(s.median_hold * 24 >= 1, true)
-          AND coalesce(r.max_dd <= 0.5, true) AND b.vlm_30 > 0 AND b.last_fill - b.first_day >= $active_days AS passes
-        FROM {board} b LEFT JOIN {trip_stats} s ON b.address = s.address LEFT JOIN {risk} r ON b.address = r.address""",
+          AND coalesce(r.max_dd <= 0.5, true) AND coalesce(t.n <= $sleeve_trips, true) AND coalesce(x.mean_lev <= $leverage_veto, true) AND coalesce(u.p95 <= $sleeve_margin, true) AND b.vlm_30 > 0 AND b.last_fill - b.first_day >= $active_days AS passes
+        FROM {board} b LEFT JOIN {trip_stats} s ON b.address = s.address LEFT JOIN {risk} r ON b.address = r.address LEFT JOIN {mean_leverage} x ON b.address = x.address LEFT JOIN {margin_use} u ON b.address = u.address
+          LEFT JOIN (SELECT c.address, count(*) AS n FROM {closed_trips} c JOIN {last_day} d ON c.close_day > d.last - 30 GROUP BY c.address) t ON b.address = t.address""",
     "screen_b2": """
-        SELECT b.address, CASE WHEN pnl_30 > 0 AND net_30 <= 0 THEN 'DROP' WHEN n_fills / active_days >= 817 THEN 'FLAG' ELSE 'KEEP' END AS verdict FROM {board} b""",
+        SELECT b.address, CASE WHEN pnl_30 > 0 AND net_30 <= 0 THEN 'DROP' WHEN n_fills / active_days >= 817 OR n.need > $sleeve THEN 'FLAG' ELSE 'KEEP' END AS verdict, n_fills / active_days >= 817 AS flag_pace, coalesce(n.need > $sleeve, false) AS flag_capital
+        FROM {board} b LEFT JOIN {copy_needs} n ON b.address = n.address""",
+    # the first rule that decides, and all rules that speak, in their order
     "vet_d": """
-        SELECT address, role = 'vault' AS veto_vault, coalesce(median_hold * 86400 < $avg_hold_s, false) AS veto_hft, coalesce(top_coin > 0.8 AND n_trips < 15, false) AS veto_one_hit, members >= 3 AS flag_cluster, role = 'agent' AS exclude_agent,
-          CASE WHEN role = 'vault' OR coalesce(median_hold * 86400 < $avg_hold_s, false) OR coalesce(top_coin > 0.8 AND n_trips < 15, false) THEN 'VETO' WHEN role = 'agent' THEN 'EXCLUDE' WHEN members >= 3 THEN 'FLAG' ELSE 'PASS' END AS verdict
-        FROM (SELECT b.address, b.role, s.median_hold, s.n_trips, c.top_coin, m.members FROM {board} b LEFT JOIN {trip_stats} s ON b.address = s.address LEFT JOIN {coin_share} c ON b.address = c.address
-          JOIN {registry} g ON b.address = g.address JOIN (SELECT cluster, count(*) AS members FROM {registry} GROUP BY cluster) m ON g.cluster = m.cluster) v""",
+        SELECT address, CASE WHEN role = 'agent' OR backstop THEN 'EXCLUDE' WHEN role = 'vault' OR hft OR churn OR one_hit OR carry THEN 'VETO' WHEN liquidated OR members >= 3 OR calibration THEN 'FLAG' ELSE 'PASS' END AS verdict, trading_u / 1e6 AS trading_equity,
+          concat_ws(',', CASE WHEN role = 'agent' THEN 'EXCLUDE:agent' END, CASE WHEN backstop THEN 'EXCLUDE:backstop' END, CASE WHEN role = 'vault' THEN 'VETO:vault' END, CASE WHEN hft THEN 'VETO:hft' END, CASE WHEN churn THEN 'VETO:churn' END, CASE WHEN one_hit THEN 'VETO:one_hit' END,
+            CASE WHEN carry THEN 'VETO:carry' END, CASE WHEN liquidated THEN 'FLAG:liquidated' END, CASE WHEN members >= 3 THEN 'FLAG:cluster' END, CASE WHEN calibration THEN 'FLAG:calibration' END, CASE WHEN debt_u > 0 THEN 'SUBTRACT:debt' END) AS reasons
+        FROM (SELECT b.address, b.role, g.name = 'backstop' AS backstop, coalesce(s.median_hold * 86400 < $avg_hold_s, false) AS hft, f.n_fills > $churn * coalesce(s.n_trips, 0) AS churn, coalesce(c.top_coin > 0.8 AND s.n_trips < 15, false) AS one_hit,
+            coalesce(abs(w.funding_u) >= abs(s.net_u) AND abs(f.bias) < $two_sided, false) AS carry, l.lifetime >= 1 AS liquidated, coalesce(m.members, 1) AS members, g.slot = 0 AS calibration, coalesce(w.debt_u, 0) AS debt_u, d.last_u - coalesce(w.debt_u, 0) AS trading_u
+          FROM {board} b JOIN {registry} g ON b.address = g.address JOIN {day_stats} d ON b.address = d.address JOIN {liquidations} l ON b.address = l.address JOIN (SELECT cluster, count(*) AS members FROM {registry} GROUP BY cluster) m ON g.cluster = m.cluster
+          JOIN (SELECT address, count(*) AS n_fills, SUMI(CASE WHEN dq > 0 THEN notional_u ELSE -notional_u END) / SUMI(notional_u) AS bias FROM {fills} GROUP BY address) f ON b.address = f.address
+          LEFT JOIN {trip_stats} s ON b.address = s.address LEFT JOIN {coin_share} c ON b.address = c.address
+          LEFT JOIN (SELECT address, SUMI(CASE WHEN kind = 'internalTransfer' THEN DIV(usdc_u, 100) ELSE 0 END) AS funding_u, SUMI(CASE WHEN kind = 'internalTransfer' AND priority = '2-HIGH' THEN usdc_u ELSE 0 END) AS debt_u FROM {flows} GROUP BY address) w ON b.address = w.address) v""",
     "m_score": """
-        SELECT b.address, CASE WHEN b.pnl_30 > 0 AND b.pnl_all > 0 THEN 25 ELSE 0 END + CASE WHEN b.vlm_30 >= 100000000000 THEN 15 ELSE 0 END + 15 * greatest(0, least(1, round(1 - r.ulcer, 6))) + CASE WHEN r.max_dd <= 0.5 THEN 15 ELSE 0 END
-          + CASE WHEN x.mean_lev BETWEEN 2 AND $leverage_max THEN 10 ELSE 0 END + CASE WHEN s.median_hold * 24 >= 1 THEN 10 ELSE 0 END + CASE WHEN coalesce(c.top_coin, 0) <= 0.8 THEN 10 ELSE 0 END AS score
-        FROM {board} b JOIN {risk} r ON b.address = r.address LEFT JOIN {trip_stats} s ON b.address = s.address LEFT JOIN {coin_share} c ON b.address = c.address
-          LEFT JOIN (SELECT address, sum(lev * span) / nullif(sum(span), 0) AS mean_lev FROM {leverage} WHERE span IS NOT NULL GROUP BY address) x ON b.address = x.address""",
+        SELECT address, least(100, score) AS score, score >= $promote AND verdict <> 'VETO' AND verdict <> 'EXCLUDE' AS promoted FROM (
+          SELECT b.address, v.verdict, CASE WHEN b.pnl_30 > 0 AND b.pnl_all > 0 THEN 25 ELSE 0 END + CASE WHEN b.vlm_30 >= 100000000000 THEN 15 ELSE 0 END + 15 * greatest(0, least(1, round(1 - r.ulcer, 6))) + CASE WHEN r.max_dd <= 0.5 THEN 15 ELSE 0 END
+            + CASE WHEN x.mean_lev BETWEEN 2 AND $leverage_max THEN 10 ELSE 0 END + CASE WHEN s.median_hold * 24 >= 1 THEN 10 ELSE 0 END + CASE WHEN coalesce(c.top_coin, 0) <= 0.8 THEN 10 ELSE 0 END AS score
+          FROM {board} b JOIN {risk} r ON b.address = r.address JOIN (<vet>) v ON b.address = v.address LEFT JOIN {trip_stats} s ON b.address = s.address LEFT JOIN {coin_share} c ON b.address = c.address LEFT JOIN {mean_leverage} x ON b.address = x.address) p""",
     "screen_named": """
         SELECT screen, address FROM (
           SELECT p.screen, m.address, bool_and(CASE WHEN p.op = 'ge' THEN m.v >= p.bound ELSE m.v <= p.bound END) AS ok, count(m.v) AS met FROM {metric_rows} m JOIN {screen_rules} p ON m.metric = p.metric GROUP BY p.screen, m.address) s JOIN (SELECT screen AS name, count(*) AS rules FROM {screen_rules} GROUP BY screen) n ON s.screen = n.name WHERE ok AND met = rules""",
@@ -47,10 +55,10 @@ QUERIES = {
         SELECT d.address, w.debt_u / 1e6 AS borrowed, CASE WHEN w.debt_u > 0 AND d.top_u / greatest(1.0, d.last_u - w.debt_u) > $leverage_max THEN 'VETO' WHEN w.debt_u > 0 THEN 'FLAG' ELSE 'PASS' END AS severity
         FROM {day_stats} d JOIN (SELECT address, SUMI(CASE WHEN kind = 'internalTransfer' AND priority = '2-HIGH' THEN usdc_u ELSE 0 END) AS debt_u FROM {flows} GROUP BY address) w ON d.address = w.address""",
     "d_r5": """
-        SELECT address, round(p99, 6) AS p99, CASE WHEN p99 > $leverage_veto THEN 'VETO' WHEN p99 > $leverage_spike * $leverage_max THEN 'FLAG' ELSE 'PASS' END AS severity FROM (SELECT address, PCTL(lev, 0.99) AS p99 FROM {leverage} GROUP BY address) l""",
+        SELECT address, round(p99, 6) AS p99, CASE WHEN p99 > $leverage_veto THEN 'VETO' WHEN p99 > $leverage_spike * $leverage_max THEN 'FLAG' ELSE 'PASS' END AS severity FROM (
+          SELECT address, coalesce(min(CASE WHEN upto >= 0.99 * total THEN lev END), max(lev)) AS p99 FROM {leverage_weights} GROUP BY address) l""",
     "leverage_tw": """
-        SELECT address, round(sum(lev * span) / nullif(sum(span), 0), 6) AS mean_leverage, round(max(lev), 6) AS max_leverage, round(min(CASE WHEN upto >= 0.95 * total THEN lev END), 6) AS p95 FROM (
-          SELECT *, sum(span) OVER (PARTITION BY address ORDER BY lev, day) AS upto, sum(span) OVER (PARTITION BY address) AS total FROM {leverage} WHERE span IS NOT NULL) l GROUP BY address""",
+        SELECT address, round(sum(lev * span) / nullif(sum(span), 0), 6) AS mean_leverage, round(max(lev), 6) AS max_leverage, round(min(CASE WHEN upto >= 0.95 * total THEN lev END), 6) AS p95, round(min(CASE WHEN upto >= 0.99 * total THEN lev END), 6) AS p99 FROM {leverage_weights} WHERE span IS NOT NULL GROUP BY address""",
     "d_m4": """
         SELECT address, SUMI(CASE WHEN lev < before AND dd > 0.01 THEN 1 ELSE 0 END) AS lowered, CASE WHEN SUMI(CASE WHEN lev < before AND dd > 0.01 THEN 1 ELSE 0 END) > 0 THEN 'FLAG' ELSE 'PASS' END AS severity FROM (
           SELECT l.address, round(l.lev, 6) AS lev, lag(round(l.lev, 6)) OVER (PARTITION BY l.address ORDER BY l.day) AS before, round(d.dd, 6) AS dd FROM {leverage} l JOIN {drawdowns} d ON l.address = d.address AND l.day = d.day) s GROUP BY address""",
@@ -65,6 +73,8 @@ QUERIES = {
         FROM {risk} r CROSS JOIN (SELECT 0.9 AS factor UNION ALL SELECT 1.0 UNION ALL SELECT 1.1) f GROUP BY f.factor""",
     "composite_score": "SELECT address, category, round(score, 6) AS score FROM {scored}",
     "ranking": "SELECT address, category, round(score, 6) AS score, tenure, row_number() OVER (PARTITION BY category ORDER BY round(score, 6) DESC, tenure DESC, address) AS place FROM {scored}",
+    # reasons to vet an address again that the last days gave, against what was stored before them
+    "revet": "SELECT address, kind, min(day) AS first_day, count(*) AS n FROM {triggers} GROUP BY address, kind",
     # the first stage that holds an address back, or the last one it reached
     "stages": f"""
         SELECT u.address, CASE WHEN b.address IS NULL THEN 'discovered' WHEN s1.verdict <> 'keep' OR s2.verdict <> 'light_ok' THEN 'screened_out' WHEN b.n_fills >= $history_cap THEN 'light_ok' WHEN q.verdict = 'reconcile_fail' THEN 'reconcile_fail'
@@ -73,6 +83,7 @@ QUERIES = {
         FROM {{registry}} u LEFT JOIN {{board}} b ON u.address = b.address LEFT JOIN (<s1>) s1 ON u.address = s1.address LEFT JOIN (<s2>) s2 ON u.address = s2.address LEFT JOIN {{reconciled}} q ON u.address = q.address
         LEFT JOIN {{verdicts}} p ON u.address = p.address LEFT JOIN {{gate_rows}} g ON u.address = g.address LEFT JOIN {{forward}} w ON u.address = w.address""",
 }
+QUERIES["m_score"] = QUERIES["m_score"].replace("<vet>", QUERIES["vet_d"])
 QUERIES["stages"] = QUERIES["stages"].replace("<s1>", QUERIES["screen_s1"]).replace("<s2>", QUERIES["screen_s2"])
 
 VIEWS = {
@@ -86,6 +97,8 @@ VIEWS = {
     "leverage": """
         SELECT s.address, s.day, s.exposure_u / e.equity_u AS lev, lead(s.day) OVER (PARTITION BY s.address ORDER BY s.day) - s.day AS span
         FROM (SELECT address, day, SUMI(exposure_u) AS exposure_u FROM {states} GROUP BY address, day) s JOIN {equity} e ON s.address = e.address AND s.day = e.day""",
+    "leverage_weights": "SELECT *, sum(span) OVER (PARTITION BY address ORDER BY lev, day) AS upto, sum(span) OVER (PARTITION BY address) AS total FROM {leverage}",
+    "mean_leverage": "SELECT address, sum(lev * span) / nullif(sum(span), 0) AS mean_lev FROM {leverage} WHERE span IS NOT NULL GROUP BY address",
     "margin_use": "SELECT s.address, PCTL(s.margin_u / e.equity_u, 0.95) AS p95 FROM (SELECT address, day, SUMI(margin_u) AS margin_u FROM {states} GROUP BY address, day) s JOIN {equity} e ON s.address = e.address AND s.day = e.day GROUP BY s.address",
     # the last 180 days and the last six calendar months of each address
     "lately": f"""
@@ -106,6 +119,21 @@ VIEWS = {
             max(CASE WHEN f.day > d.last - $forward_days THEN l.lev END) AS lev, max(CASE WHEN f.day <= d.last - $forward_days THEN l.lev END) AS lev_before,
             max(CASE WHEN f.day > d.last - $forward_days THEN f.n END) AS pace, max(CASE WHEN f.day <= d.last - $forward_days THEN f.n END) AS pace_before
           FROM (SELECT address, day, count(*) AS n FROM {fills} GROUP BY address, day) f CROSS JOIN {last_day} d LEFT JOIN {drawdowns} x ON f.address = x.address AND f.day = x.day LEFT JOIN {leverage} l ON f.address = l.address AND f.day = l.day GROUP BY f.address) w""",
+    # what an address had shown until the watched days: worst drawdown, median hold
+    "envelopes": """
+        SELECT r.address, r.dd, h.hold FROM (SELECT x.address, max(x.dd) AS dd FROM {drawdowns} x CROSS JOIN {last_day} d WHERE x.day <= d.last - $watch_days GROUP BY x.address) r
+        LEFT JOIN (SELECT t.address, median(t.hold) AS hold FROM {closed_trips} t CROSS JOIN {last_day} d WHERE t.close_day <= d.last - $watch_days GROUP BY t.address) h ON r.address = h.address""",
+    "triggers": """
+        SELECT f.address, 'liquidation' AS kind, f.day FROM {fills} f CROSS JOIN {last_day} d WHERE f.day > d.last - $watch_days AND f.flag = 'R' AND f.ln = 1 AND f.ok % 40 = 0
+        UNION ALL SELECT r.address, 'rescue', r.day FROM {rescues} r CROSS JOIN {last_day} d WHERE r.day > d.last - $watch_days
+        UNION ALL SELECT x.address, 'drawdown', x.day FROM {drawdowns} x JOIN {envelopes} e ON x.address = e.address CROSS JOIN {last_day} d WHERE x.day > d.last - $watch_days AND round(x.dd, 9) > round($envelope * e.dd, 9)
+        UNION ALL SELECT l.address, 'leverage', l.day FROM {leverage} l CROSS JOIN {last_day} d WHERE l.day > d.last - $watch_days AND l.lev > $leverage_max
+        UNION ALL SELECT p.src, 'link', p.day FROM (SELECT src, dst, min(day) AS day FROM {transfers} GROUP BY src, dst) p CROSS JOIN {last_day} d WHERE p.day > d.last - $watch_days
+        UNION ALL SELECT w.address, 'crashed', w.day FROM (
+          SELECT address, day, sum(net_u) OVER (PARTITION BY address ORDER BY day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS week_u, sum(net_u) OVER (PARTITION BY address ORDER BY day RANGE BETWEEN 29 PRECEDING AND CURRENT ROW) AS month_u
+          FROM (SELECT e.address, e.day, e.net_u FROM {equity} e CROSS JOIN {last_day} d WHERE e.day > d.last - $watch_days - 30) r) w CROSS JOIN {last_day} d WHERE w.day > d.last - $watch_days AND w.week_u < 0 AND w.month_u > 0
+        UNION ALL SELECT h.address, 'hold_drift', h.day FROM (SELECT t.address, max(t.close_day) AS day, median(t.hold) AS hold FROM {closed_trips} t CROSS JOIN {last_day} d WHERE t.close_day > d.last - $watch_days GROUP BY t.address) h JOIN {envelopes} e ON h.address = e.address
+          WHERE (h.hold * 86400 > $hold_high_s AND e.hold * 86400 <= $hold_high_s) OR (h.hold * 86400 < $hold_low_s AND e.hold * 86400 >= $hold_low_s)""",
     "gate_rows": """
         SELECT b.address, b.last - b.first_day >= $min_history AND y.active >= $months_required AS g1,
           coalesce(c.genuine / nullif(c.active, 0) >= $coverage_min AND c.first_genuine <= $late_start_months, false) AND NOT v.vetoed AS g1b, coalesce(c.first_genuine > $late_start_months, false) AS genuine_late,
@@ -116,7 +144,7 @@ VIEWS = {
           coalesce(d.mean_r / nullif(d.sd_r / sqrt(d.n), 0) >= $tstat_min, false) AND coalesce(q.dsr >= $dsr_min, false) AND z.r11 AS g11, d.median_u >= $equity_floor * 1e6 AS g12
         FROM {board} b JOIN {day_stats} d ON b.address = d.address JOIN {risk} r ON b.address = r.address JOIN {coverage} c ON b.address = c.address JOIN {liquidations} l ON b.address = l.address
         JOIN {lately} y ON b.address = y.address JOIN {vetoed} v ON b.address = v.address JOIN {rolling_gates} z ON b.address = z.address LEFT JOIN (SELECT address, count(*) AS requests FROM {flows} GROUP BY address) o ON b.address = o.address LEFT JOIN {best_trades} t ON b.address = t.address LEFT JOIN {margin_use} u ON b.address = u.address LEFT JOIN {dsr_rows} q ON b.address = q.address
-        LEFT JOIN (SELECT address, sum(lev * span) / nullif(sum(span), 0) AS mean_lev FROM {leverage} WHERE span IS NOT NULL GROUP BY address) x ON b.address = x.address
+        LEFT JOIN {mean_leverage} x ON b.address = x.address
         LEFT JOIN {trip_stats} s ON b.address = s.address JOIN (SELECT address, avg(CASE WHEN crossed THEN 0.0 ELSE 1.0 END) AS maker FROM {fills} GROUP BY address) f ON b.address = f.address
         JOIN (SELECT k.address, SUMI(CASE WHEN k.days >= $week_days THEN 1 ELSE 0 END) / max(n.weeks) AS coverage FROM {weeks} k JOIN (SELECT address, max(week) - min(week) + 1 AS weeks FROM {weeks} GROUP BY address) n ON k.address = n.address GROUP BY k.address) w ON b.address = w.address""",
     "scored": """

@@ -15,7 +15,7 @@ QUERIES = {
         FROM (SELECT CASE WHEN sk % 5 = 0 THEN 'xyz:' || coin ELSE coin END AS coin FROM {tape}) t
         GROUP BY CASE WHEN instr(coin, ':') > 0 THEN split_part(coin, ':', 1) ELSE '' END, CASE WHEN instr(coin, ':') > 0 THEN split_part(coin, ':', 2) ELSE coin END""",
     "dex_share": "SELECT dex, oi_u / 1e6 AS oi, round(oi_u / CAST(sum(oi_u) OVER () AS BIGINT), 6) AS share FROM (SELECT CASE WHEN sk % 5 = 0 THEN 'xyz' ELSE 'main' END AS dex, SUMI(notional_u) AS oi_u FROM {tape} GROUP BY CASE WHEN sk % 5 = 0 THEN 'xyz' ELSE 'main' END) t",
-    "history_truncated": "SELECT address, count(*) AS n_fills, count(*) >= 40 AS history_truncated FROM {fills} GROUP BY address",
+    "history_truncated": "SELECT address, count(*) AS n_fills, count(*) >= $stored_fills AS history_truncated FROM {fills} GROUP BY address",
     "funding_scan": "SELECT address, month, count(*) AS payments, SUMI(usdc_u) / 1e6 AS usdc FROM {flows} WHERE kind = 'internalTransfer' GROUP BY address, month",
     "ledger_flows": "SELECT address, kind, count(*) AS n, SUMI(flow_u) / 1e6 AS net_flow, SUMI(usdc_u) / 1e6 AS gross FROM {flows} GROUP BY address, kind",
     "order_spam": "SELECT f.address, round(o.requests / f.n, 6) AS requests_per_fill FROM (SELECT address, count(*) AS requests FROM {flows} GROUP BY address) o JOIN (SELECT address, count(*) AS n FROM {fills} GROUP BY address) f ON o.address = f.address",
@@ -29,7 +29,8 @@ QUERIES = {
           SELECT 'node_fills', address, notional_u, fee_u FROM {fills} WHERE day >= 9000 AND day < 9800 UNION ALL
           SELECT 'node_fills_by_block', address, notional_u, fee_u FROM {fills} WHERE day >= 9800) u GROUP BY shape""",
     "extract_identifiers": """
-        SELECT host, count(*) AS n FROM (SELECT lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host FROM {pages}) p WHERE host <> '' GROUP BY host""",
+        SELECT kind, lower(name) AS name, SUMI(CASE WHEN source = 'pages' THEN 1 ELSE 0 END) AS in_pages, SUMI(CASE WHEN source = 'documents' THEN 1 ELSE 0 END) AS in_documents FROM (
+          SELECT source, 'host' AS kind, FOUND(body, '://([a-zA-Z0-9.:-]+)') AS name FROM {texts} UNION ALL SELECT source, 'address', FOUND(body, '(0x[a-fA-F0-9]{{40}})') FROM {texts}) t GROUP BY kind, lower(name)""",
     "gaps": "SELECT address, max(gap) AS longest_gap, SUMI(CASE WHEN gap > $longest_gap THEN 1 ELSE 0 END) AS long_gaps, round(median(gap), 6) AS median_gap FROM {day_gaps} GROUP BY address",
     "weekly_coverage": """
         SELECT w.address, count(*) AS weeks, round(avg(CASE WHEN coalesce(k.days, 0) >= $week_days THEN 1.0 ELSE 0.0 END), 6) AS coverage
@@ -77,6 +78,7 @@ QUERIES = {
 }
 
 VIEWS = {
+    "texts": "SELECT 'pages' AS source, url AS body FROM {pages} UNION ALL SELECT 'documents', text FROM {documents}",
     "known_grades": """
         SELECT g.address, g.month, CASE WHEN coalesce(t.days, 0) < DAYNUM(MONTHDATE(g.month + 1)) - DAYNUM(MONTHDATE(g.month)) - $missing_days THEN 'unknown' ELSE g.grade END AS grade, g.month <= d.last_month - $archive_months AS coarse
         FROM {graded} g LEFT JOIN (SELECT month, count(DISTINCT day) AS days FROM {fills} GROUP BY month) t ON g.month = t.month CROSS JOIN {last_day} d""",

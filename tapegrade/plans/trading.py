@@ -29,7 +29,16 @@ QUERIES = {
           SELECT address, count(*) AS n, sum(net_u / 1e6) AS total, sum((2 * k - c - 1) * (net_u / 1e6)) AS weighted FROM (
             SELECT address, net_u, row_number() OVER (PARTITION BY address ORDER BY net_u, coin, trip) AS k, count(*) OVER (PARTITION BY address) AS c FROM {closed_trips} WHERE net_u > 0) r
           GROUP BY address) g""",
-    "size_cv": "SELECT address, round(size_cv, 6) AS size_cv FROM {trip_stats}",
+    "size_cv": """
+        SELECT s.address, round(s.size_cv, 6) AS size_cv, round(p.cv, 6) AS trades_per_day_cv, round(e.cv, 6) AS equity_cv FROM {trip_stats} s
+        JOIN (SELECT address, stddev_samp(n) / avg(n) AS cv FROM (SELECT address, day, count(*) AS n FROM {fills} GROUP BY address, day) d GROUP BY address) p ON s.address = p.address
+        JOIN (SELECT address, stddev_samp(equity_u / 1e6) / nullif(avg(equity_u / 1e6), 0) AS cv FROM {equity} GROUP BY address) e ON s.address = e.address""",
+    # round trips that an order set beforehand has reduced
+    "stop_usage": """
+        SELECT t.address, count(*) AS n_trips, SUMI(CASE WHEN r.trip IS NULL THEN 0 ELSE 1 END) AS n_stopped, round(avg(CASE WHEN r.trip IS NULL THEN 0.0 ELSE 1.0 END), 6) AS stop_share,
+          round(avg(CASE WHEN t.net_u < 0 THEN CASE WHEN r.trip IS NULL THEN 0.0 ELSE 1.0 END END), 6) AS stop_share_of_losses
+        FROM {closed_trips} t LEFT JOIN (SELECT DISTINCT l.address, l.coin, l.trip FROM {trip_legs} l SEMI JOIN {trigger_orders} o ON l.ok = o.ok WHERE NOT l.opens) r
+        ON t.address = r.address AND t.coin = r.coin AND t.trip = r.trip GROUP BY t.address""",
     "avg_cost": "SELECT address, coin, trip, day, ok, ln, sk, pk, leg, round(cost + 1e-7, 3) AS avg_cost FROM {costs} WHERE after_q <> 0",
     "d_r1_martingale": """
         SELECT address, count(*) AS n_trips, SUMI(CASE WHEN share > $underwater_share AND multiple >= $size_multiple THEN 1 ELSE 0 END) AS n_martingale,
@@ -67,14 +76,18 @@ QUERIES = {
           CASE WHEN count(*) >= $edge_losses AND avg(CASE WHEN DAYNUM(MONTHDATE(MONTHNUM(DAYDATE(close_day)))) + $edge_days > close_day THEN 1.0 ELSE 0.0 END) > $edge_share THEN 'FLAG' ELSE 'PASS' END AS severity
         FROM {closed_trips} WHERE net_u < 0 GROUP BY address""",
     "d_c2": """
-        SELECT address, round(top1_u / nullif(net_u, 0), 6) AS top1_share, CASE WHEN net_u <= 0 OR top5_u > $top5_share * net_u THEN 'VETO' ELSE 'PASS' END AS severity FROM (
-          SELECT address, SUMI(net_u) AS net_u, SUMI(CASE WHEN k = 1 AND net_u > 0 THEN net_u ELSE 0 END) AS top1_u, SUMI(CASE WHEN k <= 5 AND net_u > 0 THEN net_u ELSE 0 END) AS top5_u
-          FROM (SELECT address, net_u, row_number() OVER (PARTITION BY address ORDER BY net_u DESC, coin, trip) AS k FROM {closed_trips}) r GROUP BY address) t""",
-    # a coin's volume up to each day, so that a trip's whole volume is one difference
+        SELECT t.address, round(top1_u / nullif(t.net_u, 0), 6) AS top1_share, round(top5_u / nullif(t.net_u, 0), 6) AS top5_share, round(c.best_u / nullif(t.net_u, 0), 6) AS top_coin_share, round(m.best_u / nullif(m.net_u, 0), 6) AS best_month_share, round(t.gini, 6) AS gini,
+          CASE WHEN t.net_u <= 0 OR top5_u > $top5_share * t.net_u OR m.net_u <= 0 OR m.best_u > $month_share * m.net_u THEN 'VETO' ELSE 'PASS' END AS severity
+        FROM (SELECT address, SUMI(net_u) AS net_u, SUMI(CASE WHEN k = 1 AND net_u > 0 THEN net_u ELSE 0 END) AS top1_u, SUMI(CASE WHEN k <= 5 AND net_u > 0 THEN net_u ELSE 0 END) AS top5_u,
+            sum(CASE WHEN net_u > 0 THEN (won - 2 * k + 1) * (net_u / 1e6) END) / nullif(max(won) * sum(CASE WHEN net_u > 0 THEN net_u / 1e6 END), 0) AS gini
+          FROM (SELECT address, net_u, row_number() OVER (PARTITION BY address ORDER BY net_u DESC, coin, trip) AS k, count(CASE WHEN net_u > 0 THEN 1 END) OVER (PARTITION BY address) AS won FROM {closed_trips}) r GROUP BY address) t
+        JOIN (SELECT address, max(net_u) AS best_u FROM (SELECT address, coin, SUMI(net_u) AS net_u FROM {closed_trips} GROUP BY address, coin) x GROUP BY address) c ON t.address = c.address
+        JOIN (SELECT address, max(net_u) AS best_u, SUMI(net_u) AS net_u FROM {months} GROUP BY address) m ON t.address = m.address""",
+    # a coin's volume up to each day, so that a trip's whole volume is one difference; only coins of little volume a day can be moved
     "d_c3_impact": """
         SELECT address, round(impact_u / nullif(won_u, 0), 6) AS impact_share, CASE WHEN impact_u > $impact_pnl * won_u THEN 'VETO' ELSE 'PASS' END AS severity FROM (
-          SELECT address, SUMI(CASE WHEN net_u > 0 THEN net_u ELSE 0 END) AS won_u, SUMI(CASE WHEN net_u > 0 AND own_u > $impact_share * volume_u THEN net_u ELSE 0 END) AS impact_u FROM (
-            SELECT t.address, t.net_u, t.traded_u AS own_u, b.upto_u - a.before_u AS volume_u FROM {closed_trips} t JOIN {volumes} a ON t.coin = a.coin AND t.open_day = a.day JOIN {volumes} b ON t.coin = b.coin AND t.close_day = b.day) v GROUP BY address) s""",
+          SELECT address, SUMI(CASE WHEN net_u > 0 THEN net_u ELSE 0 END) AS won_u, SUMI(CASE WHEN net_u > 0 AND own_u > $impact_share * volume_u AND volume_u < $thin_volume * 1e6 * days THEN net_u ELSE 0 END) AS impact_u FROM (
+            SELECT t.address, t.net_u, t.traded_u AS own_u, b.upto_u - a.before_u AS volume_u, t.hold + 1 AS days FROM {closed_trips} t JOIN {volumes} a ON t.coin = a.coin AND t.open_day = a.day JOIN {volumes} b ON t.coin = b.coin AND t.close_day = b.day) v GROUP BY address) s""",
     "d_c4": "SELECT address, SUMI(CASE WHEN flag = 'A' THEN pnl_u ELSE 0 END) / 1e6 AS adl_pnl, SUMI(CASE WHEN flag = 'A' THEN 0 ELSE pnl_u END) / 1e6 AS own_pnl, 'INFO' AS severity FROM {fills} GROUP BY address",
     "d_c5": """
         SELECT s.address, round(abs(f.funding_u) / nullif(abs(s.net_u), 0), 6) AS funding_share, CASE WHEN abs(f.funding_u) > $funding_share * abs(s.net_u) AND s.median_hold >= 1 THEN 'FLAG' ELSE 'PASS' END AS severity
@@ -91,17 +104,28 @@ QUERIES = {
             WINDOW before AS (PARTITION BY address ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND $event_days PRECEDING)) c GROUP BY address) s""",
     "maker_share": "SELECT address, count(*) AS n_fills, round(avg(CASE WHEN crossed THEN 0.0 ELSE 1.0 END), 6) AS maker_share FROM {fills} GROUP BY address",
     "d_b1": """
-        SELECT f.address, round(f.maker, 6) AS maker_share, round(f.per_day, 6) AS trades_per_day, CASE WHEN f.maker > $maker_max OR f.per_day > $trades_per_day OR s.avg_hold * 86400 < $avg_hold_s THEN 'VETO' ELSE 'PASS' END AS severity
-        FROM (SELECT address, avg(CASE WHEN crossed THEN 0.0 ELSE 1.0 END) AS maker, count(*) / count(DISTINCT day) AS per_day FROM {fills} GROUP BY address) f JOIN {trip_stats} s ON f.address = s.address""",
+        SELECT f.address, round(f.maker, 6) AS maker_share, round(f.per_day, 6) AS trades_per_day, coalesce(g.legs, 0) AS open_legs,
+          CASE WHEN f.maker > $maker_max OR f.per_day > $trades_per_day OR s.avg_hold * 86400 < $avg_hold_s OR coalesce(g.legs, 0) > $legs_max THEN 'VETO' ELSE 'PASS' END AS severity
+        FROM (SELECT address, avg(CASE WHEN crossed THEN 0.0 ELSE 1.0 END) AS maker, count(*) / count(DISTINCT day) AS per_day FROM {fills} GROUP BY address) f JOIN {trip_stats} s ON f.address = s.address
+        LEFT JOIN {most_legs} g ON f.address = g.address""",
     "d_b6": "SELECT address, round(twap, 6) AS twap_share, CASE WHEN twap > $twap_share THEN 'FLAG' ELSE 'PASS' END AS severity FROM (SELECT address, SUMI(CASE WHEN ln = 7 OR ln = 6 OR ln = 5 THEN notional_u ELSE 0 END) / SUMI(notional_u) AS twap FROM {fills} GROUP BY address) t",
     "twap_stats": "SELECT CASE WHEN ln >= 5 THEN 'twap' ELSE 'plain' END AS kind, flag AS status, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY CASE WHEN ln >= 5 THEN 'twap' ELSE 'plain' END) AS BIGINT), 6) AS share FROM {fills} GROUP BY CASE WHEN ln >= 5 THEN 'twap' ELSE 'plain' END, flag",
     "fill_profile": """
         SELECT f.address, round(f.buys, 6) AS buy_share, round(c.best / f.volume_u, 6) AS top_coin_volume_share, c.coin AS top_coin, round(f.net_u / f.volume_u, 6) AS net_to_volume, round(f.volume_u / 1e6 / f.n + 1e-9, 6) AS avg_ticket, round(g.gap, 6) AS median_gap
         FROM (SELECT address, count(*) AS n, avg(CASE WHEN dq > 0 THEN 1.0 ELSE 0.0 END) AS buys, SUMI(notional_u) AS volume_u, SUMI(pnl_u - fee_u) AS net_u FROM {fills} GROUP BY address) f
-        JOIN (SELECT address, max(volume_u) AS best, max_by(coin, volume_u) AS coin FROM (SELECT address, coin, SUMI(notional_u) AS volume_u FROM {fills} GROUP BY address, coin) v GROUP BY address) c ON f.address = c.address
+        JOIN (SELECT address, volume_u AS best, coin FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY volume_u DESC, coin) AS k FROM (SELECT address, coin, SUMI(notional_u) AS volume_u FROM {fills} GROUP BY address, coin) v) r WHERE k = 1) c ON f.address = c.address
         LEFT JOIN (SELECT address, median(gap) AS gap FROM {day_gaps} GROUP BY address) g ON f.address = g.address""",
     "direction_bias": "SELECT address, SUMI(CASE WHEN dq > 0 THEN notional_u ELSE 0 END) / 1e6 AS bought, SUMI(CASE WHEN dq < 0 THEN notional_u ELSE 0 END) / 1e6 AS sold, round(SUMI(CASE WHEN dq > 0 THEN notional_u ELSE -notional_u END) / SUMI(notional_u), 6) AS bias FROM {fills} GROUP BY address",
-    "min_copy_capital": "SELECT f.address, round(max($copy_ticket * e.equity_u / f.notional_u), 4) AS min_copy_capital FROM {fills} f JOIN {equity} e ON f.address = e.address AND f.day = e.day GROUP BY f.address",
+    # by what kind of account and how much it holds
+    "cohort_bias": """
+        SELECT r.role, CASE WHEN b.value_u >= 5000000000 THEN 'large' WHEN b.value_u >= 0 THEN 'middle' ELSE 'negative' END AS size, count(DISTINCT f.address) AS addresses, round(SUMI(CASE WHEN f.dq > 0 THEN f.notional_u ELSE -f.notional_u END) / SUMI(f.notional_u), 6) AS bias
+        FROM {fills} f JOIN {registry} r ON f.address = r.address JOIN {board} b ON f.address = b.address GROUP BY r.role, CASE WHEN b.value_u >= 5000000000 THEN 'large' WHEN b.value_u >= 0 THEN 'middle' ELSE 'negative' END""",
+    # what is open at the end of the data, at the coin's last mark: the largest of each coin
+    "largest_positions": """
+        SELECT coin, place, address, q, notional_u / 1e6 AS notional FROM (
+          SELECT b.coin, b.address, b.q, abs(b.q) * m.vwap_u AS notional_u, row_number() OVER (PARTITION BY b.coin ORDER BY abs(b.q) * m.vwap_u DESC, b.address) AS place
+          FROM {open_books} b JOIN {last_day} d ON b.until > d.last JOIN {daily_marks} m ON b.coin = m.coin AND m.day = d.last) r WHERE place <= $largest""",
+    "min_copy_capital": "SELECT address, round(need, 4) AS min_copy_capital FROM {copy_needs}",
     "anomaly_flags": """
         SELECT s.address, CASE WHEN s.net_u / nullif(r.max_dd * d.top_u, 0) > 1000 THEN 'recovery' WHEN s.win_rate > 1 THEN 'win_rate' WHEN r.max_dd > 1 THEN 'drawdown' ELSE 'none' END AS anomaly
         FROM {trip_stats} s JOIN {risk} r ON s.address = r.address JOIN {day_stats} d ON s.address = d.address""",
@@ -131,6 +155,13 @@ VIEWS = {
     "loser_moves": """
         SELECT t.address, t.coin, t.trip, max(-t.net_u) AS loss_u, max(greatest(0, CASE WHEN t.side = 'long' THEN DIV(t.in_u, t.in_q) - m.low_u ELSE m.high_u - DIV(t.in_u, t.in_q) END)) AS mae_u
         FROM {trip_blocks} t JOIN {mark_blocks} m ON t.coin = m.coin AND t.block = m.block AND m.day BETWEEN t.open_day AND t.close_day WHERE t.net_u < 0 GROUP BY t.address, t.coin, t.trip""",
+    # orders that stood before the market reached them
+    "trigger_orders": "SELECT DISTINCT id AS ok FROM {flows} WHERE priority = '1-URGENT'",
+    # the most coins open at the end of one day
+    "most_legs": """
+        SELECT address, max(legs) AS legs FROM (SELECT address, day, CAST(sum(d) OVER (PARTITION BY address ORDER BY day) AS BIGINT) AS legs FROM (
+          SELECT address, day, SUMI(d) AS d FROM (SELECT address, day, 1 AS d FROM {open_books} UNION ALL SELECT address, until, -1 FROM {open_books}) u GROUP BY address, day) s) g GROUP BY address""",
+    "copy_needs": "SELECT f.address, max($copy_ticket * e.equity_u / f.notional_u) AS need FROM {fills} f JOIN {equity} e ON f.address = e.address AND f.day = e.day GROUP BY f.address",
     "volumes": "SELECT coin, day, upto_u, upto_u - volume_u AS before_u FROM (SELECT coin, day, volume_u, CAST(sum(volume_u) OVER (PARTITION BY coin ORDER BY day) AS BIGINT) AS upto_u FROM {marks}) v",
 }
 

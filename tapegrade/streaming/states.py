@@ -32,7 +32,8 @@ def feed(actions: DataFrame, k: str = "k") -> DataFrame:
     kind = F.lit(KINDS[-1][1])
     for upto, name in reversed(KINDS[:-1]):
         kind = F.when(F.col(k) < upto, name).otherwise(kind)
-    return actions.select("id", "address", "ts", "coin", "side", F.unix_micros("ts").alias("us"), kind.alias("kind"), F.col("value").cast("double").alias("price"), (F.col("value") * 4).cast("double").alias("amount"))
+    more = [c for c in ("partner",) if c in actions.columns]
+    return actions.select("id", "address", "ts", "coin", "side", F.unix_micros("ts").alias("us"), kind.alias("kind"), F.col("value").cast("double").alias("price"), (F.col("value") * 4).cast("double").alias("amount"), *more)
 
 
 @dataclass(frozen=True)
@@ -150,15 +151,17 @@ def replay(machine, rows: Iterable[dict], state: dict | None = None, upto: int |
 
 
 class Ordered(StatefulProcessor):
-    """Runs a machine over the rows of a key in order, behind the watermark."""
+    """Runs a machine over the rows of a key in order, behind the watermark. ``held`` are the columns that a row keeps while it waits, id and us first."""
 
-    def __init__(self, machine, name):
-        self.machine, self.name = machine, name
+    def __init__(self, machine, name, held=HELD):
+        self.machine, self.name, self.schema = machine, name, held
+        self.fields = [c.split()[0] for c in held.split(", ")]
+        self.types = [{"long": int, "int": int, "double": float, "string": str, "boolean": bool}[c.split()[1]] for c in held.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "json string, timer long")
-        self.held = handle.getListState("held", HELD)
+        self.held = handle.getListState("held", self.schema)
 
     def _timer(self, old: int | None, us: int | None) -> int | None:
         # the first whole millisecond by which ``us`` has passed
@@ -179,8 +182,8 @@ class Ordered(StatefulProcessor):
         state, timer = self._now()
         first = None
         for batch in rows:
-            for r in batch[["id", "us", "kind", "side", "price", "amount"]].itertuples(index=False):
-                self.held.appendValue((int(r[0]), int(r[1]), r[2], int(r[3]), float(r[4]), float(r[5])))
+            for r in batch[self.fields].itertuples(index=False):
+                self.held.appendValue(tuple(cast(v) for cast, v in zip(self.types, r)))
                 first = int(r[1]) if first is None else min(first, int(r[1]))
         if first is not None and (timer is None or first // 1000 + 1 < timer):
             timer = self._timer(timer, first)
@@ -192,8 +195,7 @@ class Ordered(StatefulProcessor):
         state, _ = self._now()
         held = sorted(self.held.get(), key=lambda r: (r[1], r[0])) if self.held.exists() else []
         ready, later = [r for r in held if r[1] < upto], [r for r in held if r[1] >= upto]
-        names = ("id", "us", "kind", "side", "price", "amount")
-        s, events = replay(self.machine, [dict(zip(names, r)) for r in ready], json.loads(state) if state else None, upto)
+        s, events = replay(self.machine, [dict(zip(self.fields, r)) for r in ready], json.loads(state) if state else None, upto)
         due = min([x for x in (self.machine.deadline(s), later[0][1] if later else None) if x is not None], default=None)
         if later:
             self.held.put([tuple(r) for r in later])
@@ -210,7 +212,8 @@ class Ordered(StatefulProcessor):
         pass
 
 
-def _run(stream: DataFrame, keys: list[str], machine, name, schema: str) -> DataFrame:
+def run(stream: DataFrame, keys: list[str], machine, name, schema: str, held: str = HELD) -> DataFrame:
+    """A machine over each key of a stream; ``name`` makes the output row of a key and an event."""
     ship(stream.sparkSession)
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -221,20 +224,20 @@ def _run(stream: DataFrame, keys: list[str], machine, name, schema: str) -> Data
                     df.columns = names
                     yield df
 
-    return stream.withWatermark("ts", LATENESS).groupBy(*keys).transformWithStateInPandas(Named(machine, name), schema, "append", "eventTime")
+    return stream.withWatermark("ts", LATENESS).groupBy(*keys).transformWithStateInPandas(Named(machine, name, held), schema, "append", "eventTime")
 
 
 def position_states(stream: DataFrame, machine: Positions = Positions()) -> DataFrame:
     """Events of every address and coin of a live feed."""
-    return _run(stream, ["address", "coin"], machine, lambda key, e: (int(e[0]), int(key[0]), key[1], int(e[1]), e[2], int(e[3]), int(e[4]), float(e[5])), EVENTS)
+    return run(stream, ["address", "coin"], machine, lambda key, e: (int(e[0]), int(key[0]), key[1], int(e[1]), e[2], int(e[3]), int(e[4]), float(e[5])), EVENTS)
 
 
 def forward_alerts(stream: DataFrame, machine: Forward = Forward()) -> DataFrame:
-    return _run(stream, ["address"], machine, lambda key, e: (str(key[0]), int(e[0]), e[1]), ALERTS)
+    return run(stream, ["address"], machine, lambda key, e: (str(key[0]), int(e[0]), e[1]), ALERTS)
 
 
 def silence_alerts(stream: DataFrame, machine: Silence = Silence()) -> DataFrame:
-    return _run(stream, ["coin"], machine, lambda key, e: (str(key[0]), int(e[0]), e[1]), ALERTS)
+    return run(stream, ["coin"], machine, lambda key, e: (str(key[0]), int(e[0]), e[1]), ALERTS)
 
 
 def stored_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
