@@ -30,7 +30,7 @@ QUERIES = {
           SELECT 'node_fills_by_block', address, notional_u, fee_u FROM {fills} WHERE day >= 9800) u GROUP BY shape""",
     "extract_identifiers": """
         SELECT kind, lower(name) AS name, SUMI(CASE WHEN source = 'pages' THEN 1 ELSE 0 END) AS in_pages, SUMI(CASE WHEN source = 'documents' THEN 1 ELSE 0 END) AS in_documents FROM (
-          SELECT source, 'host' AS kind, FOUND(body, '://([a-zA-Z0-9.:-]+)') AS name FROM {texts} UNION ALL SELECT source, 'address', FOUND(body, '(0x[a-fA-F0-9]{{40}})') FROM {texts}) t GROUP BY kind, lower(name)""",
+          SELECT source, 'host' AS kind, FOUND(body, '://([a-zA-Z0-9.:-]+)') AS name FROM {texts} UNION ALL SELECT source, 'address', FOUND(body, '(0x<digits>)') FROM {texts}) t GROUP BY kind, lower(name)""",
     "gaps": "SELECT address, max(gap) AS longest_gap, SUMI(CASE WHEN gap > $longest_gap THEN 1 ELSE 0 END) AS long_gaps, round(median(gap), 6) AS median_gap FROM {day_gaps} GROUP BY address",
     "weekly_coverage": """
         SELECT w.address, count(*) AS weeks, round(avg(CASE WHEN coalesce(k.days, 0) >= $week_days THEN 1.0 ELSE 0.0 END), 6) AS coverage
@@ -76,6 +76,7 @@ QUERIES = {
     "watch_top10": "SELECT address, net_all / 1e6 AS net FROM {board} ORDER BY net_all DESC, address LIMIT 10",
     "window_wins": "SELECT address, CASE WHEN pnl_1 > 0 THEN 1 ELSE 0 END + CASE WHEN pnl_7 > 0 THEN 1 ELSE 0 END + CASE WHEN pnl_30 > 0 THEN 1 ELSE 0 END + CASE WHEN pnl_all > 0 THEN 1 ELSE 0 END AS wins FROM {board}",
 }
+QUERIES["extract_identifiers"] = QUERIES["extract_identifiers"].replace("<digits>", "[a-fA-F0-9]" * 40)
 
 VIEWS = {
     "texts": "SELECT 'pages' AS source, url AS body FROM {pages} UNION ALL SELECT 'documents', text FROM {documents}",
