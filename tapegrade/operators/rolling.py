@@ -3,7 +3,7 @@
 The worst fall inside a period cannot be slid: a value that leaves may have been its peak. But stretches of a series merge: with the highest and
 lowest level and the worst fall of two neighbouring stretches, those of both together are known. Time is cut into blocks as long as the
 period, so a period is a tail of one block and a head of the next. Heads and tails of all rows are running summaries within blocks,
-which are plain windows, and each period is one merge.
+which are plain windows (tails run backwards: a frame that ends with the block would be read anew for each row), and each period is one merge.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def rolling_periods(df: DataFrame, keys: list[str], at: str, days: int, growth:
     rows = rows.withColumn("_level", F.sum("_g").over(up)).withColumn("_block", F.floor(F.col(at) / days)).withColumn("_k", F.row_number().over(by)).withColumn("_first", F.min(at).over(up))
     rows = rows.withColumns({f"_to_{name}": F.sum(name).over(up) for name in sums}).withColumn("_before", F.col("_level") - F.col("_g"))
     block = W.partitionBy(*keys, "_block").orderBy(at)
-    head, tail = block.rowsBetween(W.unboundedPreceding, 0), block.rowsBetween(0, W.unboundedFollowing)
+    head, tail = block.rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*keys, "_block").orderBy(F.desc(at)).rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumns({
         "_head_low": F.min("_level").over(head), "_head_gap": F.max("_level").over(head) - F.col("_level"), "_head_from": F.first("_before").over(head),
         "_tail_high": F.greatest("_before", F.max("_level").over(tail)), "_tail_low": F.min("_level").over(tail),
