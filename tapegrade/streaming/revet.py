@@ -130,8 +130,8 @@ def revet_alerts(stream: DataFrame, machine: Watch = Watch()) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Envelopes (worst drawdown, median hold in seconds) and links of the stored tables."""
-    t = Frames(spark, sf_dir, VIEWS | links.VIEWS)
+    """Envelopes (worst drawdown, median hold in seconds) and links of the stored tables, written once: micro-batches read small tables instead of making them again."""
+    t = Frames(spark, sf_dir, VIEWS | links.VIEWS).keep(("risk", "trip_stats", "link_edges"))
     envelope = t["risk"].join(t["trip_stats"], "address", "left").select("address", F.col("max_dd").alias("worst"), (F.col("median_hold") * 86400.0).alias("hold"))
     return envelope, t["link_edges"]
 
