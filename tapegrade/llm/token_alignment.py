@@ -88,9 +88,9 @@ class Rows:
 
 
 class Aligner:
-    """Both tokenizers, and the segments met so far."""
+    """Both tokenizers, and the segments met so far. In the text of groups, ``sides`` parts a group's ids of A from those of B, ``between`` parts groups."""
 
-    def __init__(self, byte_level: str, pieces: str):
+    def __init__(self, byte_level: str, pieces: str, sides: str = ";", between: str = "|"):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -108,8 +108,9 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.size_b))]
         self.length_a, self.length_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
         # each id as text, followed by a comma or by what ends its side of a group
-        self.text_a = [f"{i}{end}" for i in range(self.size_a) for end in ",;"]
-        self.text_b = [f"{i}{end}" for i in range(self.size_b) for end in (",", "|", "")]
+        self.text_a = [f"{i}{end}" for i in range(self.size_a) for end in (",", sides)]
+        self.text_b = [f"{i}{end}" for i in range(self.size_b) for end in (",", between, "")]
+        self.between = between
         plain = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
         crossing = any(MARK in self.b.id_to_piece(i).lstrip(MARK) for i in range(self.size_b) if not self.b.is_control(i))
         self.segments = SEGMENT.findall if plain and not crossing else lambda text: [text]
@@ -201,7 +202,7 @@ class Aligner:
         rows, size = self.rows, len(texts)
         n_a, n_b, n_groups = (np.bincount(doc, rows.sizes[row, c], size).astype(np.int64) for c in range(3))
         edge, of = np.searchsorted(doc, np.arange(size + 1)).tolist(), row.tolist()
-        said = ["|".join(map(rows.said.__getitem__, of[x:y])) for x, y in zip(edge[:-1], edge[1:])]
+        said = [self.between.join(map(rows.said.__getitem__, of[x:y])) for x, y in zip(edge[:-1], edge[1:])]
         # a segment's pairs once a document, with how often it has the segment
         seg, times = np.unique(doc * rows.n + row, return_counts=True)
         of_doc, of_row = seg // rows.n, seg % rows.n
@@ -222,18 +223,19 @@ class Aligner:
 
 
 #: The aligner of this worker, by its files; other work drops it.
-_aligners: dict[tuple[str, str], Aligner] = HELD.setdefault("token_alignment", {})
+_aligners: dict[tuple[str, ...], Aligner] = HELD.setdefault("token_alignment", {})
 
 
-def aligned_documents(docs: DataFrame, byte_level: str, pieces: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def aligned_documents(docs: DataFrame, byte_level: str, pieces: str, doc_id: str = "doc_id", text: str = "text", sides: str = ";", between: str = "|") -> DataFrame:
     """One row a document: a number of its own, its digest columns, and its distinct id pairs with their occurrences; saved."""
     prepare(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         release("token_alignment")
-        if (byte_level, pieces) not in _aligners:
-            _aligners[byte_level, pieces] = Aligner(byte_level, pieces)
-        aligner = _aligners[byte_level, pieces]
+        key = (byte_level, pieces, sides, between)
+        if key not in _aligners:
+            _aligners[key] = Aligner(*key)
+        aligner = _aligners[key]
         try:
             for frame in frames:
                 out = aligner.documents([t if isinstance(t, str) else None for t in frame["text"]])
@@ -258,7 +260,7 @@ def pair_counts(aligned: DataFrame, size_b: int) -> DataFrame:
 
 
 def align(docs: DataFrame, byte_level: str, pieces: str, **names) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row."""
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row; ``names`` are the columns and separators of ``aligned_documents``."""
     import sentencepiece
 
     size_b = sentencepiece.SentencePieceProcessor(model_file=pieces).get_piece_size()
