@@ -11,6 +11,7 @@ import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,6 +135,11 @@ class Silence:
         s["told"] = True
         return [(us, "silence")], False
 
+    def thin(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """The first and the last row of each stretch of ``seconds``: rows between them are closer to both than any pause that is told."""
+        by = rows.groupby(rows["us"] // (self.seconds * 1_000_000))["us"]
+        return rows.loc[np.union1d(by.idxmin(), by.idxmax())]
+
 
 def replay(machine, rows: Iterable[dict], state: dict | None = None, upto: int | None = None) -> tuple[dict | None, list[tuple]]:
     """State and events of ordered rows of one key, deadlines between them included, up to a time."""
@@ -151,7 +157,10 @@ def replay(machine, rows: Iterable[dict], state: dict | None = None, upto: int |
 
 
 class Ordered(StatefulProcessor):
-    """Runs a machine over the rows of a key in order, behind the watermark. ``held`` are the columns that a row keeps while it waits, id and us first."""
+    """Runs a machine over the rows of a key in order, behind the watermark. ``held`` are the columns that a row keeps while it waits, id and us first.
+
+    The rows of a key are held by one call a micro-batch. A machine with ``thin`` names those that it needs to see, so a key of many rows holds few of them.
+    """
 
     def __init__(self, machine, name, held=HELD):
         self.machine, self.name, self.schema = machine, name, held
@@ -180,11 +189,15 @@ class Ordered(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state, timer = self._now()
-        first = None
+        first, kept, thin = None, [], getattr(self.machine, "thin", None)
         for batch in rows:
-            for r in batch[self.fields].itertuples(index=False):
-                self.held.appendValue(tuple(cast(v) for cast, v in zip(self.types, r)))
-                first = int(r[1]) if first is None else min(first, int(r[1]))
+            batch = batch[self.fields]
+            if len(batch):
+                first = min(int(batch["us"].min()), first) if first is not None else int(batch["us"].min())
+            kept = [thin(pd.concat([*kept, batch], ignore_index=True))] if thin else [*kept, batch]
+        new = [tuple(cast(v) for cast, v in zip(self.types, r)) for batch in kept for r in batch.itertuples(index=False)]
+        if new:
+            self.held.appendList(new)
         if first is not None and (timer is None or first // 1000 + 1 < timer):
             timer = self._timer(timer, first)
         self.state.update((state, timer))
