@@ -37,7 +37,7 @@ from .common import HELD, prepare, release
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Cuts remembered by one worker, and the longest one remembered.
-MEMORY, LONGEST = 300_000, 64
+MEMORY, LONGEST = 100_000, 64
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 

@@ -384,3 +384,11 @@ def test_other_work_drops_the_encoder():
     assert bpe_pieces.encoder(model()) is e
     assert list(common.lean(lambda batches: batches)(iter([1, 2]))) == [1, 2]
     assert not bpe_pieces._encoders and not common._powers
+
+
+def test_remembered_cuts_stay_few():
+    draw = random.Random(3)
+    e = bpe_pieces.Encoder(model())
+    for _ in range(13):
+        e.memory.learn({"▁" + "".join(draw.choices("abcdefghijklmnopqrst", k=9)) for _ in range(8_000)})
+    assert 0 < len(e.memory) <= 100_000
