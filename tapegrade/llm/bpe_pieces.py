@@ -10,8 +10,9 @@ Pair checks re-merge two pieces once and are remembered.
 
 Characters outside the vocabulary become byte pieces and split the text, as no merge crosses them. The
 space mark only starts pieces (or fills them), so no merge crosses from another character to a
-space mark either; the text is cut there, and the encoding of each cut, mostly one word, is remembered
-in a bounded table. The new cuts of a batch go through the same walk in lockstep (``Lockstep``): the automaton's
+space mark either; the text is cut there (and around line feeds, where they are outside the vocabulary), and the encoding of
+each cut, mostly one word, is remembered in two bounded tables: when the newer one is full it becomes the older one, and cuts
+that are met again move to the newer. The new cuts of a slice of text go through the same walk in lockstep (``Lockstep``): the automaton's
 goto table, the pair checks and the bitfields are arrays, and each step moves all cuts on by one try. Cuts with
 rare characters, or of more than 64, take the walk one by one. Whole texts are encoded, whatever their length.
 
@@ -32,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import HELD, prepare, release
+from .common import HELD, prepare, release, slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Cuts remembered by one worker, and the longest one remembered.
+#: Cuts remembered by one worker in each of two tables, and the longest one remembered.
 MEMORY, LONGEST = 100_000, 64
+#: Checked pairs remembered beside those of ``Lockstep``; bytes of text whose cuts are held at once; cuts that are learned at once.
+PAIRS, SLICE, LEARNED = 1 << 17, 1 << 18, 20_000
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
@@ -54,33 +57,55 @@ def read_model(path: str) -> tuple[list[tuple[str, float, int]], dict]:
 
 
 class Memory(dict):
-    """By cut: its ids, the same as text, what they decode to inside a text, and their number."""
+    """By cut: its ids as text, joined by commas. No more than ``MEMORY`` cuts, and as many older ones."""
 
     def __init__(self, encoder):
         super().__init__()
         self.encoder = encoder
+        self.older: dict[str, str] = {}
+
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}
+
+    def _make_room(self, cuts: int) -> None:
+        if len(self) + cuts > MEMORY:
+            self.older = dict(self)
+            super().clear()
 
     def learn(self, cuts: set[str]) -> None:
-        """Takes in the new ones of ``cuts``, in lockstep where that is possible."""
+        """Takes in the new ones of at most ``MEMORY`` cuts, in lockstep where that is possible."""
         e = self.encoder
-        if len(self) + len(cuts) > MEMORY:
-            self.clear()
-        new = [c for c in cuts - self.keys() if len(c) <= LONGEST and e.lockstep.chars.issuperset(c)]
-        shown, plain = e.shown, e.plain
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
+        self._make_room(len(cuts - self.keys()))
+        new = []
+        for c in cuts - self.keys():
+            if (found := self.older.get(c)) is not None:
+                self[c] = found
+            elif len(c) <= LONGEST and e.lockstep.chars.issuperset(c):
+                new.append(c)
+        for k in range(0, len(new), LEARNED):
+            part = new[k : k + LEARNED]
             for cut, ids in zip(part, e.lockstep.encode(part)):
-                self[cut] = ids, ",".join([shown[i] for i in ids]), "".join([plain[i] for i in ids]), len(ids)
+                self[cut] = ",".join([e.shown[i] for i in ids])
 
-    def __missing__(self, cut: str) -> tuple[list[int], str, str, int]:
-        ids = self.encoder.cut_ids(cut)
-        found = ids, ",".join(map(str, ids)), self.encoder.decode(ids, opens=False), len(ids)
+    def __missing__(self, cut: str) -> str:
+        found = self.older.get(cut)
+        if found is None:
+            found = ",".join(map(str, self.encoder.cut_ids(cut)))
         if len(cut) <= LONGEST:
-            if len(self) >= MEMORY:
-                self.clear()
+            self._make_room(1)
             self[cut] = found
         return found
 
+    def of(self, cuts: list[str]) -> list[str]:
+        """The ids of each cut, in order; no more cuts are learned at once than are held."""
+        out: list[str] = []
+        for k in range(0, len(cuts), MEMORY):
+            part = cuts[k : k + MEMORY]
+            self.learn(set(part))
+            out += [self[c] for c in part]
+        return out
+
 
 class Encoder:
     def __init__(self, path: str):
@@ -93,7 +118,8 @@ class Encoder:
         self.score = [s for _, s, _ in self.pieces]
         crossing = [p for p in self.ids if MARK in p.lstrip(MARK)]
         # a cut before each run of marks is safe only if no piece crosses it
-        self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if not crossing else None
+        # line feeds outside the vocabulary split the text in any case, so words beside them are cuts of their own
+        self.cut = None if crossing else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if any("\n" in p for p in self.ids) else f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
         self.compatible: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         self.shorter: dict[int, tuple[int, ...]] = {}
@@ -110,6 +136,8 @@ class Encoder:
         self.known = {p for p in self.ids if len(p) == 1}
         self.plain = [p.replace(MARK, " ") for p, _, _ in self.pieces]
         self.shown = [str(i) for i in range(len(self.pieces))]
+        # what ids say by themselves: plain pieces, and bytes of ASCII, which are never part of a longer sequence
+        self.read = dict(zip(self.shown[self.ordinary :], self.plain[self.ordinary :])) | {self.shown[i]: chr(b) for i, b in self.byte_of.items() if b < 128}
         self.lockstep = Lockstep(self)
         self.memory = Memory(self)
 
@@ -145,6 +173,8 @@ class Encoder:
         key = a * len(self.pieces) + b
         found = self.compatible.get(key)
         if found is None:
+            if len(self.compatible) >= PAIRS:
+                self.compatible.clear()
             found = self.compatible[key] = self.merge(self.pieces[a][0] + self.pieces[b][0]) == [a, b]
         return found
 
@@ -210,15 +240,32 @@ class Encoder:
         return self.cut.findall(text) if self.cut else [text] if text else []
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for c in self.cuts(text or "") for i in self.memory[c][0]]
+        return [int(i) for said in self.memory.of(self.cuts(text or "")) for i in said.split(",")]
 
-    def decode(self, ids, opens: bool = True) -> str:
+    def encode_each(self, batch: pa.RecordBatch):
+        """The ids of each text of a batch, as text joined by commas, a slice of the texts at a time."""
+        for part in slices(batch, "text", SLICE):
+            cuts = [self.cuts(t or "") for t in part.column("text").to_pylist()]
+            said = self.memory.of([c for one in cuts for c in one])
+            at = 0
+            for one in cuts:
+                yield ",".join(said[at : at + len(one)])
+                at += len(one)
+
+    def decode_shown(self, said: str) -> str:
+        """Text of ids that are given as text joined by commas."""
+        ids = said.split(",") if said else []
+        try:
+            out = "".join([self.read[i] for i in ids])
+        except KeyError:  # longer sequences of bytes, and pieces of other kinds
+            return self.decode([int(i) for i in ids])
+        return out[1:] if self.spec["dummy"] and ids and self.pieces[int(ids[0])][0].startswith(MARK) else out
+
+    def decode(self, ids) -> str:
         """Text of ids: marks are spaces, the one that opens the text is dropped, runs of byte pieces are UTF-8."""
-        if not opens and (not ids or min(ids) >= self.ordinary):
-            return "".join([self.plain[i] for i in ids])
         out: list[str] = []
         pending = bytearray()
-        first = opens
+        first = True
 
         def flush():
             if pending:
@@ -379,7 +426,6 @@ class Lockstep:
         return [row[:d] for row, d in zip(taken.tolist(), depth.tolist())]
 
 
-EMPTY = hashlib.sha256(b"").hexdigest()
 _encoders: dict[str, Encoder] = HELD.setdefault("bpe_pieces", {})
 
 
@@ -408,11 +454,8 @@ def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text:
     def run(batches):
         with at_work(model) as e:
             for b in batches:
-                ids, texts = b.columns
-                cut = [e.cuts(t or "") for t in texts.to_pylist()]
-                e.memory.learn(set().union(*cut))
-                lists = [[i for c in cuts for i in e.memory[c][0]] for cuts in cut]
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                lists = [np.array(said.split(","), np.int32) if said else [] for said in e.encode_each(b)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -431,28 +474,16 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def round_trips(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes and decodes every row and returns digests of both, without moving the ids between processes.
-
-    A cut holds whole characters, so it decodes by itself; the first one alone loses the mark that opens it.
-    """
+    """Encodes and decodes every row and returns digests of both, without moving the ids between processes."""
     prepare(docs.sparkSession)
 
-    def digests(e: Encoder, cuts: list[str]):
-        memory = e.memory
-        cuts = [memory[c] for c in cuts]
-        if not cuts:
-            return 0, EMPTY, EMPTY
-        _, said, decoded, n = zip(*cuts)
-        decoded = e.decode(cuts[0][0]) + "".join(decoded[1:])
-        return sum(n), hashlib.sha256(",".join(said).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    def digests(e: Encoder, said: str):
+        return said.count(",") + 1 if said else 0, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(e.decode_shown(said).encode()).hexdigest()
 
     def run(batches):
         with at_work(model) as e:
             for b in batches:
-                ids, texts = b.columns
-                cut = [e.cuts(t or "") for t in texts.to_pylist()]
-                e.memory.learn(set().union(*cut))
-                rows = [digests(e, c) for c in cut]
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=SCHEMA.names)
+                rows = [digests(e, said) for said in e.encode_each(b)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=SCHEMA.names)
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, SCHEMA)

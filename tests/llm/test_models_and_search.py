@@ -392,3 +392,20 @@ def test_remembered_cuts_stay_few():
     for _ in range(13):
         e.memory.learn({"▁" + "".join(draw.choices("abcdefghijklmnopqrst", k=9)) for _ in range(8_000)})
     assert 0 < len(e.memory) <= 100_000
+
+
+def test_more_cuts_than_are_remembered_take_no_single_walks():
+    import pyarrow as pa
+    import sentencepiece
+
+    sp, draw = sentencepiece.SentencePieceProcessor(model_file=model()), random.Random(5)
+    words = list({"".join(draw.choices("abcdefghijklmnopqrst", k=8)) for _ in range(120_000)})
+    texts = [" ".join(words[k : k + 1000]) + ".\n" + " ".join(words[:300]) + " é\n\n€uro \u4e16 \n" for k in range(0, len(words), 1000)] + ["", None, "\n", " \n ", "a\n"]
+    e, single = bpe_pieces.Encoder(model()), []
+    alone = e.cut_ids
+    e.cut_ids = lambda cut: single.append(cut) or alone(cut)
+    said = list(e.encode_each(pa.record_batch({"text": pa.array(texts)})))
+    assert len(single) < 1000
+    assert said == [",".join(map(str, sp.encode(t or ""))) for t in texts]
+    assert [e.decode_shown(s) for s in said] == [sp.decode(sp.encode(t or "")) for t in texts]
+    assert len(e.memory) <= 100_000 and len(e.memory.older) <= 100_000 and len(e.compatible) <= 1 << 17
