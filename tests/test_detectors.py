@@ -284,3 +284,15 @@ def test_months_without_a_whole_tape_are_unknown(spark):
     got = {r.month - first: (r.grade, r.coarse) for r in t.sql(catalog.TEXTS["month_grades"]).filter("address = 1").collect()}
     assert got == {0: ("genuine", False), 1: ("unknown", False), 2: ("inactive", False), 3: ("genuine", False)}
     assert t.sql(catalog.TEXTS["known_coverage"]).filter("address = 1").select("active", "unknown", "coverage").first() == (3, 1, 1.0)
+
+
+def test_weights_of_resamples_are_looked_up_and_equal_the_search(monkeypatch):
+    seeds, searched, search = np.concatenate([np.arange(-500, 500), np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 2000)]), [], np.searchsorted
+    with np.errstate(over="ignore"):
+        x = seeds.view(np.uint64)[:, None] + (np.arange(7, 107, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        want = search(statistics._POISSON, (x ^ (x >> np.uint64(31))) / 2.0**64)
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest: searched.append(np.size(v)) or search(a, v, *rest))
+    assert (statistics.resample_weights(seeds, 7, 100) == want).all()
+    assert sum(searched) < want.size // 1000
