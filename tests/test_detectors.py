@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 from itertools import combinations, product
 
@@ -296,3 +297,11 @@ def test_weights_of_resamples_are_looked_up_and_equal_the_search(monkeypatch):
     monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest: searched.append(np.size(v)) or search(a, v, *rest))
     assert (statistics.resample_weights(seeds, 7, 100) == want).all()
     assert sum(searched) < want.size // 1000
+
+
+def test_every_detector_is_in_one_part_and_no_query_holds_them_all():
+    found = [code for text in detectors.PARTS.values() for code in re.findall(r"AS entity, '(D-\w+)' AS code|entity, '(D-\w+)' AS code", text)]
+    found = sorted(a or b for a, b in found)
+    assert found == sorted(d.code for d in detectors.REGISTRY)
+    assert max(text.count("' AS code, severity FROM") for text in detectors.PARTS.values()) < 10
+    assert not any("AS code" in text for text in detectors.PARTS["evidence"].split("UNION ALL"))
