@@ -3,6 +3,7 @@
 import datetime
 import math
 import random
+import re
 from fractions import Fraction
 from statistics import NormalDist
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tapegrade.operators.graph import connected_components
 from tapegrade.operators.joins import asof_join, band_join, islands
-from tapegrade.operators.pairs import shared_moments
+from tapegrade.operators.pairs import shared_moments, shared_sums
 from tapegrade.operators.rolling import rolling_periods
 from tapegrade.plans import catalog, links, statistics
 from tapegrade.plans.dialect import Frames, oracle, translate
@@ -62,6 +63,30 @@ def test_shared_moments_match_brute_force(spark, block):
     assert shared_moments(df.limit(0), "who", ["k"], "at", 1).count() == 0
 
 
+@pytest.mark.parametrize("blocks, chunk", [(None, 1_000), (1, 1), (4, 7), (9, 1_000)])
+def test_shared_sums_match_brute_force(spark, blocks, chunk):
+    """With a key that all act in, days before zero, nulls, large values, and one who acts at every moment, whatever the blocks and chunks."""
+    rng = random.Random(blocks or 0)
+    acted = {w: {(rng.choice("aaaab"), rng.randrange(-70, 70)): rng.choice((0, -3, 5, 1 << 20)) for _ in range(rng.randrange(0, 40))} for w in range(-10, 15)}
+    acted[99] = {(k, at): at for k in "ab" for at in range(-70, 70)}
+    rows = [(w, k, at, v) for w, of in acted.items() for (k, at), v in of.items()]
+    df = spark.createDataFrame(rows + [(None, "a", 1, 1), (3, None, 1, 1), (4, "a", None, 1), (4, "z", 1, None)], "who long, k string, at int, v long")
+    want = {}
+    for a in acted:
+        for b in acted:
+            both = [(acted[a][c], acted[b][c]) for c in acted[a].keys() & acted[b].keys()]
+            if a < b and len(both) >= 3:
+                want[a, b] = (len(both), sum(x for x, _ in both), sum(y for _, y in both), sum(x * x for x, _ in both), sum(y * y for _, y in both), sum(x * y for x, y in both))
+    got = [tuple(r) for r in shared_sums(df, "who", ["k"], "at", "v", 3, chunk=chunk, blocks=blocks).collect()]
+    assert len(got) == len(want) > 40 and {r[:2]: r[2:] for r in got} == want
+    assert shared_sums(df.limit(0), "who", ["k"], "at", "v", 3).count() == 0
+
+
+def test_opposed_pairs_are_not_shuffled(spark, sf):
+    plan, text = catalog.PLANS["anti_corr_pairs"]
+    assert "src" not in " ".join(re.findall(r"Exchange hashpartitioning[(]([^)]*)", plan(catalog.stored(spark, sf, text))._jdf.queryExecution().executedPlan().toString()))
+
+
 def test_opposed_books_by_day(spark, sf):
     """The pairs of a plain self-join on a denser book: two that mirror each other, one that follows, one with two common days."""
     moves = {1: [5, -3, 4, -6, 2], 2: [-5, 3, -4, 6, -2], 3: [5, -2, 4, -6, 3], 4: [-9, 9], 5: [1, 1, 1, 1, 1]}
