@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tapegrade.config import DEFAULT
 from tapegrade.plans import links
 from tapegrade.plans.dialect import Frames
-from tapegrade.streaming.live import drained
+from tapegrade.streaming.live import DEALT, drained
 from tapegrade.streaming.states import DAY, feed, run
 from tapegrade.views import VIEWS
 
@@ -125,8 +125,8 @@ def watched(rows: DataFrame, envelope: DataFrame, known: DataFrame) -> DataFrame
 
 
 def revet_alerts(stream: DataFrame, machine: Watch = Watch()) -> DataFrame:
-    """Triggers of every address of a watched feed."""
-    return run(stream, ["address"], machine, lambda key, e: (int(e[0]), int(key[0]), int(e[1]), e[2], float(e[3]), float(e[4])), TRIGGERS, HELD)
+    """Triggers of every address of a watched feed; addresses are dealt to groups, so that a call takes the rows of many."""
+    return run(stream, ["address"], machine, lambda key, e: (int(e[0]), int(key[0]), int(e[1]), e[2], float(e[3]), float(e[4])), TRIGGERS, HELD, DEALT)
 
 
 def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

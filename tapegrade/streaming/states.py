@@ -225,19 +225,68 @@ class Ordered(StatefulProcessor):
         pass
 
 
-def run(stream: DataFrame, keys: list[str], machine, name, schema: str, held: str = HELD) -> DataFrame:
-    """A machine over each key of a stream; ``name`` makes the output row of a key and an event."""
+class Dealt(Ordered):
+    """Runs a machine over many keys that are dealt to one group: the group's states and held rows are read and written once a call, and its timer stands at the earliest of its keys'.
+
+    ``keys`` (name and type) stand in the held rows, behind ``held``.
+    """
+
+    def __init__(self, machine, name, held, keys: str):
+        super().__init__(machine, name, f"{held}, {keys}")
+        self.width = len(keys.split(", "))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        found, _ = self._now()
+        states = {tuple(k): s for k, s in json.loads(found)} if found else {}
+        ready, later, out, due = {}, [], [], None
+        held = self.held.get() if self.held.exists() else []
+        for r in held:
+            later.append(tuple(r)) if r[1] >= upto else ready.setdefault(tuple(r[-self.width :]), []).append(r)
+        for k in ready.keys() | states.keys():
+            s = states.get(k)
+            at = self.machine.deadline(s) if s else None
+            if k in ready or (at is not None and at < upto):
+                rows = sorted(ready.get(k, ()), key=lambda r: (r[1], r[0]))
+                s, events = replay(self.machine, [dict(zip(self.fields, r)) for r in rows], s, upto)
+                out += [self.name(k, e) for e in events]
+                at = self.machine.deadline(s)
+                states[k] = s
+            due = at if due is None or (at is not None and at < due) else due
+        # a key that says nothing any more begins anew, whether rows of it wait or not
+        states = {k: s for k, s in states.items() if s != self.machine.begin()}
+        first = min((r[1] for r in later), default=None)
+        due = first if due is None or (first is not None and first < due) else due
+        if later:
+            self.held.put(later)
+        elif ready:
+            self.held.clear()
+        if states or later:
+            # the timer that fired is gone
+            self.state.update((json.dumps(list(states.items())), self._timer(None, due)))
+        else:
+            self.state.clear()
+        yield pd.DataFrame(out) if out else pd.DataFrame()
+
+
+def run(stream: DataFrame, keys: list[str], machine, name, schema: str, held: str = HELD, groups: int | None = None) -> DataFrame:
+    """A machine over each key of a stream; ``name`` makes the output row of a key and an event. With ``groups``, keys are dealt to so many, each one state."""
     ship(stream.sparkSession)
     names = [c.split()[0] for c in schema.split(", ")]
+    kinds = ", ".join(f"{k} {stream.schema[k].dataType.simpleString().replace('bigint', 'long')}" for k in keys)
 
-    class Named(Ordered):
+    class Named(Dealt if groups else Ordered):
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             for df in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
                 if len(df):
                     df.columns = names
                     yield df
 
-    return stream.withWatermark("ts", LATENESS).groupBy(*keys).transformWithStateInPandas(Named(machine, name, held), schema, "append", "eventTime")
+    marked = stream.withWatermark("ts", LATENESS)
+    if groups:
+        dealt = marked.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(groups)))
+        return dealt.groupBy("_group").transformWithStateInPandas(Named(machine, name, held, kinds), schema, "append", "eventTime")
+    return marked.groupBy(*keys).transformWithStateInPandas(Named(machine, name, held), schema, "append", "eventTime")
 
 
 def position_states(stream: DataFrame, machine: Positions = Positions()) -> DataFrame:
