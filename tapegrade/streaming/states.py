@@ -228,21 +228,38 @@ class Ordered(StatefulProcessor):
 class Dealt(Ordered):
     """Runs a machine over many keys that are dealt to one group: the group's states and held rows are read and written once a call, and its timer stands at the earliest of its keys'.
 
-    ``keys`` (name and type) stand in the held rows, behind ``held``.
+    Rows wait as columns, one piece a call, as to write each by itself takes longer than all else. ``keys`` (name and type) stand in them behind ``held``.
     """
 
     def __init__(self, machine, name, held, keys: str):
         super().__init__(machine, name, f"{held}, {keys}")
         self.width = len(keys.split(", "))
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "json string, timer long")
+        self.held = handle.getListState("held", "columns string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state, timer = self._now()
+        batches = [b[self.fields] for b in rows if len(b)]
+        if batches:
+            batch = pd.concat(batches, ignore_index=True)
+            first = int(batch["us"].min())
+            self.held.appendList([(json.dumps([batch[c].astype(cast).tolist() for c, cast in zip(self.fields, self.types)]),)])
+            if timer is None or first // 1000 + 1 < timer:
+                timer = self._timer(timer, first)
+        self.state.update((state, timer))
+        return iter([])
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs() * 1000
         found, _ = self._now()
         states = {tuple(k): s for k, s in json.loads(found)} if found else {}
         ready, later, out, due = {}, [], [], None
-        held = self.held.get() if self.held.exists() else []
-        for r in held:
-            later.append(tuple(r)) if r[1] >= upto else ready.setdefault(tuple(r[-self.width :]), []).append(r)
+        pieces = list(self.held.get()) if self.held.exists() else []
+        for r in (r for (piece,) in pieces for r in zip(*json.loads(piece))):
+            later.append(r) if r[1] >= upto else ready.setdefault(r[-self.width :], []).append(r)
         for k in ready.keys() | states.keys():
             s = states.get(k)
             at = self.machine.deadline(s) if s else None
@@ -258,7 +275,7 @@ class Dealt(Ordered):
         first = min((r[1] for r in later), default=None)
         due = first if due is None or (first is not None and first < due) else due
         if later:
-            self.held.put(later)
+            self.held.put([(json.dumps(list(zip(*later))),)])
         elif ready:
             self.held.clear()
         if states or later:

@@ -143,7 +143,7 @@ def test_a_hot_key_holds_few_rows_in_one_call_and_tells_the_same_silences():
 def test_dealt_keys_equal_one_pass(spark, tmp_path, groups):
     """Many keys in one state, with late rows and deadlines between rows, give what each key gives by itself."""
     rows = [(i, i % 23, *r[2:]) for i, r in enumerate(made(3, 400, 12 * 86_400))]
-    machine = states.Forward(3, 1)
+    machine = states.Forward(1, 1)
     name = lambda key, e: (str(key[0]), int(e[0]), e[1])
     got, upto = streamed(spark, tmp_path, rows, lambda s: states.run(s, ["address"], machine, name, states.ALERTS, groups=groups))
     want = Counter((str(key[0]), *e) for key, events in passed(spark, rows, ("address",), machine, upto).items() for e in events)
