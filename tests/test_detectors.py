@@ -305,3 +305,19 @@ def test_every_detector_is_in_one_part_and_no_query_holds_them_all():
     assert found == sorted(d.code for d in detectors.REGISTRY)
     assert max(text.count("' AS code, severity FROM") for text in detectors.PARTS.values()) < 10
     assert not any("AS code" in text for text in detectors.PARTS["evidence"].split("UNION ALL"))
+
+
+def test_inflows_of_a_day_meet_the_book_once(spark):
+    days = [(a, i, 1 + i % 3, "withdraw" if i % 5 == 0 else "deposit", 100 + i) for a in (1, 2) for i in range(a * 100, a * 100 + 40)]
+    made = {
+        "flows": flows(spark, [*days, (1, 101, 3, "deposit", 7)]),  # a number that two rows have
+        "returns": spark.createDataFrame([(a, d, 10**12 + d) for a in (1, 2) for d in range(1, 4)], "address long, day int, start_u long"),
+        "open_books": spark.createDataFrame([(1, "x", 1, 0, 5, 3.0, 2), (1, "y", 1, 1, -2, 4.0, 9), (2, "x", 1, 2, 7, 1.5, 3), (2, "y", 1, 3, 9, 1.0, 9)], "address long, coin string, trip long, day int, q long, cost double, until int"),
+        "daily_marks": spark.createDataFrame([(c, d, (2 + d) * 10**6) for c in "xy" for d in range(5)], "coin string, day int, vwap_u long"),
+    }
+    got, text = frames(spark, **made)["inflow_states"], Frames(spark, "", catalog.VIEWS)
+    text.made |= made
+    assert sorted(got.collect()) == sorted(text["inflow_states"].collect()) and got.count() > 40
+    tree = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    met = next(i for i, line in enumerate(tree) if "until" in line and "Join Inner" in line)
+    assert "Aggregate [address" in tree[met + 1] and ", day" in tree[met + 1], tree[met : met + 2]
