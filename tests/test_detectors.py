@@ -321,3 +321,15 @@ def test_inflows_of_a_day_meet_the_book_once(spark):
     tree = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
     met = next(i for i, line in enumerate(tree) if "until" in line and "Join Inner" in line)
     assert "Aggregate [address" in tree[met + 1] and ", day" in tree[met + 1], tree[met : met + 2]
+
+
+def test_gates_are_judged_without_a_chain_of_joins(spark, sf):
+    """The same rows as by the text's joins, with at most one join in the query that makes them."""
+    base = catalog.judged(spark, sf)
+    made = dict(base.made)
+    got = base["gate_rows"]
+    plain = Frames(spark, sf, catalog.VIEWS, built={k: v for k, v in catalog.BUILT.items() if k != "gate_rows"})
+    plain.made |= made
+    want = plain["gate_rows"]
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 0
+    assert base["gate_sides"]._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 2
